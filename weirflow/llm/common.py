@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -93,3 +96,44 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     hot = rows.join(large, key)
     cold = rows.join(F.broadcast(groups.filter(F.col(size) > cut).select(key)), key, "left_anti").join(rest, key)
     return hot.unionByName(cold)
+
+
+#: Bits of the id filter that `id_filter` broadcasts: 16 MB whatever the input's size.
+FILTER_BITS = 1 << 27
+_SEGMENT = 1 << 16
+
+
+def _mark(batches):
+    for b in batches:
+        at = np.unique(b.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+        seg = at // _SEGMENT
+        edges = np.flatnonzero(np.diff(seg, prepend=-1, append=-1))
+        names = [int(seg[a]) for a in edges[:-1]]
+        cells = [(at[a:z] % _SEGMENT).astype(np.uint16).tobytes() for a, z in zip(edges[:-1], edges[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(cells, pa.binary())], names=["segment", "at"])
+
+
+def _merge(part: pd.DataFrame) -> pd.DataFrame:
+    on = np.zeros(_SEGMENT, bool)
+    for x in part["at"]:
+        on[np.frombuffer(x, np.uint16)] = True
+    return pd.DataFrame({"segment": [int(part["segment"].iloc[0])], "bits": [np.packbits(on).tobytes()]})
+
+
+def id_filter(ids: DataFrame):
+    """Broadcast bit filter of a one-column table of evenly spread longs.
+
+    `passes(filter.value, ids)` is true for each of them and for few others; as the ids grow in number
+    more others pass, so whoever uses it must drop those by a join.
+    """
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    merged = ids.mapInArrow(_mark, "segment int, at binary").groupBy("segment").applyInPandas(_merge, "segment int, bits binary")
+    for r in merged.toLocalIterator():
+        a = r["segment"] * _SEGMENT // 8
+        bits[a : a + _SEGMENT // 8] = np.frombuffer(r["bits"], np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = ids.view(np.uint64) % np.uint64(FILTER_BITS)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1

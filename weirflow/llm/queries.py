@@ -6,8 +6,10 @@ Every query reads its whole table and returns its full result, with production p
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, mixing, quality
+from . import brown_lm, exact_dedup, jaccard_join, licenses, mixing, pieces, quality, suffix_dedup, token_files, warc
+from .common import new_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,15 +29,60 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.resolve(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = jaccard_join.link_documents(_table(spark, sf_dir, "documents"), words=4, percent=85)
+    return linked.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_dir(spark, "warc")
+    names = warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    captures = warc.assemble(warc.read_records(spark, folder, names, with_payload=False))
+    fact = lambda name: F.col("metadata.fields")[name].try_cast("long")
+    return captures.select(
+        fact("page-id").alias("page_id"), fact("payload-length").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.kind").alias("record_type"), F.regexp_extract("response.refers_to", r"urn:page:(-?\d+)", 1).try_cast("long").alias("refers_to"),
+        F.col("request.fields")["request-line"].alias("request_line"),
+    )
+
+
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = new_dir(spark, "tokens")
+    parts = token_files.write_files(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_documents(spark, folder, parts)
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_warc": op5_warc,
+    "op6_brown_lm": op6_brown_lm,
     "op7_license_scan": op7_license_scan,
+    "op8_token_files": op8_token_files,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 _GAPLESS = r"[^\x20\x09-\x0D]"
@@ -129,4 +176,14 @@ FROM hits WHERE n > 0 GROUP BY doc_id
 """
 
 
-SQL = {"op1_quality_rules": OP1_SQL, "op2_mix_sources": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_license_scan": _op7_sql()}
+OP5_SQL = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+g AS (SELECT *, octet_length(encode(html)) AS bytes, max(page_id) OVER (PARTITION BY html) AS keep FROM p)
+SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+  CASE WHEN bytes >= 1000 AND page_id <> keep THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN bytes >= 1000 AND page_id <> keep THEN keep END AS refers_to,
+  'GET /' || regexp_extract(url, '^[^:]*://[^/]*/?(.*)$', 1, 's') || ' HTTP/1.1' AS request_line
+FROM g
+"""
+
+SQL = {"op1_quality_rules": OP1_SQL, "op2_mix_sources": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op7_license_scan": _op7_sql()}
