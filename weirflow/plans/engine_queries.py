@@ -1,0 +1,554 @@
+"""Registered queries of the engine's own operators: merge, control tables, policies, splits, digests, audit."""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .. import functions as W
+from ..operators import audit, benchmarks, cdc, control, digest, policy
+from ..session import Session, TableRef, read_table
+from ..sources import history as hist
+from ..sources import rowset
+from ..streaming import sync
+from . import cost
+from .analysis import classify_query, classify_view, redact
+from .catalogue import QUERIES, SQL, query
+from .hints import parse_hints
+from .hybrid import build_plan, executed
+from .router import Config, Facts, Matcher, route
+
+# Change data capture: base orders keyed by o_orderkey, changes by modulo rules
+
+_BASE = "SELECT CAST(o_orderkey AS STRING) AS __row_id, o_orderkey, o_totalprice, o_orderstatus FROM orders"
+_CHANGES = """
+SELECT 'DELETE' AS __action, CAST(o_orderkey AS STRING) AS __row_id, o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderkey % 10 IN (1, 2)
+UNION ALL SELECT 'INSERT', CAST(o_orderkey AS STRING), o_orderkey, o_totalprice + 1, 'U' FROM orders WHERE o_orderkey % 10 = 2
+UNION ALL SELECT 'INSERT', 'n' || CAST(o_orderkey AS STRING), o_orderkey + 100000000, o_totalprice, 'N' FROM orders WHERE o_orderkey % 10 = 3"""
+_MERGED = f"""WITH b AS ({_BASE}), c AS ({_CHANGES}), m AS (
+SELECT * FROM b WHERE __row_id NOT IN (SELECT __row_id FROM c)
+UNION ALL SELECT __row_id, o_orderkey, o_totalprice, o_orderstatus FROM c WHERE __action = 'INSERT')
+SELECT __row_id AS row_id, o_orderkey, round(o_totalprice, 2) AS price, o_orderstatus FROM m"""
+
+
+def _cdc(spark, d) -> tuple[DataFrame, DataFrame]:
+    read_table(spark, d, "orders").createOrReplaceTempView("orders")
+    return spark.sql(_BASE), spark.sql(_CHANGES)
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select(F.col("__row_id").alias("row_id"), "o_orderkey", F.round("o_totalprice", 2).alias("price"), "o_orderstatus")
+
+
+@query("cdc_merge", _MERGED)
+def _cdc_merge(spark, d):
+    return _shown(cdc.merge(*_cdc(spark, d)))
+
+
+@query("cdc_replay_idempotent", _MERGED)
+def _cdc_replay(spark, d):
+    base, changes = _cdc(spark, d)
+    return _shown(cdc.merge(cdc.merge(base, changes), changes))
+
+
+@query("cdc_bootstrap", "SELECT CAST(o_orderkey AS STRING) AS row_id, o_orderkey, round(o_totalprice, 2) AS price, o_orderstatus FROM orders")
+def _cdc_bootstrap(spark, d):
+    base, _ = _cdc(spark, d)
+    first = base.withColumn("__action", F.lit("INSERT"))
+    return _shown(cdc.merge(cdc.empty_like(spark, first), first))
+
+
+@query("cdc_add_column", f"WITH b AS ({_BASE}) SELECT __row_id AS row_id, o_orderkey, CASE WHEN o_orderkey % 10 = 4 THEN 'x' END AS note FROM b")
+def _cdc_add(spark, d):
+    base, _ = _cdc(spark, d)
+    pair = base.where("o_orderkey % 10 = 4")
+    changes = pair.withColumn("__action", F.lit("DELETE")).withColumn("note", F.lit(None).cast("string")).unionByName(pair.withColumn("__action", F.lit("INSERT")).withColumn("note", F.lit("x")))
+    return cdc.merge(base, changes).select(F.col("__row_id").alias("row_id"), "o_orderkey", "note")
+
+
+@query("cdc_update_pair", "SELECT CAST(o_orderkey AS STRING) AS row_id, CASE WHEN o_orderkey % 3 = 0 THEN 'second' ELSE 'first' END AS state FROM orders")
+def _cdc_pair(spark, d):
+    """Pairs split and reordered over two batches come right by commit."""
+    base, _ = _cdc(spark, d)
+    row = base.select("__row_id", F.col("o_orderkey") % 3 == 0)
+    first = row.select(F.lit("INSERT").alias("__action"), "__row_id", F.lit("first").alias("state"), F.lit(1).alias("__commit"))
+    some = base.where("o_orderkey % 3 = 0").select("__row_id")
+    second = some.select(F.lit("INSERT").alias("__action"), "__row_id", F.lit("second").alias("state"), F.lit(2).alias("__commit"))
+    late = some.select(F.lit("DELETE").alias("__action"), "__row_id", F.lit(None).cast("string").alias("state"), F.lit(2).alias("__commit"))
+    state = sync.apply_batch(sync.apply_batch(sync.apply_batch(None, first), second), late)
+    return state.where("not __gone").select(F.col("__row_id").alias("row_id"), "state")
+
+
+@query("cdc_counters", "SELECT CAST(count(*) FILTER (WHERE o_orderkey % 10 IN (2, 3)) AS BIGINT) AS rows_inserted, CAST(0 AS BIGINT) AS rows_updated, CAST(count(*) FILTER (WHERE o_orderkey % 10 IN (1, 2)) AS BIGINT) AS rows_deleted FROM orders WHERE (SELECT count(*) FILTER (WHERE o_orderkey % 10 = 3) <> count(*) FILTER (WHERE o_orderkey % 10 = 1) FROM orders)")
+def _cdc_counters(spark, d):
+    _, changes = _cdc(spark, d)
+    # one more row keeps the two counts apart, whatever the data
+    n = cdc.counters(changes)
+    return n.select(*[F.col(c).cast("long").alias(c) for c in n.columns])
+
+
+@query("infer_action", "SELECT 'DELETE' AS action")
+def _infer(spark, d):
+    return cdc.infer_action(spark.createDataFrame([("INSERT",), ("DELETE",)], "__action string"))
+
+
+@query("kafka_envelope", "SELECT id, note FROM (SELECT CAST(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 4 = 1 THEN 'new' ELSE 'old' END AS note, o_orderkey AS k FROM orders) WHERE k % 4 <> 2")
+def _envelope(spark, d):
+    base = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("id"))
+    shape = T.StructType([T.StructField("id", T.StringType()), T.StructField("note", T.StringType())])
+    quoted = lambda side, note: F.concat(F.lit(f'"{side}":{{"id":"'), F.col("id"), F.lit(f'","note":"{note}"}}'))
+    message = lambda cond, action, parts, offset: base.where(cond).select(F.lit(offset).alias("offset"), F.concat(F.lit(f'{{"action":"{action}",'), *parts, F.lit("}")).alias("value"))
+    messages = message("true", "INSERT", [quoted("after", "old")], 1)
+    messages = messages.unionAll(message("k % 4 = 1", "UPDATE", [quoted("before", "old"), F.lit(","), quoted("after", "new")], 2))
+    messages = messages.unionAll(message("k % 4 = 2", "DELETE", [quoted("before", "old")], 3))
+    messages = messages.unionAll(message("k % 4 = 3", "NOISE", [quoted("after", "bad")], 4))
+    batch = cdc.envelope_to_batch(messages, shape)
+    return cdc.merge(cdc.empty_like(spark, batch), batch).select("id", "note")
+
+
+@query("view_drift", "SELECT n_name AS name FROM nation WHERE n_nationkey % 5 = 0")
+def _drift(spark, d):
+    n = read_table(spark, d, "nation")
+    bodies = n.select(F.col("n_name").alias("name"), F.concat(F.lit("SELECT "), "n_name").alias("body"))
+    stored = n.select(F.col("n_name").alias("name"), F.sha2(F.concat(F.when(F.col("n_nationkey") % 5 == 0, "SELECT 1 ").otherwise("SELECT "), "n_name"), 256).alias("checksum"))
+    return cdc.drifted(bodies, stored)
+
+
+@query("policy_refresh", "SELECT n_name AS name, 'p' AS policy_name, CASE WHEN n_nationkey % 4 = 0 THEN 'manual' ELSE 'discovered' END AS source FROM nation WHERE n_nationkey % 4 = 0 OR n_nationkey % 3 = 0")
+def _markers(spark, d):
+    n = read_table(spark, d, "nation")
+    mark = lambda cond, source: n.where(cond).select(F.col("n_name").alias("name"), F.lit("p").alias("policy_name"), F.lit(source).alias("source"))
+    return cdc.retained_markers(mark("n_nationkey % 4 = 0", "manual").unionAll(mark("n_nationkey % 2 = 1", "discovered")), mark("n_nationkey % 3 = 0", "discovered"))
+
+
+@query("windowed_stream_agg", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _windowed(spark, d):
+    return sync.windowed_counts(read_table(spark, d, "events"))
+
+
+@query("session_windows", """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events),
+g AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM g GROUP BY user_id, k""")
+def _sessions(spark, d):
+    return sync.sessions(read_table(spark, d, "events"))
+
+
+# Control tables, derived from nation so that both engines see the same
+
+_STATS = """SELECT 'DB' || CAST(n_regionkey AS STRING) AS database, 'PUBLIC' AS schema, n_name AS name, CAST(n_nationkey * 1000 AS BIGINT) AS bytes, CAST(n_nationkey * 10 AS BIGINT) AS rows_count,
+CASE n_nationkey % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'pending' WHEN 2 THEN 'active' ELSE 'quarantined' END AS sync_state,
+CASE n_nationkey % 3 WHEN 0 THEN 'include' WHEN 1 THEN 'discovered' ELSE 'view_dependency' END AS source,
+CASE WHEN n_nationkey % 7 = 0 THEN 'decomposed' END AS view_strategy,
+TIMESTAMP '2024-01-01 00:00:00' + n_nationkey * INTERVAL 1 DAY AS discovered_at, CASE WHEN n_nationkey % 2 = 0 THEN TIMESTAMP '2024-01-05 00:00:00' + n_nationkey * INTERVAL 1 DAY END AS last_queried_at FROM nation"""
+_DEPS = """SELECT 'DB' || CAST(a.n_regionkey AS STRING) AS parent_db, 'PUBLIC' AS parent_schema, a.n_name AS parent_name,
+'DB' || CAST(b.n_regionkey AS STRING) AS dep_db, 'PUBLIC' AS dep_schema, b.n_name AS dep_name FROM nation a JOIN nation b ON b.n_nationkey IN (a.n_nationkey + 1, a.n_nationkey + 3)"""
+_WANTED = "SELECT CAST(n_nationkey AS INT) AS ord, 'DB' || CAST(CASE WHEN n_nationkey = 11 THEN 99 ELSE n_regionkey END AS STRING) AS database, 'PUBLIC' AS schema, n_name AS name FROM nation"
+_CTES = f"WITH stats AS ({_STATS}), deps AS ({_DEPS}), wanted AS ({_WANTED})"
+
+
+def _control(spark, d):
+    read_table(spark, d, "nation").createOrReplaceTempView("nation")
+    made = []
+    for text in (_STATS, _DEPS, _WANTED):
+        df = spark.sql(text.replace("TIMESTAMP '", "TIMESTAMP_NTZ '"))
+        made.append(df)
+    return made
+
+
+def _estimate_sql(measure: str) -> str:
+    return f"""{_CTES}, x AS (
+    SELECT ord, {measure} AS v FROM wanted JOIN stats USING (database, schema, name) WHERE coalesce(view_strategy, '') <> 'decomposed'
+    UNION ALL SELECT w.ord, b.{measure} FROM wanted w JOIN stats s USING (database, schema, name) JOIN deps ON parent_db = w.database AND parent_schema = w.schema AND parent_name = w.name
+      JOIN stats b ON b.database = dep_db AND b.schema = dep_schema AND b.name = dep_name WHERE s.view_strategy = 'decomposed')
+    SELECT ord, CAST(coalesce(sum(v), 0) AS BIGINT) AS estimate FROM wanted LEFT JOIN x USING (ord) GROUP BY ord"""
+
+
+@query("scan_estimate", _estimate_sql("bytes"))
+def _scan_estimate(spark, d):
+    stats, deps, wanted = _control(spark, d)
+    return control.estimate(wanted, stats, deps)
+
+
+@query("row_estimate", _estimate_sql("rows_count"))
+def _row_estimate(spark, d):
+    stats, deps, wanted = _control(spark, d)
+    return control.estimate(wanted, stats, deps, "rows_count")
+
+
+@query("state_batch", f"{_CTES} SELECT ord, sync_state, coalesce(sync_state, '') = 'active' AS active FROM wanted LEFT JOIN stats USING (database, schema, name)")
+def _states(spark, d):
+    stats, _, wanted = _control(spark, d)
+    return control.states(wanted, stats)
+
+
+@query("first_blocker", f"{_CTES}, s AS (SELECT ord, sync_state FROM wanted LEFT JOIN stats USING (database, schema, name) WHERE coalesce(sync_state, '') <> 'active') SELECT arg_min(sync_state, ord) AS sync_state, min(ord) AS ord FROM s")
+def _blocker(spark, d):
+    stats, _, wanted = _control(spark, d)
+    return control.first_blocker(wanted, stats)
+
+
+@query("discover_upsert", f"""{_CTES}, seen AS (SELECT database, schema, name, CASE ord % 3 WHEN 0 THEN 'remote' WHEN 1 THEN 'include' ELSE 'discovered' END AS seen FROM wanted)
+SELECT database, schema, name, CASE WHEN seen = 'remote' THEN 'remote' WHEN seen = 'include' AND coalesce(source, '') <> 'remote' THEN 'include' ELSE coalesce(source, seen) END AS source,
+coalesce(sync_state, 'pending') AS sync_state FROM stats FULL JOIN seen USING (database, schema, name)""")
+def _discover(spark, d):
+    stats, _, wanted = _control(spark, d)
+    seen = wanted.select("database", "schema", "name", F.element_at(F.array(F.lit("remote"), F.lit("include"), F.lit("discovered")), F.col("ord") % 3 + 1).alias("source"))
+    return control.discover(stats, seen)
+
+
+@query("refresh_tables", f"{_CTES} SELECT s.name, CASE WHEN w.ord % 2 = 0 THEN 'pending' ELSE sync_state END AS sync_state FROM stats s LEFT JOIN wanted w USING (database, schema, name)")
+def _refresh(spark, d):
+    stats, _, wanted = _control(spark, d)
+    return control.refreshed(stats, wanted.where("ord % 2 = 0")).select("name", "sync_state")
+
+
+@query("drop_cascade", f"{_CTES}, gone AS (SELECT * FROM wanted WHERE ord % 5 = 0) SELECT parent_name, dep_name FROM deps WHERE NOT EXISTS (SELECT 1 FROM gone WHERE (database = parent_db AND name = parent_name) OR (database = dep_db AND name = dep_name))")
+def _drop(spark, d):
+    _, deps, wanted = _control(spark, d)
+    return control.dropped(deps, wanted.where("ord % 5 = 0"), "parent", "dep").select("parent_name", "dep_name")
+
+
+@query("idle_demotion", f"""{_CTES}, quiet AS (SELECT * FROM stats WHERE coalesce(last_queried_at, discovered_at) < TIMESTAMP '2024-02-05 00:00:00' - INTERVAL 20 DAY AND sync_state = 'active')
+SELECT database, schema, name FROM quiet q WHERE source = 'discovered' OR (source = 'view_dependency' AND NOT EXISTS (
+SELECT 1 FROM deps JOIN stats p ON p.database = parent_db AND p.name = parent_name AND p.sync_state = 'active' WHERE dep_db = q.database AND dep_name = q.name))""")
+def _idle(spark, d):
+    stats, deps, _ = _control(spark, d)
+    return control.idle(stats, deps, "2024-02-05 00:00:00", 20)
+
+
+@query("view_closure", """WITH RECURSIVE walk(root, dep, depth) AS (
+SELECT n_nationkey, x, 1 FROM nation, (VALUES (1), (3)) v(o), LATERAL (SELECT (n_nationkey + o) % 25 AS x) WHERE n_nationkey < 5
+UNION ALL SELECT root, (dep + o) % 25, depth + 1 FROM walk, (VALUES (1), (3)) v(o) WHERE depth < 4)
+SELECT root, dep, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY root, dep""")
+def _closure(spark, d):
+    n = read_table(spark, d, "nation")
+    edges = n.select(F.col("n_nationkey").alias("parent"), F.explode(F.array((F.col("n_nationkey") + 1) % 25, (F.col("n_nationkey") + 3) % 25)).alias("dep"))
+    edges.createOrReplaceTempView("view_edges")
+    n.where("n_nationkey < 5").select(F.col("n_nationkey").alias("root")).createOrReplaceTempView("view_roots")
+    return control.closure(spark, "view_edges", "view_roots")
+
+
+@query("catalog_status", f"{_CTES} SELECT sync_state, count(*) AS tables, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(rows_count) AS BIGINT) AS rows FROM stats GROUP BY sync_state")
+def _status(spark, d):
+    return control.status(_control(spark, d)[0])
+
+
+@query("policy_marker_batch", f"{_CTES} SELECT ord, CASE WHEN ord % 6 = 0 AND ord <> 11 THEN 'a' END AS policy_name FROM wanted")
+def _marker_batch(spark, d):
+    stats, _, wanted = _control(spark, d)
+    marks = stats.where("bytes % 6000 = 0")
+    both = marks.select("database", "schema", "name", F.explode(F.array(F.lit("b"), F.lit("a"))).alias("policy_name"))
+    return control.markers_for(wanted, both)
+
+
+@query("view_bootstrap", "SELECT n_name AS name, CASE WHEN n_nationkey % 5 = 0 THEN 'stream_on_view' WHEN n_nationkey % 2 = 0 THEN 'decompose' ELSE 'wait' END AS action FROM nation")
+def _view_bootstrap(spark, d):
+    n = read_table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("k"))
+    views = n.select("name", F.lit("stream_compatible").alias("class"))
+    deps = n.select("name", F.concat(F.lit("d_"), "name").alias("dep"))
+    stats = n.select(F.concat(F.lit("d_"), "name").alias("name"), F.when(F.col("k") % 2 == 0, "active").otherwise("pending").alias("sync_state"), (F.col("k") % 5 == 0).alias("excluded"))
+    return control.bootstrap_plan(views, deps, stats)
+
+
+# Policies
+
+_WHO = Session(role="ANALYST", user="ana", roles=("EU", "AUDIT"))
+
+
+@query("policy_filtered_view", "SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey IN (1, 2, 3) AND c_acctbal >= 0")
+def _policy_view(spark, d):
+    customer = read_table(spark, d, "customer")
+    name = policy.create_filtered_view(customer, "customer", "CURRENT_ROLE() = 'ADMIN' OR (c_nationkey IN (1, 2, 3) AND NOT c_acctbal < 0)", _WHO)
+    return spark.table(name).select("c_custkey", "c_acctbal")
+
+
+@query("role_in_session", "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal IS NOT NULL AND upper(c_name) <> ''")
+def _role(spark, d):
+    return policy.filtered(read_table(spark, d, "customer"), "IS_ROLE_IN_SESSION('eu') AND c_mktsegment = 'BUILDING' AND c_acctbal IS NOT NULL AND UPPER(c_name) <> ''", _WHO).select("c_custkey")
+
+
+@query("policy_default_deny", "SELECT c_custkey FROM customer WHERE false")
+def _deny(spark, d):
+    return policy.filtered(read_table(spark, d, "customer"), "IS_DATABASE_ROLE_IN_SESSION('x')", _WHO).select("c_custkey")
+
+
+# Splits: the same answers as the unsplit statement
+
+_REMOTE = Session(database="SF", schema="WAREHOUSE")
+_SPLIT = """SELECT u.c_mktsegment AS region, COUNT(*) AS n FROM sf.warehouse.customer u JOIN ice.analytics.events e ON e.user_id = u.c_custkey
+WHERE e.value > 10 AND u.c_custkey IN (SELECT o.o_custkey FROM sf.warehouse.orders o JOIN sf.warehouse.lineitem p ON p.l_orderkey = o.o_orderkey WHERE p.l_returnflag = 'R') GROUP BY u.c_mktsegment"""
+_ATTACH = "SELECT u.c_mktsegment AS region, COUNT(*) AS n FROM sf.warehouse.customer u JOIN ice.analytics.events e ON e.user_id = u.c_custkey GROUP BY u.c_mktsegment"
+_STAGE = "SELECT o.o_orderstatus AS s, COUNT(*) AS n FROM sf.warehouse.orders o JOIN sf.warehouse.lineitem p ON p.l_orderkey = o.o_orderkey GROUP BY o.o_orderstatus"
+
+
+def _run_split(spark, d, sql: str, **cfg):
+    matcher = Matcher(remote=("*.WAREHOUSE.*",))
+    out = route(sql, _REMOTE, Config(hybrid=True, **cfg), matcher)
+    if out.route != "hybrid":
+        raise AssertionError(f"{out.route}: {out.reason} {out.detail}")
+    source = lambda ref: read_table(spark, d, ref.name.lower())
+    stage = lambda df, name: df.checkpoint()
+    if spark.sparkContext.getCheckpointDir() is None:
+        place = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not place:
+            import tempfile
+
+            place = tempfile.mkdtemp(prefix="weirflow-")
+        spark.sparkContext.setCheckpointDir(place)
+    with executed(spark, out.plan, _REMOTE, source, source, stage) as df:
+        return df
+
+
+for _name, _sql, _cfg in (("hybrid_mixed", _SPLIT, {}), ("hybrid_attach", _ATTACH, {}), ("hybrid_materialize", _STAGE, {}), ("hybrid_attach_unavailable", _SPLIT, {"attach_available": False})):
+    QUERIES[_name] = lambda spark, d, sql=_sql, cfg=_cfg: _run_split(spark, d, sql, **cfg)
+    SQL[_name] = _sql.replace("sf.warehouse.", "").replace("ice.analytics.", "")
+
+
+@query("hybrid_plan_shape", "SELECT * FROM (VALUES ('mixed', 'mixed', 1, 1), ('attach', 'attach', 0, 1), ('all_remote', 'materialize', 1, 0), ('window', 'bail', 0, 0), ('set_op', 'bail', 0, 0)) t(name, strategy, fragments, attached)")
+def _shapes(spark, d):
+    from .hybrid import Bail
+
+    rows = []
+    remote = {TableRef("sf", "warehouse", t) for t in ("customer", "orders", "lineitem")}
+    for name, sql in (("mixed", _SPLIT), ("attach", _ATTACH), ("all_remote", _STAGE), ("window", "SELECT ROW_NUMBER() OVER (ORDER BY o_orderkey) FROM sf.warehouse.orders"), ("set_op", "SELECT 1 FROM sf.warehouse.orders UNION SELECT 2")):
+        try:
+            p = build_plan(sql, _REMOTE, remote, {}, {}, Config(hybrid=True))
+            rows.append((name, p.strategy, len(p.fragments), len(p.attached)))
+        except Bail:
+            rows.append((name, "bail", 0, 0))
+    return spark.createDataFrame(rows, "name string, strategy string, fragments int, attached int")
+
+
+_GRID = "SELECT CAST(n_nationkey * n_nationkey * 5000 AS BIGINT) AS row_count, CAST(n_nationkey * 300000 AS BIGINT) AS bytes, CAST(n_regionkey AS INT) AS scans FROM nation"
+
+
+@query("cost_model_grid", f"WITH g AS ({_GRID}) SELECT row_count, bytes, scans, CASE WHEN row_count > 0 AND bytes > 0 THEN round(bytes / 1e8 + row_count / 5e6, 9) END AS attach_s, CASE WHEN row_count > 0 AND bytes > 0 THEN round(bytes / 1e8 + 0.005 + row_count / 12e6 + row_count / 25e6 * greatest(scans, 1), 9) END AS staged_s FROM g")
+def _grid(spark, d):
+    read_table(spark, d, "nation").createOrReplaceTempView("nation")
+    m = cost.CostModel()
+    g = spark.sql(_GRID)
+    return g.select("row_count", "bytes", "scans", F.round(m.attach_column(F.col("row_count"), F.col("bytes")), 9).alias("attach_s"), F.round(m.materialize_column(F.col("row_count"), F.col("bytes"), F.col("scans")), 9).alias("staged_s"))
+
+
+@query("strategy_choice", "SELECT * FROM (VALUES ('no_stats', 'skip', 'heuristic'), ('attach_off', 'collapse', 'heuristic'), ('many_rows', 'collapse', 'cost'), ('near_tie', 'skip', 'heuristic'), ('two_tables', 'skip', 'heuristic'), ('unknown_names', 'skip', 'fallback')) t(name, decision, decided_by)")
+def _choice(spark, d):
+    m, both = cost.CostModel(), ("cost", "heuristic")
+    cases = (("no_stats", cost.Context(1, 0, 0, True), both), ("attach_off", cost.Context(1, 10, 10, False), both), ("many_rows", cost.Context(1, 100_000_000, 1000, True), both), ("near_tie", cost.Context(1, 1000, 10_000_000_000, True), both), ("two_tables", cost.Context(2, 100_000_000, 1000, True), both), ("unknown_names", cost.Context(1, 0, 0, True), ("other",)))
+    return spark.createDataFrame([(n, *cost.decide(c, chain, m, 1.5)) for n, c, chain in cases], "name string, decision string, decided_by string")
+
+
+# Statement analysis and routing
+
+_T = TableRef("ANALYTICS", "PUBLIC", "BIG")
+ROUTES = [
+    ("constant", "SELECT 1 + 1 AS answer", {}, "lake", "under_threshold"),
+    ("table", "SELECT a FROM analytics.public.t", {}, "lake", "under_threshold"),
+    ("write", "INSERT INTO analytics.public.events VALUES (1)", {}, "warehouse", "write_statement"),
+    ("alter", "ALTER TABLE t ADD COLUMN x INT", {}, "warehouse", "write_statement"),
+    ("system", "SELECT * FROM information_schema.tables", {}, "warehouse", "uses_warehouse_feature"),
+    ("travel", "SELECT * FROM t AT(TIMESTAMP => '2024-01-01')", {}, "warehouse", "uses_warehouse_feature"),
+    ("literal", "SELECT 'flatten( at(timestamp' AS x FROM t", {}, "lake", "under_threshold"),
+    ("broken", "SELEC 1", {}, "warehouse", "parse_failed"),
+    ("hint", "/*+ route(warehouse) */ SELECT 1", {}, "warehouse", "operator_hint"),
+    ("big", "SELECT * FROM BIG", {"facts": Facts(bytes={_T: 1 << 40})}, "warehouse", "above_threshold"),
+    ("gone", "SELECT * FROM BIG", {"facts": Facts(missing=frozenset({_T}))}, "warehouse", "table_missing"),
+    ("guarded", "SELECT * FROM BIG", {"facts": Facts(markers={_T: "rows"})}, "warehouse", "policy_protected"),
+    ("enforced", "SELECT * FROM BIG", {"facts": Facts(markers={_T: "rows"}, views={_T: "big__filtered"}), "cfg": Config(policy_mode="enforce")}, "lake", "under_threshold"),
+    ("not_allowed", "SELECT * FROM BIG", {"cfg": Config(policy_mode="allowlist", allowlist=("OTHER.*.*",))}, "warehouse", "not_in_allowlist"),
+    ("excluded", "SELECT * FROM BIG", {"matcher": Matcher(exclude=("*.*.BIG",))}, "warehouse", "table_missing"),
+    ("pending", "SELECT * FROM BIG", {"matcher": Matcher(), "facts": Facts(state={_T: "pending"})}, "warehouse", "bootstrapping_table"),
+    ("quarantined", "SELECT * FROM BIG", {"matcher": Matcher(), "facts": Facts(state={_T: "quarantined"})}, "warehouse", "table_quarantined"),
+    ("remote", "SELECT * FROM BIG", {"matcher": Matcher(remote=("*.*.BIG",)), "cfg": Config(hybrid=True)}, "hybrid", "remote_by_config"),
+    ("remote_off", "SELECT * FROM BIG", {"matcher": Matcher(remote=("*.*.BIG",))}, "warehouse", "table_missing"),
+    ("booting", "SELECT * FROM BIG", {"matcher": Matcher(), "cfg": Config(hybrid=True, allow_bootstrapping=True), "facts": Facts(state={_T: "pending"})}, "hybrid", "remote_bootstrapping"),
+    ("oversize", "SELECT * FROM BIG", {"cfg": Config(hybrid=True, allow_oversize=True, max_remote_bytes=1 << 50, max_attach_bytes=1 << 50), "facts": Facts(bytes={_T: 1 << 40})}, "hybrid", "remote_oversize"),
+    ("mixed", "SELECT * FROM BIG JOIN R ON true", {"matcher": Matcher(remote=("*.*.R",)), "cfg": Config(hybrid=True, allow_bootstrapping=True), "facts": Facts(state={_T: "pending"})}, "hybrid", "mixed"),
+    ("capped", "SELECT * FROM BIG", {"matcher": Matcher(remote=("*.*.BIG",)), "cfg": Config(hybrid=True), "facts": Facts(bytes={_T: 1 << 40})}, "warehouse", "above_threshold"),
+    ("cap_hint", "/*+ route(hybrid) */ SELECT * FROM BIG", {"matcher": Matcher(remote=("*.*.BIG",)), "cfg": Config(hybrid=True), "facts": Facts(bytes={_T: 1 << 40})}, "hybrid", "remote_by_config"),
+    ("lake_hint", "-- + route(lake)\nSELECT * FROM BIG", {"matcher": Matcher(remote=("*.*.BIG",)), "cfg": Config(hybrid=True)}, "lake", "under_threshold"),
+    ("cte_name", "WITH x AS (SELECT a FROM t) SELECT * FROM x", {"facts": Facts(missing=frozenset({TableRef("ANALYTICS", "PUBLIC", "x")}))}, "lake", "under_threshold"),
+]
+
+
+def _values(rows: list[tuple]) -> str:
+    q = lambda v: "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows)
+
+
+@query("route_decisions", f"SELECT * FROM (VALUES {_values([(n, r, why) for n, _, _, r, why in ROUTES])}) t(name, route, reason)")
+def _routes(spark, d):
+    got = [(n, (o := route(sql, **kw)).route, o.reason) for n, sql, kw, _, _ in ROUTES]
+    return spark.createDataFrame(got, "name string, route string, reason string")
+
+
+HINTS = [("/*+ route(hybrid) strategy(attach) */ SELECT 1", "hybrid", "attach"), ("-- + route(local), strategy(materialise)\nSELECT 1", "lake", "materialize"), ("SELECT /*+ route(lake) */ 1", None, None), ("/* route(lake) */ SELECT 1", None, None), ("/*+ other(x) route(nope) */ SELECT 1", None, None), ("-- c\n/*+ route(passthrough) */ SELECT 1", "warehouse", None)]
+
+
+@query("hint_parser", f"SELECT * FROM (VALUES {_values([(i, r, s) for i, (_, r, s) in enumerate(HINTS)])}) t(id, route, strategy)")
+def _hints(spark, d):
+    got = [(str(i), parse_hints(sql).route, parse_hints(sql).strategy) for i, (sql, _, _) in enumerate(HINTS)]
+    return spark.createDataFrame(got, "id string, route string, strategy string")
+
+
+VIEWS = [
+    ("SELECT a FROM t WHERE a > 1", "stream_compatible", ""), ("SELECT a FROM t UNION ALL SELECT b FROM u", "stream_compatible", ""), ("SELECT a FROM t LIMIT 3", "decomposable_only", "limit"),
+    ("SELECT a, COUNT(*) FROM t GROUP BY a HAVING COUNT(*) > 1", "decomposable_only", "group_by,having,aggregate"), ("SELECT DISTINCT a FROM t", "decomposable_only", "distinct"),
+    ("SELECT a FROM t UNION SELECT b FROM u", "decomposable_only", "set_op"), ("SELECT a FROM t WHERE a IN (SELECT b FROM u)", "decomposable_only", "subquery"), ("SELECT a FROM (SELECT b AS a FROM u) x", "stream_compatible", ""),
+    ("SELECT CURRENT_TIMESTAMP() AS n FROM t", "decomposable_only", "volatile"), ("SELECT a FROM t ORDER BY a", "decomposable_only", "order_by"), ("SELECT a FROM t QUALIFY ROW_NUMBER() OVER (ORDER BY a) = 1", "decomposable_only", "qualify"),
+    ("INSERT INTO t VALUES (1)", "unsupported", "no_select"), ("not sql at all", "unsupported", "parse"), ("SELECT SUM(x) OVER (PARTITION BY a) AS s FROM t", "stream_compatible", ""),
+]
+
+
+@query("view_classification", f"SELECT * FROM (VALUES {_values([(i, c, r) for i, (_, c, r) in enumerate(VIEWS)])}) t(id, class, reasons)")
+def _views(spark, d):
+    got = [(str(i), (v := classify_view(sql))[0], ",".join(v[1])) for i, (sql, _, _) in enumerate(VIEWS)]
+    return spark.createDataFrame(got, "id string, class string, reasons string")
+
+
+@query("literal_redaction", r"SELECT c_custkey, 'SELECT ' || CASE WHEN c_custkey % 2 = 0 THEN '?' ELSE 'c2' END || ', ? FROM ""' || c_mktsegment || '"" -- ''x'' 1' AS redacted FROM customer".replace('""', '"'))
+def _redaction(spark, d):
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(redact)
+
+    text = F.concat(F.lit("SELECT "), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("'it''s "), "c_name", F.lit("'"))).otherwise("c2"), F.lit(", 1.5e3 FROM \""), "c_mktsegment", F.lit("\" -- 'x' 1"))
+    return read_table(spark, d, "customer").select("c_custkey", run(text).alias("redacted"))
+
+
+@query("workload_buckets", "SELECT * FROM (VALUES ('', 'unknown', ''), ('SELECT 1', 'unknown', ''), ('SELECT a FROM d.s.t', 'routable', ''), ('DELETE FROM d.s.t', 'passthrough', 'write'), ('SELEC', 'passthrough', 'parse_failed'), ('SELECT * FROM TABLE(GENERATOR(ROWCOUNT => 5))', 'passthrough', 'feature'), ('SELECT * FROM snowflake.account_usage.x', 'unknown', '')) t(sql, bucket, reason)")
+def _buckets(spark, d):
+    texts = ["", "SELECT 1", "SELECT a FROM d.s.t", "DELETE FROM d.s.t", "SELEC", "SELECT * FROM TABLE(GENERATOR(ROWCOUNT => 5))", "SELECT * FROM snowflake.account_usage.x"]
+    return spark.createDataFrame([(t, (a := classify_query(t)).bucket, a.reason or "") for t in texts], "sql string, bucket string, reason string")
+
+
+# Results
+
+@query("result_text", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') || '000' AS at, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS d, CAST(o_totalprice > 1000 AS VARCHAR) AS b FROM orders")
+def _text(spark, d):
+    o = read_table(spark, d, "orders").selectExpr("o_orderkey", "o_orderkey AS k", "o_orderdate AS at", "CAST(o_orderdate AS DATE) AS d", "o_totalprice > 1000 AS b")
+    return o.select("o_orderkey", *[digest.cell_text(o, c).alias(c) for c in ("k", "at", "d", "b")])
+
+
+@query("result_digest", "SELECT count(*) AS n_rows, true AS order_free, true AS sees_change, true AS sees_repeats FROM orders")
+def _digest(spark, d):
+    o = read_table(spark, d, "orders").drop("o_orderdate")
+    one = digest.digest(o)
+    checks = (digest.same_results(o, o.orderBy(F.desc("o_totalprice")).repartition(3)), not digest.same_results(o, o.withColumn("o_custkey", F.col("o_custkey") + (F.col("o_orderkey") == 1).cast("long"))), not digest.same_results(o, o.unionAll(o)))
+    return one.select("n_rows", *[F.lit(c).alias(n) for c, n in zip(checks, ("order_free", "sees_change", "sees_repeats"), strict=True)])
+
+
+@query("compare_exceptall", "SELECT 'left' AS side, n_nationkey FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 'right', n_nationkey FROM nation WHERE n_nationkey > 20")
+def _compare(spark, d):
+    n = read_table(spark, d, "nation").select("n_nationkey")
+    return digest.difference(n.where("n_nationkey <= 20"), n.where("n_nationkey >= 3")).select("side", "n_nationkey")
+
+
+@query("rowset_decode", "SELECT o_orderkey AS i, CAST(trunc(o_orderkey * 1239 / 1000.0 * 100) / 100 AS DECIMAL(12, 2)) AS d, o_orderkey % 2 = 0 AS b, CAST(o_orderdate AS DATE) AS day, CAST(NULL AS BIGINT) AS bad FROM orders")
+def _rowset(spark, d):
+    o = read_table(spark, d, "orders")
+    text = o.select(
+        F.col("o_orderkey").cast("string").alias("i"), (F.col("o_orderkey") * F.lit(1239)).cast("decimal(20,0)").cast("string").alias("n"),
+        F.when(F.col("o_orderkey") % 2 == 0, "true").otherwise("0").alias("b"), F.unix_date(F.col("o_orderdate").cast("date")).cast("string").alias("day"), F.lit("oops").alias("bad"),
+    )
+    text = text.withColumn("d", F.concat(F.expr("substring(lpad(n, 20, '0'), 1, 17)").cast("long").cast("string"), F.lit("."), F.expr("substring(lpad(n, 20, '0'), 18, 3)"))).drop("n")
+    return rowset.decode(text, [rowset.Field("i", "fixed", 18, 0), rowset.Field("d", "fixed", 12, 2), rowset.Field("b", "boolean"), rowset.Field("day", "date"), rowset.Field("bad", "fixed", 18, 0)])
+
+
+@query("column_functions", "SELECT event_id, CAST(datediff('month', ts, ts + INTERVAL 45 DAY) AS INT) AS months, CAST(json_extract(props, '$.k') AS BIGINT) AS k, time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01') AS slice FROM events")
+def _functions(spark, d):
+    e = read_table(spark, d, "events")
+    return e.select("event_id", W.date_diff("month", F.col("ts"), F.col("ts") + F.expr("INTERVAL 45 DAY")).alias("months"), W.get_path(F.col("props"), "k", "bigint").alias("k"), W.time_slice(F.col("ts"), 600).alias("slice"))
+
+
+# Workload audit over a history made from orders
+
+_HIST = """SELECT CAST(o_orderkey AS STRING) AS query_id, CASE o_orderkey % 8
+WHEN 0 THEN 'INSERT INTO analytics.public.t VALUES (' || CAST(o_custkey AS STRING) || ')' WHEN 1 THEN 'SELECT * FROM TABLE(FLATTEN(x))' WHEN 2 THEN 'SELECT 1' WHEN 3 THEN 'SELEC'
+ELSE 'SELECT id FROM analytics.public.t' || CAST(o_custkey % 7 AS STRING) || ' WHERE id = ' || CAST(o_orderkey AS STRING) END AS query_text,
+o_orderdate AS start_time, CAST(o_orderkey % 1000 * 100 AS BIGINT) AS execution_time,
+CASE o_orderkey % 5 WHEN 0 THEN 'X-Small' WHEN 1 THEN 'small' WHEN 2 THEN '2X_Large' WHEN 3 THEN NULL ELSE 'odd' END AS warehouse_size, CAST(0 AS BIGINT) AS bytes_scanned FROM orders"""
+_AUDIT = f"""WITH h AS ({_HIST}), c AS (SELECT *, CASE WHEN CAST(query_id AS BIGINT) % 8 IN (0, 1, 3) THEN 'passthrough' WHEN CAST(query_id AS BIGINT) % 8 = 2 THEN 'unknown' ELSE 'routable' END AS bucket,
+CASE CAST(query_id AS BIGINT) % 8 WHEN 0 THEN 'write' WHEN 1 THEN 'feature' WHEN 3 THEN 'parse_failed' END AS reason,
+CASE WHEN CAST(query_id AS BIGINT) % 8 > 3 THEN regexp_extract(query_text, 'FROM (\\S+)', 1) END AS table_fqn,
+execution_time / 3600000.0 * CASE warehouse_size WHEN 'X-Small' THEN 1 WHEN 'small' THEN 2 WHEN '2X_Large' THEN 32 ELSE 0 END * 3 AS dollars FROM h)"""
+
+
+def _history(spark, d):
+    read_table(spark, d, "orders").createOrReplaceTempView("orders")
+    return audit.classified(spark.sql(_HIST))
+
+
+@query("audit_buckets", f"{_AUDIT} SELECT count(*) AS total, count(*) FILTER (WHERE bucket = 'routable') AS routable, count(*) FILTER (WHERE reason = 'write') AS writes, count(*) FILTER (WHERE reason = 'feature') AS features, count(*) FILTER (WHERE reason = 'parse_failed') AS parse_failed, count(*) FILTER (WHERE bucket = 'unknown') AS no_tables, round(sum(dollars), 4) AS dollars FROM c")
+def _audit_buckets(spark, d):
+    return audit.totals(_history(spark, d)).select("total", "routable", "writes", "features", "parse_failed", "no_tables", F.round("dollars", 4).alias("dollars"))
+
+
+@query("audit_top_tables", f"{_AUDIT} SELECT table_fqn, round(sum(dollars), 4) AS dollars, count(*) AS queries FROM c WHERE bucket = 'routable' GROUP BY table_fqn ORDER BY sum(dollars) DESC, table_fqn LIMIT 5")
+def _audit_top(spark, d):
+    return audit.top_tables(_history(spark, d), 5).select("table_fqn", F.round("dollars", 4).alias("dollars"), "queries")
+
+
+@query("audit_conservative", f"{_AUDIT}, t AS (SELECT table_fqn FROM c WHERE bucket = 'routable' GROUP BY table_fqn ORDER BY sum(dollars) DESC, table_fqn LIMIT 3) SELECT count(*) AS n FROM c WHERE table_fqn IN (SELECT table_fqn FROM t)")
+def _audit_conservative(spark, d):
+    return audit.conservative(_history(spark, d), 3).agg(F.count("*").alias("n"))
+
+
+@query("audit_top_patterns", f"{_AUDIT} SELECT table_fqn, 'SELECT id FROM ' || table_fqn || ' WHERE id = ?' AS pattern, count(*) AS freq, CAST(sum(execution_time) // count(*) AS BIGINT) AS avg_ms, round(sum(dollars), 2) AS est_dollars, CAST(row_number() OVER (ORDER BY count(*) DESC, round(sum(dollars), 2) DESC, table_fqn) AS INT) AS rank FROM c WHERE bucket = 'routable' GROUP BY table_fqn")
+def _audit_patterns(spark, d):
+    return audit.patterns(_history(spark, d))
+
+
+@query("credit_lookup", "SELECT * FROM (VALUES ('X-Small', 1.0::DOUBLE), ('small', 2.0), ('MEDIUM', 4.0), ('x large', 16.0), ('3X_LARGE', 64.0), ('6x-large', 512.0), ('huge', 0.0), (NULL, 0.0)) t(size, rate)")
+def _credits(spark, d):
+    sizes = [("X-Small",), ("small",), ("MEDIUM",), ("x large",), ("3X_LARGE",), ("6x-large",), ("huge",), (None,)]
+    return spark.createDataFrame(sizes, "size string").select("size", audit.credits_per_hour(F.col("size")).alias("rate"))
+
+
+@query("recent_history", f"WITH h AS ({_HIST}) SELECT query_id, start_time FROM h WHERE start_time >= (SELECT max(start_time) FROM h) - INTERVAL 30 DAY ORDER BY start_time DESC, query_id LIMIT 50")
+def _recent(spark, d):
+    read_table(spark, d, "orders").createOrReplaceTempView("orders")
+    h = spark.sql(_HIST)
+    now = h.agg(F.max("start_time")).first()[0]
+    return hist.recent(h.withColumn("start_time", F.col("start_time")), str(now), 30, 50).select("query_id", "start_time")
+
+
+@query("bench_cost", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 0.0 ELSE round(o_custkey / 3600000.0 * 8 * 3, 12) END AS usd FROM orders")
+def _bench_cost(spark, d):
+    path = F.when(F.col("o_orderkey") % 2 == 0, "lake").otherwise("warehouse")
+    return read_table(spark, d, "orders").select("o_orderkey", F.round(benchmarks.cost(F.col("o_custkey"), F.lit("Large"), path), 12).alias("usd"))
+
+
+@query("bench_summary", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'lake' ELSE 'warehouse' END AS path, count(*) AS n, round(quantile_cont(CAST(o_custkey AS DOUBLE), 0.5), 4) AS p50, round(quantile_cont(CAST(o_custkey AS DOUBLE), 0.95), 4) AS p95, round(sum(CASE WHEN o_orderkey % 2 = 0 THEN 0.0 ELSE o_totalprice END), 2) AS usd, CASE WHEN o_orderkey % 2 = 1 THEN round(count(*) / sum(o_totalprice), 9) END AS per_dollar FROM orders GROUP BY 1, o_orderkey % 2")
+def _bench_summary(spark, d):
+    odd = F.col("o_orderkey") % 2 == 1
+    records = read_table(spark, d, "orders").select(F.when(odd, "warehouse").otherwise("lake").alias("path"), F.col("o_custkey").cast("double").alias("ms"), F.when(odd, F.col("o_totalprice")).otherwise(F.lit(0.0)).alias("usd"))
+    return benchmarks.summarize(records).select("path", "n", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), F.round("usd", 2).alias("usd"), F.round("per_dollar", 9).alias("per_dollar"))
+
+
+@query("latency_model", "SELECT true AS median_close, true AS tail_close")
+def _latency(spark, d):
+    x = spark.range(200_000).select(benchmarks.lognormal_latency(90.0, 320.0).alias("ms")).agg(F.percentile("ms", 0.5).alias("p50"), F.percentile("ms", 0.95).alias("p95"))
+    return x.select((F.abs(F.col("p50") / 90 - 1) < 0.03).alias("median_close"), (F.abs(F.col("p95") / 320 - 1) < 0.05).alias("tail_close"))
+
+
+#: Agent workload: templates by kind with their weights in 200 queries.
+AGENT_MIX = {"filter": 140, "aggregate": 40, "join": 20}
+AGENT = {
+    "filter": "SELECT event_id, value FROM analytics.public.events WHERE user_id = {k} AND value > 5",
+    "aggregate": "SELECT event_type, COUNT(*) AS n FROM analytics.public.events WHERE user_id < {k} GROUP BY event_type",
+    "join": "SELECT c.c_mktsegment, COUNT(*) AS n FROM analytics.public.events e JOIN analytics.public.customer c ON e.user_id = c.c_custkey WHERE e.user_id = {k} GROUP BY c.c_mktsegment",
+}
+
+
+@query("agent_workload", "SELECT 'lake' AS route, 200 AS n")
+def _agent(spark, d):
+    rng = random.Random(7)
+    kinds = [k for k, n in AGENT_MIX.items() for _ in range(n)]
+    rng.shuffle(kinds)
+    got = [(route(AGENT[k].format(k=rng.randrange(150))).route,) for k in kinds]
+    return spark.createDataFrame(got, "route string").groupBy("route").agg(F.count("*").cast("int").alias("n"))

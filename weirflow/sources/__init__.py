@@ -1 +1 @@
-
+"""Sources and sinks beyond plain Parquet tables."""

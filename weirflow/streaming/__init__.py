@@ -1 +1 @@
-
+"""Streaming CDC: files of change batches merged into versioned tables."""
