@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
+from .wordtable import CHUNK_BYTES, words_of_texts
 
 SHAPES = 64
 HEAD = (1 << 16) - 1 - SHAPES
@@ -44,7 +45,6 @@ ROUNDS = 3
 BLOCK = 1024
 ADD = 0.1
 CACHE_WORDS = 400_000
-CHUNK_WORDS = 300_000
 END = 0
 _STRIP = b".,;:!?\"'()[]{}|*#$%&"
 
@@ -60,52 +60,43 @@ def word_key(word: bytes) -> int:
     return (xxhash.xxh3_64_intdigest(word) & ~63) | shape(word)
 
 
-class _Cache(dict):
-    def __init__(self):
-        self.todo: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.todo.append(word)
-        return n
-
-
 def _texts(batches, text_column: int):
-    """(batch, first row, word lists) of bounded chunks of rows."""
+    """(batch, first row, texts) of bounded chunks of rows, A-Z lower-cased."""
     for b in batches:
-        first, lists, size = 0, [], 0
+        first, texts, size = 0, [], 0
         for t in b.column(text_column):
-            raw = t.as_py()
-            lists.append(raw.lower().split() if raw else [])
-            size += len(lists[-1]) + 1
-            if size > CHUNK_WORDS:
-                yield b, first, lists
-                first, lists, size = first + len(lists), [], 0
-        if lists:
-            yield b, first, lists
+            texts.append((t.as_py() or b"").lower())
+            size += len(texts[-1]) + 1
+            if size > CHUNK_BYTES:
+                yield b, first, texts
+                first, texts, size = first + len(texts), [], 0
+        if texts:
+            yield b, first, texts
 
 
 def count_words(train: DataFrame) -> DataFrame:
     """(key, n) of the words of a one-column table of binary texts."""
 
     def run(batches):
-        cache, total = _Cache(), np.zeros(0, np.int64)
+        number: dict[bytes, int] = {}
+        total = np.zeros(1 << 18, np.int64)
 
         def flush():
-            keys = np.fromiter((word_key(w) for w in cache), np.uint64, len(cache))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(total)], names=["key", "n"])
-
-        for _, _, lists in _texts(batches, 0):
-            words = [w for x in lists for w in x]
-            at = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-            n = np.bincount(at, minlength=len(cache))
-            n[: len(total)] += total
-            total = n
-            if len(cache) > CACHE_WORDS:
-                yield from flush()
-                cache, total = _Cache(), np.zeros(0, np.int64)
-        if cache:
-            yield from flush()
+            keys = np.fromiter(map(word_key, number), np.uint64, len(number))
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(total[: len(number)])], names=["key", "n"])
+
+        for _, _, texts in _texts(batches, 0):
+            words, at, _ = words_of_texts(texts)
+            names = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+            while len(number) > len(total):
+                total = np.concatenate([total, np.zeros_like(total)])
+            total[names] += np.bincount(at, minlength=len(words))
+            if len(number) > CACHE_WORDS:
+                yield flush()
+                number.clear()
+                total[:] = 0
+        if number:
+            yield flush()
 
     return train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -135,34 +126,23 @@ def _encode(docs: DataFrame, keys: np.ndarray, n: np.ndarray) -> DataFrame:
 
     def run(batches):
         known, counts, unit_of = table.value
-        cache = _Cache()
-        unit, logs, words_key = np.zeros(0, np.uint16), np.zeros(0), np.zeros(0, np.uint64)
-
-        for b, first, lists in _texts(batches, 2):
-            if len(cache) > CACHE_WORDS:
-                cache = _Cache()
-                unit, logs, words_key = unit[:0], logs[:0], words_key[:0]
-            words = [w for x in lists for w in x]
-            at = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-            if cache.todo:
-                new = np.fromiter(map(word_key, cache.todo), np.uint64, len(cache.todo))
-                cache.todo = []
-                place = np.minimum(np.searchsorted(known, new), max(len(known) - 1, 0))
-                hit = known[place] == new if len(known) else np.zeros(len(new), bool)
-                u = np.where(hit, unit_of[place], -1) if len(known) else np.full(len(new), -1)
-                u = np.where(u < 0, HEAD + 1 + (new & np.uint64(63)).astype(np.int64), u)
-                c = np.where(hit, counts[place], 0) if len(known) else np.zeros(len(new))
-                unit = np.concatenate([unit, u.astype(np.uint16)])
-                logs = np.concatenate([logs, np.where(hit, np.log10(c + ADD), np.nan)])
-                words_key = np.concatenate([words_key, new])
-            ends = np.cumsum([len(x) for x in lists])
-            u, x, k = unit[at], logs[at], words_key[at]
+        for b, first, texts in _texts(batches, 2):
+            words, at, ends = words_of_texts(texts)
+            new = np.fromiter(map(word_key, words), np.uint64, len(words))
+            unit = HEAD + 1 + (new & np.uint64(63)).astype(np.int64)
+            logs = np.full(len(new), np.nan)
+            if len(known):
+                place = np.minimum(np.searchsorted(known, new), len(known) - 1)
+                hit = known[place] == new
+                unit = np.where(hit & (unit_of[place] > 0), unit_of[place], unit)
+                logs[hit] = np.log10(counts[place[hit]] + ADD)
+            u, x, k = unit.astype(np.uint16)[at], logs[at], new[at]
             rows = []
-            for i, (a, z) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)):
+            for a, z in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
                 seen = ~np.isnan(x[a:z])
                 rows.append((u[a:z].tobytes(), int(z - a) + 1, float(x[a:z][seen].sum()), int(seen.sum()), k[a:z][~seen].view(np.int64)))
             cols = list(zip(*rows, strict=True))
-            part = b.slice(first, len(lists))
+            part = b.slice(first, len(texts))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), part.column(3), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.int64()))],
                 names=["rid", "doc_id", "held_out", "units", "n_tokens", "log_sum", "n_seen", "others"],
@@ -347,7 +327,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: i
     np.add.at(members, classes[HEAD + 1 :], by_shape + 1)
     tokens = matrix.sum(0).astype(np.float64)
     # documents are joined by END in the counts: each stream's END after its last word is the same one
-    word_norm = np.log10(tokens + ADD * members)
+    word_norm = np.log10(np.maximum(tokens + ADD * members, ADD))
     moves = np.log10(matrix + ADD) - np.log10(matrix.sum(1, keepdims=True) + ADD * CLASSES)
     end_log = float(np.log10(n_docs + ADD))
     table = docs.sparkSession.sparkContext.broadcast((classes, moves, word_norm))

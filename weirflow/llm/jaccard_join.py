@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import id_filter, join_groups, passes, staged
 from .components import components
+from .wordtable import CHUNK_BYTES, words_of_texts
 
 #: Words per shingle and similarity in percent, unless the caller says otherwise.
 WORDS, PERCENT = 5, 80
@@ -45,8 +46,6 @@ COUNTED_SHARE = 0.25
 MAX_FREQUENT = 1 << 20
 MIN_FREQUENT = 12
 GROUP = 256
-CACHE_WORDS = 400_000
-CHUNK_WORDS = 300_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -58,53 +57,39 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Cache(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-class Shingler:
-    """Sorted arrays of a text's distinct shingle hashes."""
-
-    def __init__(self, words: int):
-        self.k, self.cache = words, _Cache()
-
-    def sets(self, texts: list[bytes | None]):
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = _Cache()
-        lists = [t.lower().split() if t else [] for t in texts]
-        n = [len(x) for x in lists]
-        h = np.fromiter(map(self.cache.__getitem__, (w for x in lists for w in x)), np.uint64, sum(n))
-        total = np.zeros(len(h), np.uint64)
-        for j in range(self.k):  # the hash of the window that starts at each word
-            total[: len(h) - j] = _mix(total[: len(h) - j] + h[j:])
-        a = 0
-        for m in n:
-            if m >= self.k:
-                yield np.unique(total[a : a + m - self.k + 1])
-            elif m:  # the whole sequence is one shingle
-                one = np.zeros(1, np.uint64)
-                for w in h[a : a + m]:
-                    one = _mix(one + w)
-                yield one
-            else:
-                yield total[:0]
-            a += m
-
-
-def _rows(batches, shingler: Shingler, text_column: int):
+def shingle_sets(texts: list[bytes], k: int):
+    """Sorted arrays of the texts' distinct shingle hashes."""
+    words, at, ends = words_of_texts([t.lower() for t in texts])
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[at]
+    total = np.zeros(len(h), np.uint64)
+    for j in range(k):  # the hash of the window that starts at each word
+        total[: len(h) - j] = _mix(total[: len(h) - j] + h[j:])
+    a = 0
+    for z in ends.tolist():
+        if z - a >= k:
+            yield np.unique(total[a : z - k + 1])
+        elif z > a:  # the whole sequence is one shingle
+            one = np.zeros(1, np.uint64)
+            for w in h[a:z]:
+                one = _mix(one + w)
+            yield one
+        else:
+            yield total[:0]
+        a = z
+
+
+def _rows(batches, k: int, text_column: int):
     """(batch, first row, sets) of bounded chunks of rows."""
     for b in batches:
         first, texts, size = 0, [], 0
         for t in b.column(text_column):
-            texts.append(t.as_py())
-            size += len(texts[-1] or b"") // 6 + 1
-            if size > CHUNK_WORDS:
-                yield b, first, list(shingler.sets(texts))
+            texts.append(t.as_py() or b"")
+            size += len(texts[-1]) + 1
+            if size > CHUNK_BYTES:
+                yield b, first, list(shingle_sets(texts, k))
                 first, texts, size = first + len(texts), [], 0
         if texts:
-            yield b, first, list(shingler.sets(texts))
+            yield b, first, list(shingle_sets(texts, k))
 
 
 def digest(s: np.ndarray) -> int:
@@ -122,8 +107,7 @@ def nodes_of(docs: DataFrame, words: int) -> DataFrame:
     """(rid, doc_id, n, cls) of (rid, doc_id, binary text)."""
 
     def run(batches):
-        sh = Shingler(words)
-        for b, first, sets in _rows(batches, sh, 2):
+        for b, first, sets in _rows(batches, words, 2):
             part = b.slice(first, len(sets))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], names=["rid", "doc_id", "n", "cls"])
 
@@ -135,14 +119,13 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
     limit = np.uint64(int(COUNTED_SHARE * 2**64))
 
     def run(batches):
-        sh = Shingler(words)
         held, size = [], 0
 
         def flush():
             u, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-        for _, _, sets in _rows(batches, sh, 2):
+        for _, _, sets in _rows(batches, words, 2):
             held += [s[: np.searchsorted(s, limit)] for s in sets]
             size += sum(len(s) for s in held[-len(sets) :])
             if size > 4_000_000:
@@ -178,8 +161,8 @@ def postings(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches):
-        sh, seen = Shingler(words), set()
-        for _, _, sets in _rows(batches, sh, 2):
+        seen = set()
+        for _, _, sets in _rows(batches, words, 2):
             hs, cs, ns, ls = [], [], [], []
             for s in sets:
                 if len(s) and (d := digest(s)) not in seen:
@@ -228,8 +211,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     shared = id_filter(wanted.select("cls"))
 
     def run(batches):
-        sh, seen = Shingler(words), set()
-        for _, _, sets in _rows(batches, sh, 2):
+        seen = set()
+        for _, _, sets in _rows(batches, words, 2):
             rows = []
             names = np.array([digest(s) for s in sets], np.int64)
             for s, d in zip(sets, names.tolist(), strict=True) if passes(shared.value, names).any() else ():
