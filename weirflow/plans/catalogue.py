@@ -166,8 +166,18 @@ warehouse("equal_null", "SELECT o_orderkey, EQUAL_NULL(NULLIF(o_orderstatus, 'P'
 warehouse("nvl_family", "SELECT o_orderkey, NVL(NULLIF(o_orderstatus, 'P'), '?') AS a, NVL2(NULLIF(o_orderstatus, 'P'), 'has', 'none') AS b, ZEROIFNULL(NULLIF(o_custkey, 5)) AS c FROM orders", "SELECT o_orderkey, coalesce(NULLIF(o_orderstatus, 'P'), '?') AS a, CASE WHEN NULLIF(o_orderstatus, 'P') IS NOT NULL THEN 'has' ELSE 'none' END AS b, coalesce(NULLIF(o_custkey, 5), 0) AS c FROM orders", "orders")
 warehouse("bool_aggs", "SELECT o_custkey, BOOLAND_AGG(o_totalprice > 1000) AS every_one, BOOLOR_AGG(o_totalprice > 200000) AS some_one FROM orders GROUP BY o_custkey", "SELECT o_custkey, bool_and(o_totalprice > 1000) AS every_one, bool_or(o_totalprice > 200000) AS some_one FROM orders GROUP BY o_custkey", "orders")
 warehouse("dateadd_units", "SELECT o_orderkey, DATEADD(day, 7, o_orderdate) AS d, DATEADD(month, -2, o_orderdate) AS m, DATEADD('hour', 30, o_orderdate) AS h, DATEADD(quarter, 1, CAST(o_orderdate AS DATE)) AS q, DATEADD(week, 1, CAST(o_orderdate AS DATE)) AS w, TIMESTAMPADD(minute, 90, o_orderdate) AS mi, DATEADD(year, 1, o_orderdate) AS y FROM orders", "SELECT o_orderkey, o_orderdate + INTERVAL 7 DAY AS d, o_orderdate - INTERVAL 2 MONTH AS m, o_orderdate + INTERVAL 30 HOUR AS h, CAST(CAST(o_orderdate AS DATE) + INTERVAL 3 MONTH AS DATE) AS q, CAST(CAST(o_orderdate AS DATE) + INTERVAL 7 DAY AS DATE) AS w, o_orderdate + INTERVAL 90 MINUTE AS mi, o_orderdate + INTERVAL 1 YEAR AS y FROM orders", "orders")
+
+
+def _boundaries(unit: str) -> str:
+    """Unit boundaries between ts and event_id hours later, for DuckDB; weeks start on Monday."""
+    later = "ts + CAST(event_id AS INTEGER) * INTERVAL 1 HOUR"
+    if unit == "week":
+        return f"datediff('day', date_trunc('week', ts), date_trunc('week', {later})) // 7"
+    return f"datediff('{unit}', ts, {later})"
+
+
 _UNITS = ("year", "quarter", "month", "week", "day", "hour", "minute", "second")
-warehouse("datediff_boundaries", "SELECT event_id, " + ", ".join(f"DATEDIFF({u}, ts, DATEADD(hour, event_id, ts)) AS {u}s" for u in _UNITS) + " FROM events WHERE event_id < 5000", "SELECT event_id, " + ", ".join(f"CAST(datediff('{u}', ts, ts + CAST(event_id AS INTEGER) * INTERVAL 1 HOUR) AS {'INTEGER' if u in _UNITS[:5] else 'BIGINT'}) AS {u}s" for u in _UNITS) + " FROM events WHERE event_id < 5000", "events")
+warehouse("datediff_boundaries", "SELECT event_id, " + ", ".join(f"DATEDIFF({u}, ts, DATEADD(hour, event_id, ts)) AS {u}s" for u in _UNITS) + " FROM events WHERE event_id < 5000", "SELECT event_id, " + ", ".join(f"CAST({_boundaries(u)} AS {'INTEGER' if u in _UNITS[:5] else 'BIGINT'}) AS {u}s" for u in _UNITS) + " FROM events WHERE event_id < 5000", "events")
 warehouse("date_trunc_units", "SELECT event_id, " + ", ".join(f"DATE_TRUNC({u}, ts) AS {u}_at" for u in _UNITS) + " FROM events", "SELECT event_id, " + ", ".join(f"CAST(date_trunc('{u}', ts) AS TIMESTAMP) AS {u}_at" for u in _UNITS) + " FROM events", "events")
 warehouse("convert_timezone", "SELECT event_id, CONVERT_TIMEZONE('America/New_York', ts) AS ny, CONVERT_TIMEZONE('UTC', 'Asia/Tokyo', ts) AS tokyo FROM events", "SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS ny, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Tokyo' AS tokyo FROM events", "events")
 warehouse("parse_json_get_path", "SELECT event_id, CAST(GET_PATH(PARSE_JSON(props), 'k') AS BIGINT) AS k, CAST(variant_get(PARSE_JSON(props), '$.k', 'bigint') AS BIGINT) AS v FROM events", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) AS v FROM events", "events")
