@@ -44,28 +44,36 @@ STEP = 25
 DEPTH = LENGTH // STEP
 HOT = 512
 OFFSETS = 16
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SHARDS = 4
 MERGE_BYTES = 60_000
-_SALT = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+#: A random 64-bit value for each byte, and an odd multiplier for each doubling of the width.
+_BYTES = np.random.default_rng(1).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+_ODD = np.random.default_rng(2).integers(0, 1 << 63, 32, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` bytes from each position on, built by doubling."""
-    h, width, out, done = _mix(data.astype(np.uint64) + _SALT), 1, None, 0
+    """Hash of the `size` bytes from each position on, built by doubling: a sum of the bytes' values, each
+    times what its place makes of the multipliers, then mixed."""
+    h, width, out, done, level = _BYTES[data], 1, None, 0, 0
     while True:
         if size & width:
-            out = h if out is None else _mix(out[: len(h) - done] * _SALT + h[done:])
+            if out is None:
+                out = h.copy()
+            else:
+                out = out[: len(h) - done] * _ODD[level + 16]
+                out += h[done:]
             done += width
         if width * 2 > size:
-            return out[: max(0, len(data) - size + 1)]
-        h = _mix(h[: len(h) - width] * _SALT + h[width:])
-        width *= 2
+            out = out[: max(0, len(data) - size + 1)]
+            out ^= out >> np.uint64(32)
+            out *= np.uint64(0xD6E8FEB86659FD93)
+            out ^= out >> np.uint64(32)
+            return out
+        far = h[width:]
+        h = h[: len(h) - width] * _ODD[level]
+        h += far
+        width, level = width * 2, level + 1
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
