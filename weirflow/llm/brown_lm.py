@@ -174,8 +174,9 @@ def _profiles(train: DataFrame, classes: np.ndarray) -> DataFrame:
         for _, _, s, _ in _streams(batches, 0):
             # one stream of all documents: END stands between them, as end of one and start of the next
             left, right = s[:-1], s[1:]
-            total[0] += np.bincount(left * CLASSES + c[right], minlength=cell).astype(np.uint32)
-            total[1] += np.bincount(right * CLASSES + c[left], minlength=cell).astype(np.uint32)
+            for side, cells in enumerate((left * CLASSES + c[right], right * CLASSES + c[left])):
+                at, n = np.unique(cells, return_counts=True)
+                total[side, at] += n.astype(np.uint32)
         for block in range(0, n_units, BLOCK):
             part = total[:, block * CLASSES : (block + BLOCK) * CLASSES].ravel()
             at = np.flatnonzero(part)

@@ -8,7 +8,7 @@ import numpy as np
 from .common import BLANKS
 
 #: Texts are worked on in chunks of about so many bytes.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _MUL = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MUL, -1, 1 << 64)
 
@@ -59,7 +59,7 @@ def distinct(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[byt
         return [], np.zeros(0, np.int64)
     longest = int((ends - starts).max())
     size = len(raw) + 1
-    if size > 4 * CHUNK_BYTES or longest > CHUNK_BYTES:  # one huge text: tables of its size would cost more than they save
+    if size > 16 * CHUNK_BYTES or longest > CHUNK_BYTES:  # one huge text: tables of its size would cost more than they save
         seen: dict[bytes, int] = {}
         at = np.fromiter((seen.setdefault(raw[a:z], len(seen)) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
         return list(seen), at
