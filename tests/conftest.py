@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
     s = make_session(
         "tests", "local[4]",
         **{
-            "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.checkpoint.dir": f"file://{shared}",
+            "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.checkpoint.dir": f"file://{shared}",
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.driver.memory": "4g",
         },
     )
