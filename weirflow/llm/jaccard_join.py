@@ -381,5 +381,15 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Only ids to drop are joined; documents without a word are no copies and stay.
     """
     found = link_documents(docs, doc_id, text, words, percent)
-    gone = found.filter("class_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == F.col("_gone"), "left_anti")
+    gone = staged(found.filter("class_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    bits = id_filter(gone.select(F.xxhash64("_gone")))
+
+    @F.pandas_udf("boolean")
+    def may_go(h: pd.Series) -> pd.Series:
+        return pd.Series(passes(bits.value, h.to_numpy()))
+
+    # rows that the filter clears pass straight through; only the others are joined
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"))
+    rows = rows.withColumn("maybe", F.coalesce(may_go(F.xxhash64("id")), F.lit(False)))
+    stay = rows.filter("maybe").join(gone, F.col("id") == F.col("_gone"), "left_anti")
+    return rows.filter("not maybe").select("row.*").unionByName(stay.select("row.*"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import brown_lm, exact_dedup, jaccard_join, licenses, mixing, pieces, quality, suffix_dedup, token_files, warc
-from .common import new_dir
+from .common import new_dir, staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_dir(spark, "warc")
     names = warc.write_archives(_table(spark, sf_dir, "pages"), folder)
-    captures = warc.assemble(warc.read_records(spark, folder, names, with_payload=False))
+    captures = warc.assemble(staged(warc.read_records(spark, folder, names, with_payload=False), "records"))
     fact = lambda name: F.col("metadata.fields")[name].try_cast("long")
     return captures.select(
         fact("page-id").alias("page_id"), fact("payload-length").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),

@@ -184,7 +184,11 @@ def read_records(spark: SparkSession, folder: str, names: list[str], with_payloa
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: (response, request, metadata) structs; a lacking request or metadata is null."""
+    """One row per capture: (response, request, metadata) structs; a lacking request or metadata is null.
+
+    `records` is read three times and should be staged: then archives are parsed once, and the sizes that
+    decide between join strategies are those of the table, not a guess from the list of files.
+    """
     response = records.filter(F.col("kind").isin("response", "revisit"))
     response = response.select(F.col("record_id").alias("id"), F.struct("kind", "record_id", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload").alias("response"))
     for kind in ("request", "metadata"):
