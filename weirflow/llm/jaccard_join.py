@@ -4,10 +4,12 @@ Documents are sets of distinct word shingles, as 64-bit hashes; documents with e
 class. All links between classes (similarity at or above the threshold) are found exactly:
 
 1. Token order. Shingles whose hash is in the lowest COUNTED_SHARE of all hashes are counted over the
-   corpus; the frequent ones come last in the order, every other shingle stands in order of its hash.
-   Any fixed order keeps the next step exact; this one keeps common passages out of it.
+   corpus. Those in one document only come first in the order, then the others that are counted but not
+   frequent, then all that aren't counted, and last the frequent ones; by hash among themselves. Any
+   fixed order keeps the next step exact; this one keeps common passages out of it.
 2. Prefixes. Of two linked sets each has one of its first n - ceil(t n) + 1 shingles among those of the
-   other. Classes that share no such shingle with any other class are done: they have no link.
+   other, and that one is in two documents. Classes whose prefix is made of shingles of their own, or
+   that share none with another class, are done: they have no link.
 3. Groups. The remaining classes are partitioned into groups of similar ones: by their least shingle,
    split by hash into groups of about GROUP classes. All links within a group are found in its task.
 4. Matrix. Each group's row is the union of its members' shingles. A query class opens a group only if
@@ -18,7 +20,9 @@ class. All links between classes (similarity at or above the threshold) are foun
    groups, and yet no link between two components is lost.
 5. Components over the links.
 
-The broadcast data have fixed bounds: 2**20 frequent shingles and a 16 MB filter of class ids.
+Texts are cut into shingles once; the part of each set that steps 1 and 2 need is staged. Only documents
+of classes that go on are read again. The broadcast data have fixed bounds: 2**20 frequent shingles and
+16 MB filters of repeated shingles and of document ids.
 
 Defined cases: null or empty text, or text without a word, has an empty set, links with nothing and is
 its own component; fewer words than a shingle make one shingle; repeated rows fall into one class and
@@ -42,7 +46,7 @@ from .wordtable import CHUNK_BYTES, words_of_texts
 
 #: Words per shingle and similarity in percent, unless the caller says otherwise.
 WORDS, PERCENT = 5, 80
-COUNTED_SHARE = 0.25
+COUNTED_SHARE = 0.2
 MAX_FREQUENT = 1 << 20
 MIN_FREQUENT = 12
 GROUP = 256
@@ -103,20 +107,27 @@ def needed(n, percent: int):
     return -(-n * percent // 100)
 
 
-def nodes_of(docs: DataFrame, words: int) -> DataFrame:
-    """(rid, doc_id, n, cls) of (rid, doc_id, binary text)."""
+def counted_limit() -> np.uint64:
+    return np.uint64(int(COUNTED_SHARE * 2**64))
+
+
+def nodes_of(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(rid, doc_id, n, cls, low) of (rid, doc_id, binary text); low: the counted shingles and as many of the
+    next as a prefix may need, in order of hash."""
+    limit = counted_limit()
 
     def run(batches):
         for b, first, sets in _rows(batches, words, 2):
             part = b.slice(first, len(sets))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64())], names=["rid", "doc_id", "n", "cls"])
+            low = [s[: int(np.searchsorted(s, limit)) + len(s) - needed(len(s), percent) + 1].tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array(low, pa.binary())], names=["rid", "doc_id", "n", "cls", "low"])
 
-    return docs.mapInArrow(run, "rid long, doc_id long, n long, cls long")
+    return docs.mapInArrow(run, "rid long, doc_id long, n long, cls long, low binary")
 
 
-def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of the most frequent counted shingles, at most MAX_FREQUENT."""
-    limit = np.uint64(int(COUNTED_SHARE * 2**64))
+def repeated_shingles(nodes: DataFrame):
+    """(sorted hashes of the most frequent counted shingles, at most MAX_FREQUENT; filter of all repeated ones)."""
+    limit = counted_limit()
 
     def run(batches):
         held, size = [], 0
@@ -125,56 +136,68 @@ def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
             u, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-        for _, _, sets in _rows(batches, words, 2):
-            held += [s[: np.searchsorted(s, limit)] for s in sets]
-            size += sum(len(s) for s in held[-len(sets) :])
-            if size > 4_000_000:
+        for b in batches:
+            for raw in b.column(0):
+                s = np.frombuffer(raw.as_py(), np.uint64)
+                held.append(s[: np.searchsorted(s, limit)])
+                size += len(held[-1])
+            if size > 1_000_000:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
 
-    df = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_FREQUENT)
-    df = staged(df, "frequent")
-    levels = df.groupBy(F.least("n", F.lit(100_000)).alias("level")).agg(F.count("*").alias("m")).collect()
+    counts = nodes.select("low").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
+    counts = staged(counts, "repeated")
+    levels = counts.filter(F.col("n") >= MIN_FREQUENT).groupBy(F.least("n", F.lit(100_000)).alias("level")).agg(F.count("*").alias("m")).collect()
     room, cut = MAX_FREQUENT, 100_001
     for r in sorted(levels, key=lambda r: -r["level"]):
         room -= r["m"]
         if room < 0:
             break
         cut = r["level"]
-    return np.sort(df.filter(F.col("n") >= cut).select("h").toArrow()["h"].to_numpy().view(np.uint64))
-
-
-def _prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    size = len(s) - needed(len(s), percent) + 1
-    if not len(frequent):
-        return s[:size]
-    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    common = frequent[at] == s
-    rare = s[~common]
-    return rare[:size] if len(rare) >= size else np.concatenate([rare, s[common][: size - len(rare)]])
-
-
-def postings(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    frequent = np.sort(counts.filter(F.col("n") >= cut).select("h").toArrow()["h"].to_numpy().view(np.uint64))
+    return frequent, id_filter(counts.select("h"))
+
+
+def shared_prefix(low: np.ndarray, n: int, percent: int, limit: np.uint64, frequent: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The prefix without the shingles that no other document has."""
+    k = int(np.searchsorted(low, limit))
+    counted, rest = low[:k], low[k:]
+    again = passes(bits, counted)
+    size = n - needed(n, percent) + 1 - int((~again).sum())
+    if size <= 0:
+        return low[:0]
+    counted = counted[again]
+    if len(frequent):
+        common = frequent[np.minimum(np.searchsorted(frequent, counted), len(frequent) - 1)] == counted
+        return np.concatenate([counted[~common], rest, counted[common]])[:size]
+    return np.concatenate([counted, rest])[:size]
+
+
+def postings(nodes: DataFrame, percent: int, frequent: np.ndarray, repeated) -> DataFrame:
     """(h, cls, n, least) of the prefix shingles that two or more classes have in their prefixes."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    limit = counted_limit()
+    shared = nodes.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches):
-        seen = set()
-        for _, _, sets in _rows(batches, words, 2):
+        sent: set[int] = set()  # classes of this task, so that copies of one text cost little; bounded
+        for b in batches:
             hs, cs, ns, ls = [], [], [], []
-            for s in sets:
-                if len(s) and (d := digest(s)) not in seen:
-                    if len(seen) < 1_000_000:
-                        seen.add(d)
-                    p = _prefix(s, shared.value, percent)
-                    hs.append(p)
-                    cs.append(np.full(len(p), d))
-                    ns.append(np.full(len(p), len(s)))
-                    ls.append(np.full(len(p), s[0]))
+            for n, d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if d in sent:
+                    continue
+                if len(sent) < 1_000_000:
+                    sent.add(d)
+                low = np.frombuffer(raw.as_py(), np.uint64)
+                if not n or not len(p := shared_prefix(low, n, percent, limit, shared.value, repeated.value)):
+                    continue
+                hs.append(p)
+                cs.append(np.full(len(p), d))
+                ns.append(np.full(len(p), n))
+                ls.append(np.full(len(p), low[0]).view(np.int64))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (hs, cs, ns, ls)], names=["h", "cls", "n", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (cs, ns, ls)]], names=["h", "cls", "n", "least"])
 
     def keep(batches):
         """Of rows sorted by (h, cls): one for each class, where the next or previous one is another class with the same h."""
@@ -199,33 +222,27 @@ def postings(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) ->
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in last[:4]], names=["h", "cls", "n", "least"])
 
     kind = "h long, cls long, n long, least long"
-    return docs.mapInArrow(emit, kind).repartition("h").sortWithinPartitions("h", "cls").mapInArrow(keep, kind)
+    return nodes.select("n", "cls", "low").mapInArrow(emit, kind).repartition("h").sortWithinPartitions("h", "cls").mapInArrow(keep, kind)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(cls, n, least, shingles) of the wanted classes, one row each.
+def sets_of(docs: DataFrame, nodes: DataFrame, names: DataFrame, words: int) -> DataFrame:
+    """(cls, n, grp, shingles) of the classes in `names` (cls, grp), from the document with the least id of
+    each. A fixed-size filter of ids decides which texts are read; the join drops the others it lets
+    through. Rows that share the id come more than once."""
+    first = staged(nodes.groupBy("cls").agg(F.min("doc_id").alias("first_id")).join(names, "cls"), "first")
+    bits = id_filter(first.select(F.xxhash64("first_id")))
 
-    A fixed-size filter of class ids decides which sets leave the scan; those it lets through by
-    chance are dropped by the join.
-    """
-    shared = id_filter(wanted.select("cls"))
+    @F.pandas_udf("boolean")
+    def wanted(h: pd.Series) -> pd.Series:
+        return pd.Series(passes(bits.value, h.to_numpy()))
 
     def run(batches):
-        seen = set()
-        for _, _, sets in _rows(batches, words, 2):
-            rows = []
-            names = np.array([digest(s) for s in sets], np.int64)
-            for s, d in zip(sets, names.tolist(), strict=True) if passes(shared.value, names).any() else ():
-                if len(s) and d not in seen and passes(shared.value, np.array([d]))[0]:
-                    if len(seen) < 1_000_000:
-                        seen.add(d)
-                    rows.append((d, len(s), s.view(np.int64)[0], s.tobytes()))
-            if rows:
-                c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], names=["cls", "n", "least", "shingles"])
-
-    found = docs.mapInArrow(run, "cls long, n long, least long, shingles binary")
-    return found.dropDuplicates(["cls"]).join(wanted.select("cls"), "cls", "left_semi")
+        for b, start, sets in _rows(batches, words, 1):
+            ids = b.column(0).slice(start, len(sets))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "cls", "n", "shingles"])
+
+    found = docs.filter(wanted(F.xxhash64("doc_id"))).select("doc_id", "text").mapInArrow(run, "doc_id long, cls long, n long, shingles binary")
+    return found.join(first, "cls").filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "n", "grp", "shingles")
 
 
 class Group:
@@ -255,6 +272,7 @@ class Group:
 
 def cluster_group(part: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Exact clusters within one group: (cls, grp, cluster, lead); the lead has the most links."""
+    part = part.drop_duplicates("cls")
     sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
     group = Group(list(zip(part["cls"], sets, strict=True)))
     label = np.arange(len(sets))
@@ -283,7 +301,7 @@ def open_groups(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     asked = asked.join(sets.select("cls", "shingles"), "cls").select("grp", "slice", F.lit(1).alias("kind"), "cls", "shingles")
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil(F.col("queries") / 4096)).cast("long") - 1))
     members = sets.join(counts.select("grp", each.alias("slice")), "grp").select("grp", "slice", F.lit(0).alias("kind"), "cls", "shingles")
-    both = members.unionByName(asked).repartition("grp", "slice").sortWithinPartitions("grp", "slice", "kind")
+    both = members.unionByName(asked).repartition("grp", "slice").sortWithinPartitions("grp", "slice", "kind", "cls")
 
     def run(batches):
         at, members, group = None, [], None
@@ -294,7 +312,8 @@ def open_groups(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     at, members, group = (grp, part), [], None
                 s = np.frombuffer(raw, np.uint64)
                 if kind == 0:
-                    members.append((cls, s))
+                    if all(c != cls for c, _ in members[-1:]):
+                        members.append((cls, s))
                 elif members:
                     group = group or Group(members)
                     for i in group.links(s, percent):
@@ -306,15 +325,14 @@ def open_groups(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def class_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(cls, component) of the classes that have links, from (rid, doc_id, binary text)."""
-    frequent = frequent_shingles(docs, words)
-    lists = staged(postings(docs, words, percent, frequent), "postings")
-    wanted = staged(lists.select("cls").distinct(), "wanted")
-    sets = sets_of(docs, wanted, words)
-    sizes = lists.select("cls", "least").distinct().groupBy("least").agg(F.count("*").alias("members"))
-    sets = sets.join(sizes, "least").withColumn("grp", F.xxhash64("least", F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / GROUP)))).drop("members")
-    sets = staged(sets, "sets")
+def class_components(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(cls, component) of the classes that may have links, from (rid, doc_id, binary text) and its nodes."""
+    frequent, repeated = repeated_shingles(nodes)
+    lists = staged(postings(nodes, percent, frequent, repeated), "postings")
+    classes = staged(lists.select("cls", "least").distinct(), "classes")
+    sizes = classes.groupBy("least").agg(F.count("*").alias("members"))
+    names = classes.join(sizes, "least").select("cls", F.xxhash64("least", F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / GROUP))).alias("grp"))
+    sets = staged(sets_of(docs, nodes.select("cls", "doc_id"), names, words), "sets")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return cluster_group(part, percent)
@@ -360,8 +378,9 @@ def class_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(rid, doc_id, n_shingles, class_id, component_id), one row per document."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    nodes = staged(nodes_of(rows, words), "nodes")
-    links = class_components(rows, words, percent)
+    nodes = staged(nodes_of(rows, words, percent), "nodes")
+    links = class_components(rows, nodes, words, percent)
+    nodes = nodes.drop("low")
     # without a shingle a row is its own component
     full = nodes.filter("n > 0")
     per_class = full.groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows"))
