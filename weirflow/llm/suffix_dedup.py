@@ -141,8 +141,8 @@ def count_anchors(docs: DataFrame) -> DataFrame:
 
 
 def repeated_occurrences(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Staged (doc_id, did, anchor, piece, first, last, place, shard, body): occurrences of anchors that
-    pass the filter; body, the piece's bytes, where pieces differ, once per task."""
+    """Staged (doc_id, did, anchor, piece, first, last, place, shard, body, unlike): occurrences of anchors
+    that pass the filter; body, the piece's bytes, where pieces seem unlike, once per task."""
     every = id_filter(anchors.select("anchor"))
     mixed = id_filter(anchors.filter(~F.col("same")).select("anchor"))
 
@@ -168,12 +168,12 @@ def repeated_occurrences(docs: DataFrame, anchors: DataFrame) -> DataFrame:
                 [
                     pa.array([ids[t][0] for t in text.tolist()], pa.int64()), pa.array([ids[t][1] for t in text.tolist()], pa.int64()), pa.array(anchor),
                     pa.array(np.array(piece, np.uint64).view(np.int64)), pa.array(first + moved), pa.array(last + moved), pa.array(place - first, pa.int64()),
-                    pa.array([shard] * len(text), pa.int32()), pa.array(body, pa.binary()),
+                    pa.array([shard] * len(text), pa.int32()), pa.array(body, pa.binary()), pa.array(send, pa.bool_()),
                 ],
-                names=["doc_id", "did", "anchor", "piece", "first", "last", "place", "shard", "body"],
+                names=["doc_id", "did", "anchor", "piece", "first", "last", "place", "shard", "body", "unlike"],
             )
 
-    return staged(docs.mapInArrow(run, "doc_id long, did long, anchor long, piece long, first long, last long, place long, shard int, body binary"), "occurrences")
+    return staged(docs.mapInArrow(run, "doc_id long, did long, anchor long, piece long, first long, last long, place long, shard int, body binary, unlike boolean"), "occurrences")
 
 
 def merge_transforms(bodies: list[bytes], shards: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -297,8 +297,9 @@ def spans(docs: DataFrame) -> DataFrame:
     found = repeated_occurrences(docs, anchors)
     same = found.join(anchors.filter("same"), "anchor").select("doc_id", "did", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop"))
     unlike = anchors.filter("NOT same").select("anchor")
-    mixed = found.join(unlike, "anchor")
-    pieces = mixed.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min("shard").alias("shard"), F.first("place").alias("place"), F.max("body").alias("body"))
+    # pieces are counted before they meet at their anchor, so that a frequent anchor's copies are spread
+    pieces = found.filter("unlike").groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min("shard").alias("shard"), F.first("place").alias("place"), F.max("body").alias("body"))
+    pieces = pieces.join(unlike, "anchor")
     pieces = staged(pieces, "pieces")
     hot = pieces.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > HOT).select("anchor", F.lit(True).alias("hot"))
     parts = pieces.join(hot, "anchor", "left").select("anchor", "piece", "n", "shard", "place", "body", F.coalesce("hot", F.lit(False)).alias("hot"))
@@ -307,7 +308,7 @@ def spans(docs: DataFrame) -> DataFrame:
     runs = alike.select("key", "part", "n", "shard", "body").repartition("key").sortWithinPartitions("key").mapInArrow(_merged, "key long, part long, a long, z long")
     runs = parts.select("key", "part", "anchor", "piece", "off").join(runs, ["key", "part"]).select("anchor", "piece", (F.col("a") + F.col("off")).alias("a"), (F.col("z") + F.col("off")).alias("z"))
     runs = staged(runs.groupBy("anchor", "piece").agg(F.collect_list(F.struct("a", "z")).alias("runs")), "runs")
-    again = mixed.select("doc_id", "did", "anchor", "piece", "first").join(runs, ["anchor", "piece"])
+    again = found.filter("unlike").select("doc_id", "did", "anchor", "piece", "first").join(runs, ["anchor", "piece"])
     again = again.select("doc_id", "did", "first", F.explode("runs").alias("r")).select("doc_id", "did", (F.col("first") + F.col("r.a")).alias("start"), (F.col("first") + F.col("r.z") + LENGTH).alias("stop"))
     return same.unionByName(again)
 
