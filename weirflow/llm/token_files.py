@@ -31,28 +31,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bound_batches
+from .wordtable import CHUNK_BYTES, words_of_texts
+
 SEQ_LEN = 2048
 SEQS_PER_BATCH = 256
 END_ID = 2
 CACHE_WORDS = 400_000
-CHUNK_WORDS = 300_000
-
-
-class _Cache(dict):
-    """Word to number; words met for the first time are queued in `todo`."""
-
-    def __init__(self):
-        self.todo: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.todo.append(word)
-        return n
+ENCODE_AT_ONCE = 4096
 
 
 class Encoder:
-    """Ids of texts, an end id after each. Splitting at ASCII white space first is safe for a
-    tokenizer whose pre-tokenizer drops white space; `whole` turns the word cache off for others."""
+    """Ids of texts, an end id after each. Words are cached in lower case and without the marks at their
+    end, which is safe for a tokenizer that lower-cases, drops white space and splits letters from marks;
+    `whole` turns the cache off for others."""
 
     def __init__(self, path: str, end_id: int = END_ID, whole: bool = False):
         from tokenizers import Tokenizer
@@ -61,40 +53,56 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.cache = _Cache()
-        self.flat = np.array([self.end], np.uint32)
-        self.start, self.len = np.zeros(1, np.int64), np.ones(1, np.int64)
-        self.cache[b" "] = 0  # no word holds a blank: this is the end id
-
-    def _learn(self) -> None:
-        if not self.cache.todo:
-            return
-        got = [e.ids for e in self.tok.encode_batch([w.decode() for w in self.cache.todo], add_special_tokens=False)]
-        self.cache.todo = []
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        starts = len(self.flat) + np.concatenate([[0], np.cumsum(lens)[:-1]])
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(lens.sum()))])
-        self.start, self.len = np.concatenate([self.start, starts]), np.concatenate([self.len, lens])
+        self.number: dict[bytes, int] = {}
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.start, self.len = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.used = 0
+
+    def _learn(self, words: list[bytes]) -> None:
+        for a in range(0, len(words), ENCODE_AT_ONCE):
+            some = words[a : a + ENCODE_AT_ONCE]
+            got = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
+            lens = np.fromiter(map(len, got), np.int64, len(got))
+            n, m = len(self.number), int(lens.sum())
+            while self.used + m > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            while n + len(some) > len(self.start):
+                self.start, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.len))
+            self.start[n : n + len(some)] = self.used + np.cumsum(lens) - lens
+            self.len[n : n + len(some)] = lens
+            self.flat[self.used : self.used + m] = np.fromiter(itertools.chain.from_iterable(got), np.uint32, m)
+            self.used += m
+            self.number.update(zip(some, range(n, n + len(some)), strict=True))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per text)."""
         if self.whole:
             got = [e.ids + [self.end] for e in self.tok.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
             return np.fromiter(itertools.chain.from_iterable(got), np.uint32), np.array([len(x) for x in got], np.int64)
-        if len(self.cache) > CACHE_WORDS:
+        if len(self.number) > CACHE_WORDS:
             self.reset()
-        words: list[bytes] = []
-        ends = []
-        for t in texts:
-            words += t.split()
-            words.append(b" ")
-            ends.append(len(words))
-        at = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
-        self._learn()
-        lens = self.len[at]
-        upto = np.cumsum(lens)
-        ids = self.flat[np.repeat(self.start[at] - (upto - lens), lens) + np.arange(int(upto[-1]) if len(upto) else 0)]
-        return ids, np.diff(upto[np.array(ends) - 1], prepend=0)
+        words, at, ends = words_of_texts([t.lower() for t in texts], marks=True)
+        self._learn([w for w in words if w not in self.number])
+        name = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))[at]
+        lens = self.len[name]
+        upto = np.concatenate([[0], np.cumsum(lens)])
+        ids = self.flat[np.repeat(self.start[name] - upto[:-1], lens) + np.arange(int(upto[-1]))]
+        per_text = np.diff(upto[ends], prepend=0)
+        # the end ids go in after each text's own
+        out = np.full(len(ids) + len(texts), self.end, np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), per_text)] = ids
+        return out, per_text + 1
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def shared_encoder(path: str, end_id: int, whole: bool) -> Encoder:
+    """One encoder per Python worker: its cache serves all tasks that run there."""
+    key = (path, end_id, whole)
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
@@ -106,7 +114,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[byte
             ids.append(i)
             texts.append(t)
             size += len(t) + 1
-            if size > CHUNK_WORDS * 6:
+            if size > CHUNK_BYTES:
                 yield ids, texts
                 ids, texts, size = [], [], 0
     if ids:
@@ -164,6 +172,7 @@ class _Sink:
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, seq_len: int = SEQ_LEN, whole: bool = False) -> list[tuple[int, int, int]]:
     """Write the files; returns (part, start of the part in the whole stream, ids in the part)."""
+    bound_batches(docs.sparkSession)
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
@@ -173,7 +182,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc
         sink = None
         for ids, texts in _chunks(batches):
             if sink is None:
-                enc = Encoder(tokenizer, end_id, whole)
+                enc = shared_encoder(tokenizer, end_id, whole)
                 kind = np.dtype(np.uint16 if enc.tok.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else np.uint32)
                 part = TaskContext.get().partitionId()
                 sink = _Sink(folder, part, seq_len, kind)
