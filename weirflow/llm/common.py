@@ -20,11 +20,24 @@ GAP = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
 
 
+#: Rows that Spark sends to a Python worker at a time. Its default of 10,000 is meant for short rows:
+#: with texts of several kB, buffers on both sides would take hundreds of MB.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's batch size for Python workers; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: spark.checkpoint.dir.
 
     Only where the setting is missing (tests on one machine) a temporary folder takes its place.
     """
+    bound_batches(spark)
     sc = spark.sparkContext
     place = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not place:
