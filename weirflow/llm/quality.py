@@ -107,7 +107,10 @@ def judge(docs: DataFrame, text: str = "text", keep_pct: int = KEEP_PCT) -> Data
 
 def clean_documents(docs: DataFrame, text: str = "text", keep_pct: int = KEEP_PCT) -> DataFrame:
     """Kept documents with all their columns; text holds the surviving lines, n_chars its length."""
-    judged = judge(docs, text, keep_pct).filter("kept")
+    # The row number keeps the optimizer from pushing the verdict below the arrays it is made of, where each
+    # lambda would build them anew for every element.
+    judged = judge(docs, text, keep_pct).withColumn("number", F.monotonically_increasing_id())
+    judged = judged.filter(F.col("kept") & (F.col("number") >= 0))
     cols = []
     for c in docs.columns:
         if c == text:
