@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, tidy
 from .wordtable import CHUNK_BYTES, words_of_texts
 
 SHAPES = 64
@@ -72,6 +72,7 @@ def _texts(batches, text_column: int):
                 first, texts, size = first + len(texts), [], 0
         if texts:
             yield b, first, texts
+    tidy()
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -160,6 +161,7 @@ def _streams(batches, column: int):
             lens = np.array([len(x) // 2 for x in some], np.int64) + 1
             both = np.frombuffer(b"".join(b"\0\0" + x for x in some) + b"\0\0", np.uint16).astype(np.int64)
             yield b, a, both, lens
+    tidy()
 
 
 def _profiles(train: DataFrame, classes: np.ndarray) -> DataFrame:
@@ -337,7 +339,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: i
         classes, moves, word_norm = table.value
         for b in batches:
             parts = []
-            for _, _, s, lens in _streams(iter([b]), 1):
+            for _, _, s, lens in _streams((b,), 1):
                 c = classes[s]
                 step = moves[c[:-1], c[1:]] - word_norm[c[1:]]
                 parts.append(np.add.reduceat(step, np.concatenate([[0], np.cumsum(lens)[:-1]])))

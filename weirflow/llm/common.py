@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -150,3 +151,12 @@ def id_filter(ids: DataFrame):
 def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     at = ids.view(np.uint64) % np.uint64(FILTER_BITS)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+
+
+def tidy() -> None:
+    """Give what a task freed back to the system; Python workers live on and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # other C libraries have no such call
+        pass
