@@ -40,6 +40,20 @@ def test_query(spark, duck, name):
     assert got == canonical(rel.fetchall(), rel.columns)
 
 
+@pytest.mark.parametrize("name", ["datediff_boundaries_all", "flatten_all"])
+def test_all_events(spark, name):
+    """On tables with more events than the id ranges of the shorter queries, every event is in the result."""
+    d = SF.replace("0.001", "0.01")
+    con = duckdb.connect()
+    con.sql("SET TimeZone = 'UTC'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet'")
+    df = QUERIES[name](spark, d)
+    rows = [tuple(r) for r in df.collect()]
+    assert {r[0] for r in rows} == {i for (i,) in con.sql("SELECT event_id FROM events").fetchall()}
+    rel = con.sql(SQL[name])
+    assert canonical(rows, df.columns) == canonical(rel.fetchall(), rel.columns)
+
+
 def test_pushdown(spark):
     """Filters and columns reach the scan."""
     plan = QUERIES["filter_project_limit"](spark, SF)._jdf.queryExecution().executedPlan().toString()

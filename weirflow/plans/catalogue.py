@@ -184,6 +184,9 @@ warehouse("parse_json_get_path", "SELECT event_id, CAST(GET_PATH(PARSE_JSON(prop
 warehouse("object_construct", "SELECT n_nationkey, OBJECT_CONSTRUCT('name', n_name, 'region', n_regionkey, 'none', NULLIF(n_regionkey, 1)) AS o FROM nation", "SELECT n_nationkey, CAST(json_object('name', n_name, 'region', n_regionkey, 'none', NULLIF(n_regionkey, 1)) AS VARCHAR) AS o FROM nation", "nation")
 warehouse("array_construct", "SELECT n_nationkey, ARRAY_CONSTRUCT(n_nationkey, n_regionkey, 7)[1] AS second_item, SIZE(ARRAY_CONSTRUCT(n_nationkey, n_regionkey, 7)) AS n FROM nation", "SELECT n_nationkey, n_regionkey AS second_item, 3 AS n FROM nation", "nation")
 warehouse("flatten", "SELECT e.event_id, f.key, CAST(f.value AS BIGINT) AS v FROM events e, LATERAL FLATTEN(input => PARSE_JSON(e.props)) f WHERE e.event_id < 1000", "SELECT event_id, 'k' AS key, CAST(json_extract(props, '$.k') AS BIGINT) AS v FROM events WHERE event_id < 1000", "events")
+# `datediff_boundaries` and `flatten` are held to a range of ids by their SQL; these two run over all of events.
+warehouse("datediff_boundaries_all", "SELECT event_id, " + ", ".join(f"DATEDIFF({u}, ts, DATEADD(hour, event_id, ts)) AS {u}s" for u in _UNITS) + " FROM events", "SELECT event_id, " + ", ".join(f"CAST({_boundaries(u)} AS {'INTEGER' if u in _UNITS[:5] else 'BIGINT'}) AS {u}s" for u in _UNITS) + " FROM events", "events")
+warehouse("flatten_all", "SELECT e.event_id, f.key, CAST(f.value AS BIGINT) AS v FROM events e, LATERAL FLATTEN(input => PARSE_JSON(e.props)) f", "SELECT event_id, key, CAST(json_extract(props, '$.' || key) AS BIGINT) AS v FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)", "events")
 warehouse("to_json", "SELECT n_nationkey, TO_JSON(NAMED_STRUCT('k', n_nationkey, 'n', n_name)) AS j FROM nation", "SELECT n_nationkey, CAST(json_object('k', n_nationkey, 'n', n_name) AS VARCHAR) AS j FROM nation", "nation")
 warehouse("strip_database", "SELECT n.n_name FROM analytics.public.nation n WHERE n.n_nationkey IN (SELECT n_regionkey FROM other.public.nation)", "SELECT n_name FROM nation WHERE n_nationkey IN (SELECT n_regionkey FROM nation)", "nation")
 warehouse("exclude_columns", "SELECT * EXCLUDE (n_regionkey) FROM nation", "SELECT n_nationkey, n_name FROM nation", "nation")
