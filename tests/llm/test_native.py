@@ -151,3 +151,21 @@ def test_licenses(spark):
         6: [("apache-2.0-reference,mit-reference", "Apache-2.0,MIT", 2)] * 2, 7: [("mit-reference", "MIT", 1)],
     }
     assert licenses.scan(table(spark, [])).count() == 0
+
+
+def test_licenses_standard_texts(spark):
+    """Literal texts, as files carry them: wrapped, one paragraph a line, or indented."""
+    texts = {k: t for k, (t, _) in licenses.STANDARD.items()}
+    mit, apache, gpl, bsd = (texts[k] for k in ("mit-text", "apache-2.0-header", "gpl-3.0-notice", "bsd-3-clause-text"))
+    rows = [
+        (1, "The MIT License (MIT)\n\nCopyright (c) 2020 A B\n\n" + mit, "s"), (2, "Copyright 2020 A B\n\n" + apache, "s"), (3, "    " + gpl.replace("\n", "\n    "), "s"),
+        (4, gpl.replace("software:", "software;"), "s"), (5, mit.replace("\n\n", "@").replace("\n", " ").replace("@", "\n"), "s"), (6, bsd, "s"), (7, mit + "\n" + mit, "s"),
+        (8, apache.replace("at\n\n    http", "at http"), "s"), (9, mit[: mit.index("copies of the Software, and")], "s"), (10, "Released under the MIT License\nand more.\n\n" + apache, "s"),
+    ]
+    got = {r.doc_id: (r.rules, r.licenses, r.n_matches) for r in licenses.scan(table(spark, rows)).collect()}
+    header = "apache-2.0-header,apache-2.0-reference"
+    assert got == {
+        1: ("mit-text", "MIT", 1), 2: (header, "Apache-2.0", 2), 3: ("gpl-3.0-notice", "GPL-3.0", 1), 4: ("gpl-3.0-notice", "GPL-3.0", 1), 5: ("mit-text", "MIT", 1),
+        6: ("bsd-2-clause-text,bsd-3-clause-text", "BSD-2-Clause,BSD-3-Clause", 2), 7: ("mit-text", "MIT", 2), 8: (header, "Apache-2.0", 2),
+        10: (f"{header},mit-reference", "Apache-2.0,MIT", 3),
+    }

@@ -5,6 +5,9 @@ licence sentences. A document's known sentences, in order, form a sequence of id
 rule is an ordered sequence too, and it is found where its identifiers follow each other in the
 document with no other known sentence between them (unknown text may stand between).
 
+Besides the table's one-sentence forms, the sentences of the standard texts count as the operator itself
+cuts them: STANDARD holds the texts, and `spellings` passes them through the same cut and normalisation.
+
 Defined cases: null or empty text has no licence; repeated rows get equal results; a sentence met
 twice counts twice, a rule found twice is reported once with its count; an empty table gives an empty
 result; only doc_id and text are read, so that other columns cannot clash.
@@ -12,6 +15,8 @@ result; only doc_id and text are read, so that other columns cannot clash.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +57,80 @@ RULES = {
     "cc0-1.0-reference": ("CC0-1.0", ["cc0-ref"]),
 }
 
+#: Standard texts by rule, and the identifiers of what they are cut into, in order; None: not part of the rule.
+STANDARD = {
+    "apache-2.0-header": (
+        """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+        ["apache2-ref", "apache2-you-may-not", "apache2-obtain-at", "apache2-url", "apache2-as-is", None],
+    ),
+    "gpl-3.0-notice": (
+        """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+""",
+        ["gpl-free-software", "gpl-free-terms", "gpl-hope-useful", "gpl-hope-implied", None],
+    ),
+    "mit-text": (
+        """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+""",
+        ["mit-grant", "mit-notice", "mit-as-is", None],
+    ),
+    "bsd-3-clause-text": (
+        """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+        ["bsd-redistribution", None, "bsd-source", None, "bsd-binary", None, "bsd-endorse"],
+    ),
+}
+
 #: A sentence ends at a line break or at a mark followed by white space; licence texts are often
 #: wrapped, so a single line break inside a sentence is handled by looking at both cuts.
 LINE = "\n"
+PARAGRAPH = r"\n\s*\n"
 STOP = r"[.!?;:]+\s+"
 #: Words that each known sentence has one of: a cheap test before a text is cut up.
 HINT = r"(?i)licen[sc]e|permission|redistribut|warrant|public domain|copyright holder"
@@ -64,28 +140,37 @@ def _normal(x: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(x), r"[^a-z0-9]+", " "))
 
 
-def _known(cut: Column, known: list[str]) -> Column:
-    return F.filter(F.transform(cut, _normal), lambda s: s.isin(known))
+def spellings(standard: dict = STANDARD) -> dict[str, str]:
+    """Identifiers by the sentences of the standard texts, cut and normalised as `scan` does."""
+    found = {}
+    for text, ids in standard.values():
+        cut = [re.sub(r"[^a-z0-9]+", " ", x.lower()).strip(" ") for x in re.split(PARAGRAPH + "|" + STOP, text)]
+        found |= {x: k for x, k in zip(filter(None, cut), ids, strict=True) if k}
+    return found
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: dict = SENTENCES, rules: dict = RULES) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: dict = SENTENCES, rules: dict = RULES, standard: dict = STANDARD) -> DataFrame:
     """(doc_id, sentence_ids, rules, licenses, n_matches) for documents in which a rule is found."""
-    known = list(sentences.values())
+    names = {v: k for k, v in sentences.items()} | spellings(standard)
+    known = list(names)
     d = docs.filter(F.col(text).rlike(HINT)).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    # one line break is a blank within wrapped text; a sentence alone on its line is found by lines
-    by_line = _known(F.split("t", r"\n|" + STOP), known)
-    by_stop = _known(F.split("t", r"\n\s*\n|" + STOP), known)
-    d = d.select("doc_id", by_line.alias("l"), by_stop.alias("s"))
-    d = d.withColumn("found", F.when(F.size("s") > F.size("l"), F.col("s")).otherwise(F.col("l"))).filter(F.size("found") > 0)
-    to_id = F.create_map(*[F.lit(x) for k, v in sentences.items() for x in (v, k)])
+
+    # one line break is a blank within wrapped text; what is no known sentence so is looked up line by line, in its place
+    def places(x: Column) -> Column:
+        lines = F.filter(F.transform(F.split(x, LINE), _normal), lambda s: s.isin(known))
+        return F.when(_normal(x).isin(known), F.array(_normal(x))).when(x.contains(LINE), lines).otherwise(F.array().cast("array<string>"))
+
+    d = d.select("doc_id", F.flatten(F.transform(F.split("t", PARAGRAPH + "|" + STOP), places)).alias("found")).filter(F.size("found") > 0)
+    to_id = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     d = d.select("doc_id", F.transform("found", lambda s: to_id[s]).alias("sentence_ids"))
-    # identifiers between bars: a rule matches where its own sequence stands in the document's
+    # identifiers between bars: a rule matches where its own sequence, or its standard text's, stands in the document's
     seq = F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|"))
     d = d.withColumn("seq", seq)
     hits = []
     for name, (licence, ids) in rules.items():
-        pattern = "".join(f"|{i}|" for i in ids)
-        n = ((F.length("seq") - F.length(F.replace("seq", F.lit(pattern), F.lit("")))) / len(pattern)).cast("long")
+        forms = {"".join(f"|{i}|" for i in form if i) for form in (ids, standard.get(name, ("", ids))[1])}
+        pattern = "|".join(re.escape(x) for x in sorted(forms, key=len, reverse=True))
+        n = F.regexp_count("seq", F.lit(pattern)).cast("long")
         hits.append(F.struct(F.lit(name).alias("rule"), F.lit(licence).alias("license"), n.alias("n")))
     d = d.withColumn("hits", F.filter(F.array(*hits), lambda h: h.n > 0)).filter(F.size("hits") > 0)
     return d.select(
