@@ -54,6 +54,16 @@ def test_all_events(spark, name):
     assert canonical(rows, df.columns) == canonical(rel.fetchall(), rel.columns)
 
 
+def test_agent_templates():
+    """All ten templates of the reference in its mix, each routed as it expects; not all go to the lake."""
+    from weirflow.plans import engine_queries as e
+
+    got = e.agent_statements()
+    assert len(got) == 200 and {n for n, _ in got} == set(e.AGENT_TEMPLATES) and len(e.AGENT_TEMPLATES) == 10
+    assert all(e.agent_route(sql).route == e.AGENT_TEMPLATES[n][2] for n, sql in got)
+    assert sum(e.agent_route(sql).route == "lake" for _, sql in got) == 177
+
+
 def test_pushdown(spark):
     """Filters and columns reach the scan."""
     plan = QUERIES["filter_project_limit"](spark, SF)._jdf.queryExecution().executedPlan().toString()
