@@ -112,3 +112,20 @@ def test_bench_numbers():
     assert benchmarks.delta(2.0, None) == "infinite" and benchmarks.delta(2.0, 3.0) == 1.5
     mix = benchmarks.query_mix({"a": 0.9, "b": 0.1}, 1000)
     assert mix == benchmarks.query_mix({"a": 0.9, "b": 0.1}, 1000) and 850 < mix.count("a") < 950
+
+
+def test_closure_depth(spark):
+    """Dependencies below the cap are never left out without notice."""
+    from weirflow.operators import control
+
+    chain = [(f"v{i}", f"v{i + 1}") for i in range(4)] + [("v4", "base"), ("a", "b"), ("b", "a"), ("a", "t")]
+    spark.createDataFrame(chain, "parent string, dep string").createOrReplaceTempView("chain_edges")
+    spark.createDataFrame([("v0",), ("a",)], "root string").createOrReplaceTempView("chain_roots")
+    spark.createDataFrame([("v1",), ("a",)], "root string").createOrReplaceTempView("near_roots")
+    want = {("a", "b", 1), ("a", "t", 1), ("a", "a", 2)}
+    with pytest.raises(control.DepGraphTooDeep, match="v0"):
+        control.closure(spark, "chain_edges", "chain_roots")
+    whole = control.closure(spark, "chain_edges", "chain_roots", max_depth=None)
+    assert {tuple(r) for r in whole.collect()} == want | {("v0", f"v{i}", i) for i in range(1, 5)} | {("v0", "base", 5)}
+    near = control.closure(spark, "chain_edges", "near_roots")
+    assert {tuple(r) for r in near.collect()} == want | {("v1", f"v{i}", i - 1) for i in range(2, 5)} | {("v1", "base", 4)}

@@ -60,17 +60,34 @@ def idle(stats: DataFrame, deps: DataFrame, now: str, days: int) -> DataFrame:
     return found.select(*KEY)
 
 
-def closure(spark, edges: str, roots: str, max_depth: int = 4) -> DataFrame:
-    """(root, dep, depth): what views depend on, by recursion over views `edges`(parent, dep) and `roots`(root).
+class DepGraphTooDeep(ValueError):
+    """Views whose dependencies go on below the depth that a walk may reach."""
 
-    UNION ALL with a depth limit ends on cycles too; a dependency is reported at its least depth.
+
+def closure(spark, edges: str, roots: str, max_depth: int | None = 4, beyond: str = "raise") -> DataFrame:
+    """(root, dep, depth): what views depend on, level by level over views `edges`(parent, dep) and `roots`(root).
+
+    A dependency is met once, at its least depth, so that cycles end. Where dependencies go on below `max_depth`,
+    DepGraphTooDeep is raised; beyond="stop" asks for the levels down to it only. Without `max_depth` all are walked.
     """
-    return spark.sql(
-        f"""WITH RECURSIVE walk(root, dep, depth) AS (
-          SELECT r.root, e.dep, 1 FROM {roots} r JOIN {edges} e ON e.parent = r.root
-          UNION ALL SELECT w.root, e.dep, w.depth + 1 FROM walk w JOIN {edges} e ON e.parent = w.dep WHERE w.depth < {int(max_depth)})
-        SELECT root, dep, min(depth) AS depth FROM walk GROUP BY root, dep"""
-    )
+    # each level is cut from its plan, which would double with every level
+    kept = spark.sparkContext.getCheckpointDir() is not None
+    cut = lambda x: x.checkpoint() if kept else x.localCheckpoint()
+    e = cut(spark.table(edges).select("parent", F.col("dep").alias("next")).distinct())
+    step = spark.table(roots).select("root", F.col("root").alias("dep")).distinct()
+    found, depth = step.limit(0).withColumn("depth", F.lit(0)), 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        below = step.join(e, step["dep"] == e["parent"]).select("root", F.col("next").alias("dep")).distinct()
+        step = cut(below.join(found, ["root", "dep"], "left_anti").withColumn("depth", F.lit(depth)))
+        if step.isEmpty():
+            return found
+        found = found.unionByName(step)
+    if beyond == "raise":
+        deep = step.join(e, step["dep"] == e["parent"]).select("root").distinct().limit(10).collect()
+        if deep:
+            raise DepGraphTooDeep(f"dep_graph_too_deep: {', '.join(sorted(str(r[0]) for r in deep))} beyond max_depth={max_depth}")
+    return found
 
 
 def bootstrap_plan(views: DataFrame, deps: DataFrame, stats: DataFrame) -> DataFrame:

@@ -229,7 +229,19 @@ def _closure(spark, d):
     edges = n.select(F.col("n_nationkey").alias("parent"), F.explode(F.array((F.col("n_nationkey") + 1) % 25, (F.col("n_nationkey") + 3) % 25)).alias("dep"))
     edges.createOrReplaceTempView("view_edges")
     n.where("n_nationkey < 5").select(F.col("n_nationkey").alias("root")).createOrReplaceTempView("view_roots")
-    return control.closure(spark, "view_edges", "view_roots")
+    return control.closure(spark, "view_edges", "view_roots", beyond="stop")
+
+
+@query("view_closure_all", """WITH RECURSIVE walk(root, dep, depth) AS (
+SELECT n_nationkey, (n_nationkey + o) % 25, 1 FROM nation, (VALUES (1), (3)) v(o)
+UNION SELECT root, (dep + o) % 25, depth + 1 FROM walk, (VALUES (1), (3)) v(o) WHERE depth < 25)
+SELECT root, dep, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY root, dep""")
+def _closure_all(spark, d):
+    n = read_table(spark, d, "nation")
+    edges = n.select(F.col("n_nationkey").alias("parent"), F.explode(F.array((F.col("n_nationkey") + 1) % 25, (F.col("n_nationkey") + 3) % 25)).alias("dep"))
+    edges.createOrReplaceTempView("view_edges")
+    n.select(F.col("n_nationkey").alias("root")).createOrReplaceTempView("view_roots")
+    return control.closure(spark, "view_edges", "view_roots", max_depth=None)
 
 
 @query("catalog_status", f"{_CTES} SELECT sync_state, count(*) AS tables, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(rows_count) AS BIGINT) AS rows FROM stats GROUP BY sync_state")
