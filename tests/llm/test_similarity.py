@@ -162,3 +162,13 @@ def test_merged_transforms_tell_equal_strings():
             by_class[classes[starts[k] + i]].add((k, i))
             by_text[b[i : i + 200]].add((k, i))
     assert sorted(map(sorted, by_class.values())) == sorted(map(sorted, by_text.values()))
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_few_words_in_all(spark, k):
+    """A chunk that holds fewer words than a shingle."""
+    for n in range(k + 2):
+        text = " ".join(f"w{i}" for i in range(n)).encode()
+        assert [len(s) for s in jaccard_join.shingle_sets([text, b""], k)] == [len(shingles(text.decode(), k)), 0]
+    got = jaccard_join.link_documents(table(spark, [(3, "two words"), (4, None)]).coalesce(1), words=k).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(3, 1, 3), (4, 0, 4)]

@@ -66,7 +66,7 @@ def shingle_sets(texts: list[bytes], k: int):
     words, at, ends = words_of_texts([t.lower() for t in texts])
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[at]
     total = np.zeros(len(h), np.uint64)
-    for j in range(k):  # the hash of the window that starts at each word
+    for j in range(min(k, len(h))):  # the hash of the window that starts at each word
         total[: len(h) - j] = _mix(total[: len(h) - j] + h[j:])
     a = 0
     for z in ends.tolist():
