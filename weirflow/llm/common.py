@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -26,34 +27,47 @@ BROADCAST_ROWS = 200_000
 BATCH_ROWS = 1000
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's batch size for Python workers; a smaller setting stays."""
+#: Session settings that the operators count on. Shuffle files go once the statement that wrote them has
+#: ended: with many statements to an operator they would else pile up until the driver collects garbage.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def prepare_session(spark: SparkSession) -> None:
+    """Lower the batch size for Python workers (a smaller one stays) and free shuffle files early."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    if spark.conf.get(_FREE_SHUFFLES, None) != "true":
+        spark.conf.set(_FREE_SHUFFLES, "true")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the setting is missing (tests on one machine) a temporary folder takes its place.
+    Where the setting is missing, a local master gets a temporary folder; on a cluster, where such a
+    folder would be another one on every machine, that is an error.
     """
-    bound_batches(spark)
+    prepare_session(spark)
     sc = spark.sparkContext
     place = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="weirflow-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(place)
     return place
 
 
+def _file_system(spark: SparkSession, path: str):
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def new_dir(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, deleted when the driver's JVM exits."""
     path = f"{shared_dir(spark)}/weirflow/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    jpath, fs = _file_system(spark, path)
     fs.mkdirs(jpath.getParent())
     fs.deleteOnExit(jpath)
     return path
@@ -66,7 +80,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     path = new_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete what `staged` wrote for tables that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "staged_at", None):
+            jpath, fs = _file_system(df.sparkSession, path)
+            fs.delete(jpath, True)
 
 
 def words_of(text: Column) -> Column:
@@ -142,7 +166,7 @@ def id_filter(ids: DataFrame):
     """
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     merged = ids.mapInArrow(_mark, "segment int, at binary").groupBy("segment").applyInPandas(_merge, "segment int, bits binary")
-    for r in merged.toLocalIterator():
+    for r in merged.collect():  # at most the filter's own size
         a = r["segment"] * _SEGMENT // 8
         bits[a : a + _SEGMENT // 8] = np.frombuffer(r["bits"], np.uint8)
     return ids.sparkSession.sparkContext.broadcast(bits)

@@ -1,28 +1,33 @@
 """N-gram Jaccard join with a token-group matrix.
 
 Documents are sets of distinct word shingles, as 64-bit hashes; documents with equal sets form one
-class. All links between classes (similarity at or above the threshold) are found exactly:
+class. Components of the links between classes (similarity at or above the threshold) are exact:
 
 1. Token order. Shingles whose hash is in the lowest COUNTED_SHARE of all hashes are counted over the
-   corpus. Those in one document only come first in the order, then the others that are counted but not
-   frequent, then all that aren't counted, and last the frequent ones; by hash among themselves. Any
-   fixed order keeps the next step exact; this one keeps common passages out of it.
+   corpus. Those in one document only come first, then by hash the others that are counted, then the
+   most frequent ones by their count, and last, by hash, all that aren't counted. Any fixed order keeps
+   the next step exact; this one keeps common passages out of it.
 2. Prefixes. Of two linked sets each has one of its first n - ceil(t n) + 1 shingles among those of the
    other, and that one is in two documents. Classes whose prefix is made of shingles of their own, or
    that share none with another class, are done: they have no link.
-3. Groups. The remaining classes are partitioned into groups of similar ones: by their least shingle,
-   split by hash into groups of about GROUP classes. All links within a group are found in its task.
-4. Matrix. Each group's row is the union of its members' shingles. A query class opens a group only if
-   it shares a prefix shingle with one of its members and the row holds at least ceil(t n) of its n
-   shingles; an opened group is compared member by member. Queries are first one member for each
-   cluster that the groups found; then, of the classes that are still in different components, all that
-   share a prefix shingle. So a large group of near copies is never compared pair by pair across
-   groups, and yet no link between two components is lost.
-5. Components over the links.
-
-Texts are cut into shingles once; the part of each set that steps 1 and 2 need is staged. Only documents
-of classes that go on are read again. The broadcast data have fixed bounds: 2**20 frequent shingles and
-16 MB filters of repeated shingles and of document ids.
+3. Groups. The remaining classes are partitioned into groups of similar ones, by the least shingle under
+   a seeded hash, split at random into groups of about GROUP shingles, which also share the LEADERS most
+   central classes of the key. Links within a group are found in its task and joined to components. This is done ROUNDS times with other seeds, each time only for
+   classes that share a prefix shingle with a class of another component: each round moves every set at
+   most once, however large a group of near copies is.
+4. Matrix. What is left are mostly unlike texts that share a passage. Rows of the matrix are (shingle,
+   group), for the prefix shingles that classes of two or more components share; the overlap of a class
+   with a group is summed over them. A class opens a group only if it overlaps a member of another
+   component, of a size that allows a link; only then sets move. In the task, the union of the group's
+   members must hold at least ceil(t n) of the class's n shingles before it is compared by member.
+5. Components over all links found.
+
+Texts are cut into shingles once; the counted part of each set is staged until step 2 is over. Only
+documents of classes that go on are read again. The broadcast data have fixed bounds: 2**20 frequent
+shingles with counts and 16 MB filters of repeated shingles and of document ids. Where these fill up,
+more shingles count as repeated and more texts meet the join behind the filter: at most
+n - ceil(t n) + 1 shingles a class and one shuffle of the texts, with the same results. Tables are
+deleted as soon as nothing reads them.
 
 Defined cases: null or empty text, or text without a word, has an empty set, links with nothing and is
 its own component; fewer words than a shingle make one shingle; repeated rows fall into one class and
@@ -40,16 +45,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_filter, join_groups, passes, staged
+from .common import id_filter, join_groups, passes, staged, unstage
 from .components import components
 from .wordtable import CHUNK_BYTES, words_of_texts
 
 #: Words per shingle and similarity in percent, unless the caller says otherwise.
 WORDS, PERCENT = 5, 80
-COUNTED_SHARE = 0.2
+COUNTED_SHARE = 0.4
 MAX_FREQUENT = 1 << 20
 MIN_FREQUENT = 12
-GROUP = 256
+GROUP = 1 << 18
+ROUNDS = 2
+LEADERS = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -112,21 +119,55 @@ def counted_limit() -> np.uint64:
 
 
 def nodes_of(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(rid, doc_id, n, cls, low) of (rid, doc_id, binary text); low: the counted shingles and as many of the
-    next as a prefix may need, in order of hash."""
+    """(rid, doc_id, text_hash, n, cls, keys, low) of (rid, doc_id, text_hash, binary text).
+
+    low: the counted shingles, by hash, and no fewer than a prefix may need; null for a class that the
+    task has met before. keys: for each round the least shingle under its seeded hash.
+    """
     limit = counted_limit()
 
     def run(batches):
-        for b, first, sets in _rows(batches, words, 2):
+        met: set[int] = set()  # bounded; copies in other tasks cost time only
+        for b, first, sets in _rows(batches, words, 3):
             part = b.slice(first, len(sets))
-            low = [s[: int(np.searchsorted(s, limit)) + len(s) - needed(len(s), percent) + 1].tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.int64()), pa.array(low, pa.binary())], names=["rid", "doc_id", "n", "cls", "low"])
-
-    return docs.mapInArrow(run, "rid long, doc_id long, n long, cls long, low binary")
+            names, low, keys = [], [], []
+            for s in sets:
+                names.append(digest(s))
+                new = names[-1] not in met
+                if new and len(met) < 1_000_000:
+                    met.add(names[-1])
+                size = max(int(np.searchsorted(s, limit)), len(s) - needed(len(s), percent) + 1)
+                low.append(s[:size].tobytes() if new else None)
+                keys.append([int(np.min(_mix(s ^ np.uint64(r))).view(np.int64)) if len(s) else 0 for r in range(1, ROUNDS + 1)])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())],
+                names=["rid", "doc_id", "text_hash", "n", "cls", "keys", "low"],
+            )
+
+    return docs.mapInArrow(run, "rid long, doc_id long, text_hash long, n long, cls long, keys array<long>, low binary")
+
+
+def most_frequent(counts: DataFrame, room: int = MAX_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, their counts) of the shingles that occur most, at most `room` and MIN_FREQUENT times
+    at least. The cut is a power of two: a level that doesn't fit is left out whole."""
+    level = F.floor(F.log2("n")).cast("int")
+    sizes = {r["level"]: r["m"] for r in counts.filter(F.col("n") >= MIN_FREQUENT).groupBy(level.alias("level")).agg(F.count("*").alias("m")).collect()}
+    cut = None
+    for at in sorted(sizes, reverse=True):
+        room -= sizes[at]
+        if room < 0:
+            break
+        cut = at
+    if cut is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = counts.filter((F.col("n") >= MIN_FREQUENT) & (level >= cut)).select("h", "n").toArrow()
+    h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 def repeated_shingles(nodes: DataFrame):
-    """(sorted hashes of the most frequent counted shingles, at most MAX_FREQUENT; filter of all repeated ones)."""
+    """(hashes and counts of the most frequent counted shingles; filter of all repeated ones)."""
     limit = counted_limit()
 
     def run(batches):
@@ -147,20 +188,15 @@ def repeated_shingles(nodes: DataFrame):
         if held:
             yield flush()
 
-    counts = nodes.select("low").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
+    counts = nodes.filter("low IS NOT NULL").select("low").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
     counts = staged(counts, "repeated")
-    levels = counts.filter(F.col("n") >= MIN_FREQUENT).groupBy(F.least("n", F.lit(100_000)).alias("level")).agg(F.count("*").alias("m")).collect()
-    room, cut = MAX_FREQUENT, 100_001
-    for r in sorted(levels, key=lambda r: -r["level"]):
-        room -= r["m"]
-        if room < 0:
-            break
-        cut = r["level"]
-    frequent = np.sort(counts.filter(F.col("n") >= cut).select("h").toArrow()["h"].to_numpy().view(np.uint64))
-    return frequent, id_filter(counts.select("h"))
+    frequent = most_frequent(counts)
+    bits = id_filter(counts.select("h"))
+    unstage(counts)
+    return frequent, bits
 
 
-def shared_prefix(low: np.ndarray, n: int, percent: int, limit: np.uint64, frequent: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def shared_prefix(low: np.ndarray, n: int, percent: int, limit: np.uint64, frequent: tuple[np.ndarray, np.ndarray], bits: np.ndarray) -> np.ndarray:
     """The prefix without the shingles that no other document has."""
     k = int(np.searchsorted(low, limit))
     counted, rest = low[:k], low[k:]
@@ -169,66 +205,42 @@ def shared_prefix(low: np.ndarray, n: int, percent: int, limit: np.uint64, frequ
     if size <= 0:
         return low[:0]
     counted = counted[again]
-    if len(frequent):
-        common = frequent[np.minimum(np.searchsorted(frequent, counted), len(frequent) - 1)] == counted
-        return np.concatenate([counted[~common], rest, counted[common]])[:size]
+    hashes, times = frequent
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, counted), len(hashes) - 1)
+        counted = counted[np.argsort(np.where(hashes[at] == counted, times[at], 0), kind="stable")]
     return np.concatenate([counted, rest])[:size]
 
 
-def postings(nodes: DataFrame, percent: int, frequent: np.ndarray, repeated) -> DataFrame:
-    """(h, cls, n, least) of the prefix shingles that two or more classes have in their prefixes."""
+def postings(nodes: DataFrame, percent: int, frequent: tuple[np.ndarray, np.ndarray], repeated) -> DataFrame:
+    """(h, cls): the prefix shingles of the classes that may be in another class's prefix too."""
     limit = counted_limit()
     shared = nodes.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches):
-        sent: set[int] = set()  # classes of this task, so that copies of one text cost little; bounded
         for b in batches:
-            hs, cs, ns, ls = [], [], [], []
-            for n, d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if d in sent:
-                    continue
-                if len(sent) < 1_000_000:
-                    sent.add(d)
-                low = np.frombuffer(raw.as_py(), np.uint64)
-                if not n or not len(p := shared_prefix(low, n, percent, limit, shared.value, repeated.value)):
-                    continue
-                hs.append(p)
-                cs.append(np.full(len(p), d))
-                ns.append(np.full(len(p), n))
-                ls.append(np.full(len(p), low[0]).view(np.int64))
+            hs, cs = [], []
+            for n, c, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                p = shared_prefix(np.frombuffer(raw.as_py(), np.uint64), n, percent, limit, shared.value, repeated.value)
+                if len(p):
+                    hs.append(p)
+                    cs.append(np.full(len(p), c))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (cs, ns, ls)]], names=["h", "cls", "n", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(cs))], names=["h", "cls"])
 
-    def keep(batches):
-        """Of rows sorted by (h, cls): one for each class, where the next or previous one is another class with the same h."""
-        last = None  # the latest distinct row: (h, cls, n, least, whether its predecessor shares h)
-        for b in batches:
-            cols = [c.to_numpy() for c in b.columns]
-            if last is not None:
-                cols = [np.concatenate([[x], c]) for x, c in zip(last, cols, strict=False)]
-            h, c = cols[0], cols[1]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-            cols = [x[new] for x in cols]
-            same = cols[0][1:] == cols[0][:-1]
-            paired = np.zeros(len(cols[0]), bool)
-            paired[1:] |= same
-            paired[:-1] |= same
-            if last is not None:
-                paired[0] |= last[4]
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][paired[:-1]]) for x in cols], names=["h", "cls", "n", "least"])
-            last = (*(x[-1] for x in cols), bool(paired[-1]))
-        if last is not None and last[4]:
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in last[:4]], names=["h", "cls", "n", "least"])
-
-    kind = "h long, cls long, n long, least long"
-    return nodes.select("n", "cls", "low").mapInArrow(emit, kind).repartition("h").sortWithinPartitions("h", "cls").mapInArrow(keep, kind)
+    return nodes.filter("n > 0 AND low IS NOT NULL").select("n", "cls", "low").mapInArrow(emit, "h long, cls long")
+
+
+def in_several(lists: DataFrame, label: str) -> DataFrame:
+    """The rows of lists whose shingle has rows with different values of `label`. Sums come before the shuffle."""
+    several = lists.groupBy("h").agg(F.min(label).alias("lo"), F.max(label).alias("hi")).filter("lo < hi").select("h")
+    return lists.join(several, "h", "left_semi")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, names: DataFrame, words: int) -> DataFrame:
-    """(cls, n, grp, shingles) of the classes in `names` (cls, grp), from the document with the least id of
-    each. A fixed-size filter of ids decides which texts are read; the join drops the others it lets
-    through. Rows that share the id come more than once."""
+    """(cls, n, shingles) of the classes in `names` (cls), from the document with the least id of each.
+    A fixed-size filter of ids decides which texts are read; the join drops the others it lets through.
+    Rows that share the id come more than once."""
     first = staged(nodes.groupBy("cls").agg(F.min("doc_id").alias("first_id")).join(names, "cls"), "first")
     bits = id_filter(first.select(F.xxhash64("first_id")))
 
@@ -242,7 +254,9 @@ def sets_of(docs: DataFrame, nodes: DataFrame, names: DataFrame, words: int) ->
             yield pa.RecordBatch.from_arrays([ids, pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "cls", "n", "shingles"])
 
     found = docs.filter(wanted(F.xxhash64("doc_id"))).select("doc_id", "text").mapInArrow(run, "doc_id long, cls long, n long, shingles binary")
-    return found.join(first, "cls").filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "n", "grp", "shingles")
+    out = staged(found.join(first, "cls").filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "n", "shingles"), "sets")
+    unstage(first)
+    return out
 
 
 class Group:
@@ -271,29 +285,35 @@ class Group:
 
 
 def cluster_group(part: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Exact clusters within one group: (cls, grp, cluster, lead); the lead has the most links."""
-    part = part.drop_duplicates("cls")
+    """(a, b): each class of a group and the least class of its cluster, where these differ."""
+    part = part.drop_duplicates("cls").sort_values("cls")
     sets = [np.frombuffer(x, np.uint64) for x in part["shingles"]]
     group = Group(list(zip(part["cls"], sets, strict=True)))
     label = np.arange(len(sets))
-    degree = np.zeros(len(sets), np.int64)
     for i, s in enumerate(sets):
-        near = group.links(s, percent)
-        degree[i] = len(near)
-        roots = np.unique(label[near])
+        if not label.any():  # one cluster already
+            break
+        roots = np.unique(label[group.links(s, percent)])
         label[np.isin(label, roots)] = roots[0]
-    out = pd.DataFrame({"cls": group.cls, "grp": part["grp"].to_numpy(), "label": label, "degree": degree})
-    out["cluster"] = out.groupby("label")["cls"].transform("min")
-    best = out.sort_values(["degree", "cls"], ascending=[False, True]).drop_duplicates("label").index
-    out["lead"] = out.index.isin(best)
-    return out[["cls", "grp", "cluster", "lead"]]
+    moved = label != np.arange(len(sets))
+    return pd.DataFrame({"a": group.cls[moved], "b": group.cls[label[moved]]})
+
+
+def group_links(sets: DataFrame, names: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that make the clusters within each group of `names` (cls, grp)."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        return cluster_group(part, percent)
+
+    several = names.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1").select("grp")
+    return sets.join(names.join(several, "grp", "left_semi"), "cls").select("cls", "grp", "shingles").groupBy("grp").applyInPandas(run, "a long, b long")
 
 
 def open_groups(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between query classes and members of groups, from pairs (cls, grp).
 
-    A group's sets are sent once for each run of SLICE queries, so that a group with many queries is
-    dealt over many tasks; a task holds one group at a time.
+    A group's sets are sent once for each 4,096 of its queries, so that a group with many queries is dealt
+    over many tasks; a task holds one group at a time.
     """
     slices = F.pmod(F.xxhash64("cls"), F.greatest(F.lit(1), F.ceil(F.col("queries") / 4096)))
     counts = staged(pairs.groupBy("grp").agg(F.count("*").alias("queries")), "queries")
@@ -325,90 +345,135 @@ def open_groups(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def groups_of(active: DataFrame, turn: int) -> DataFrame:
+    """(cls, grp): classes with equal keys of a turn, with about GROUP shingles to a group.
+
+    Where a key has several groups, its LEADERS classes with the greatest scores are members of each:
+    near copies of one text are often linked to that text only, and it scores highest among them.
+    """
+    keyed = active.select("cls", "n", "score", F.col("keys")[turn].alias("key"))
+    sizes = staged(keyed.groupBy("key").agg(F.ceil(F.sum("n") / GROUP).alias("parts")), "parts")
+    part = F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("parts"))
+    members = keyed.join(sizes, "key").select("cls", F.xxhash64("key", part).alias("grp"))
+    lead = keyed.join(sizes.filter("parts > 1"), "key").groupBy("key", "parts", F.pmod(F.xxhash64("cls", F.lit(-1)), F.lit(LEADERS)).alias("nth"))
+    lead = lead.agg(F.max(F.struct("score", "cls")).alias("best")).select("key", F.col("best.cls").alias("cls"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return members.unionByName(lead.select("cls", F.xxhash64("key", "part").alias("grp")))
+
+
+def scored(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """The classes in lists (h, cls), with the number of rows that their shingles have, and the shingle that
+    has most."""
+    sizes = lists.groupBy("h").agg(F.count("*").alias("rows"))
+    best = F.max(F.struct("rows", "h"))["h"].alias("top")
+    return lists.join(sizes, "h").groupBy("cls").agg(F.sum("rows").alias("score"), best).join(classes, "cls")
+
+
+def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (cls, component) after joining components by links (a, b) between classes."""
+    ends = links.join(labels.select(F.col("cls").alias("a"), F.col("component").alias("la")), "a").join(labels.select(F.col("cls").alias("b"), F.col("component").alias("lb")), "b")
+    found = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    return labels.join(found.withColumnRenamed("component", "now"), labels["component"] == found["node"], "left").select("cls", F.coalesce("now", "component").alias("component"))
+
+
 def class_components(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """(cls, component) of the classes that may have links, from (rid, doc_id, binary text) and its nodes."""
+    """(cls, component) of the classes that may have links, from the documents and their nodes."""
     frequent, repeated = repeated_shingles(nodes)
-    lists = staged(postings(nodes, percent, frequent, repeated), "postings")
-    classes = staged(lists.select("cls", "least").distinct(), "classes")
-    sizes = classes.groupBy("least").agg(F.count("*").alias("members"))
-    names = classes.join(sizes, "least").select("cls", F.xxhash64("least", F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / GROUP))).alias("grp"))
-    sets = staged(sets_of(docs, nodes.select("cls", "doc_id"), names, words), "sets")
+    posts = staged(postings(nodes, percent, frequent, repeated), "postings")
+    lists = staged(in_several(posts, "cls"), "lists")
+    unstage(posts)
+    classes = staged(scored(lists, nodes.groupBy("cls").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))), "classes")
+    sets = sets_of(docs, nodes.select("cls", "doc_id"), classes.select("cls"), words)
+    labels = staged(classes.select("cls", F.col("cls").alias("component")), "labels")
+    old, active = [lists, sets, classes], classes
+    for turn in range(ROUNDS):
+        links = staged(group_links(sets, groups_of(active, turn), percent), "links")
+        labels = staged(joined_by(labels, links), "labels")
+        apart = staged(in_several(lists.join(labels, "cls"), "component"), "apart")
+        unstage(links, lists)
+        lists = apart.select("h", "cls")
+        active = staged(scored(lists, classes.drop("score", "top")), "active")
+        old += [apart, active]
+        if active.limit(1).count() == 0:
+            break
+    else:
+        links = staged(matrix_links(apart, active, sets, percent), "links")
+        if links.limit(1).count():
+            labels = staged(joined_by(labels, links), "labels")
+        unstage(links)
+    unstage(*old)
+    return labels
+
+
+def matrix_links(apart: DataFrame, active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between classes of different components that share a prefix shingle (h, cls, component).
+
+    Groups are parts of a component, or for classes that are alone parts of those whose most frequent
+    shingle is the same, so that many near copies that just miss the threshold make few groups.
+    """
+    of = active.select("cls", "n", "top").join(apart.select("cls", "component").distinct(), "cls")
+    alone = of.groupBy("component").agg(F.count("*").alias("peers"))
+    named = of.join(alone, "component").withColumn("name", F.when(F.col("peers") > 1, F.xxhash64("component", F.lit(1))).otherwise(F.xxhash64("top", F.lit(0))))
+    parts = named.groupBy("name").agg(F.ceil(F.sum("n") / GROUP).alias("parts"))
+    grouped = staged(named.join(parts, "name").select("cls", "n", F.xxhash64("name", F.pmod(F.xxhash64("cls"), F.col("parts"))).alias("grp")), "grouped")
+    rows = staged(apart.join(grouped, "cls"), "rows")
+    matrix = rows.groupBy("h", "grp").agg(F.min("component").alias("lo"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
+    asks = rows.select("h", "cls", "n", "component")
+    # of two components the greater asks; a member's size must lie within what a link allows
+    fits = (F.col("n_lo") * percent <= F.col("n") * 100) & (F.col("n_hi") * 100 >= F.col("n") * percent)
+    pairs = asks.join(matrix, "h").filter((F.col("lo") < F.col("component")) & fits).select("cls", "grp").distinct()
+    return open_groups(staged(pairs, "asked"), sets.join(grouped.select("cls", "grp"), "cls"), percent)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return cluster_group(part, percent)
 
-    several = sets.groupBy("grp").agg(F.count("*").alias("size"))
-    sized = sets.join(several, "grp")
-    alone = sized.filter("size = 1").select("cls", "grp", F.col("cls").alias("cluster"), F.lit(True).alias("lead"))
-    grouped = sized.filter("size > 1").select("cls", "grp", "shingles").groupBy("grp").applyInPandas(run, "cls long, grp long, cluster long, lead boolean")
-    members = staged(alone.unionByName(grouped), "members")
-
-    lists = lists.drop("least").join(members, "cls")
-    lists = staged(lists, "lists")
-    fits = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
-    other = lists.select("h", *[F.col(c).alias(c + "2") for c in ("cls", "n", "grp", "cluster", "lead")])
-    # one query per cluster; of two leads one direction is enough
-    ask = lists.filter("lead").join(other, "h").filter((F.col("grp") != F.col("grp2")) & fits & (~F.col("lead2") | (F.col("cls") < F.col("cls2"))))
-    links = open_groups(staged(ask.select("cls", F.col("grp2").alias("grp")).distinct(), "asked"), sets, percent)
-
-    def merged(links: DataFrame, label: str):
-        """(first label, component) of labels joined by links between classes."""
-        ends = links.join(members.select(F.col("cls").alias("a"), F.col(label).alias("la")), "a").join(members.select(F.col("cls").alias("b"), F.col(label).alias("lb")), "b")
-        return components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-
-    links = staged(links, "links")
-    found = merged(links, "cluster")
-    joined = members.join(found.withColumnRenamed("node", "cluster"), "cluster", "left").select("cls", "grp", "cluster", "lead", F.coalesce("component", "cluster").alias("component"))
-    joined = staged(joined, "joined")
-    # what the leads could not tell: members still apart that share a prefix shingle
-    apart = lists.drop("cluster", "lead", "grp").join(joined, "cls")
-    several = apart.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
-    apart = staged(apart.join(several, "h", "left_semi"), "apart")
-    other = apart.select("h", *[F.col(c).alias(c + "2") for c in ("cls", "n", "grp", "component", "lead")])
-    ask = apart.join(other, "h").filter((F.col("component") < F.col("component2")) & (F.col("grp") != F.col("grp2")) & ~F.col("lead") & ~F.col("lead2") & fits)
-    asked = staged(ask.select("cls", F.col("grp2").alias("grp")).distinct(), "asked")
-    if asked.limit(1).count():
-        more = staged(open_groups(asked, sets, percent), "links")
-        if more.limit(1).count():
-            found = merged(links.unionByName(more), "cluster")
-            joined = members.join(found.withColumnRenamed("node", "cluster"), "cluster", "left").select("cls", F.coalesce("component", "cluster").alias("component"))
-    return joined.select("cls", "component")
+def _numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("text"))
 
 
 def link_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(rid, doc_id, n_shingles, class_id, component_id), one row per document."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    nodes = staged(nodes_of(rows, words, percent), "nodes")
-    links = class_components(rows, nodes, words, percent)
-    nodes = nodes.drop("low")
+    """(rid, doc_id, text_hash, n_shingles, class_id, component_id), one row per document."""
+    rows = _numbered(docs, doc_id, text)
+    whole = staged(nodes_of(rows, words, percent), "nodes")
+    links = class_components(rows, whole, words, percent)
+    nodes = staged(whole.drop("low", "keys"), "nodes")
+    unstage(whole)
     # without a shingle a row is its own component
     full = nodes.filter("n > 0")
     per_class = full.groupBy("cls").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows"))
     named = per_class.join(links, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = staged(named, "named")
     ids = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = staged(named.join(ids, "component").select("cls", "component_id", F.col("rows").alias("copies")), "ids")
+    named = staged(named.join(ids, "component").select("cls", "component", "component_id", F.col("rows").alias("copies")), "ids")
     out = join_groups(full, named, "cls", "copies", nodes.count())
-    out = out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), "component_id")
-    empty = nodes.filter("n = 0").select("rid", "doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.col("doc_id").alias("component_id"))
+    out = out.select("rid", "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), "component", "component_id")
+    none = F.lit(None).cast("long")
+    empty = nodes.filter("n = 0").select("rid", "doc_id", "text_hash", F.lit(0).cast("long").alias("n_shingles"), none.alias("class_id"), none.alias("component"), F.col("doc_id").alias("component_id"))
     return out.unionByName(empty)
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each component stays, the one with the least id; all columns.
+    """One row of each component stays, the one with the least id (null last), then text hash; all columns.
 
-    Only ids to drop are joined; documents without a word are no copies and stay.
+    Rows with equal id and text can't be told apart, so any one of them is that row. Decisions are made by
+    id and text hash, not by id alone: a row that only shares its id with a copy stays. Only decisions to
+    drop are joined, with the rows that a filter of them doesn't clear; documents without a word stay.
     """
-    found = link_documents(docs, doc_id, text, words, percent)
-    gone = staged(found.filter("class_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    bits = id_filter(gone.select(F.xxhash64("_gone")))
+    found = staged(link_documents(docs, doc_id, text, words, percent).filter("class_id IS NOT NULL").select("component", "doc_id", "text_hash"), "found")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = found.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
+    marked = found.select("component", "doc_id", "text_hash").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    marked = marked.join(first.drop("rows"), "component")
+    stays = (F.col("first.last") == F.col("doc_id").isNull()) & F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))
+    marked = staged(marked.withColumn("stays", stays).filter("NOT stays OR times > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "marked")
+    unstage(found)
+    bits = id_filter(marked.select(F.xxhash64("_id", "_hash")))
 
     @F.pandas_udf("boolean")
     def may_go(h: pd.Series) -> pd.Series:
         return pd.Series(passes(bits.value, h.to_numpy()))
 
     # rows that the filter clears pass straight through; only the others are joined
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"))
-    rows = rows.withColumn("maybe", F.coalesce(may_go(F.xxhash64("id")), F.lit(False)))
-    stay = rows.filter("maybe").join(gone, F.col("id") == F.col("_gone"), "left_anti")
-    return rows.filter("not maybe").select("row.*").unionByName(stay.select("row.*"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("hash"))
+    rows = rows.withColumn("maybe", may_go(F.xxhash64("id", "hash")))
+    met = rows.filter("maybe").join(marked, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
+    one = met.filter("stays").groupBy("id", "hash").agg(F.first("row").alias("row"))
+    clear = rows.filter("NOT maybe").select("row.*")
+    return clear.unionByName(met.filter("_hash IS NULL").select("row.*")).unionByName(one.select("row.*"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import prepare_session
 
 N_BEST = 3
 SPACE = "▁"
@@ -288,7 +288,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     `losses`: what each of the n best segmentations scores below the best, in order; `round_trip`:
     whether decoding the best ids gives the text back.
     """
-    bound_batches(docs.sparkSession)
+    prepare_session(docs.sparkSession)
     fields = [("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("best_score", pa.float64()), ("n_found", pa.int32()), ("losses", pa.list_(pa.float64())), ("round_trip", pa.bool_())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 

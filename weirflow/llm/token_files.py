@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import prepare_session
 from .wordtable import CHUNK_BYTES, words_of_texts
 
 SEQ_LEN = 2048
@@ -172,7 +172,7 @@ class _Sink:
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, seq_len: int = SEQ_LEN, whole: bool = False) -> list[tuple[int, int, int]]:
     """Write the files; returns (part, start of the part in the whole stream, ids in the part)."""
-    bound_batches(docs.sparkSession)
+    prepare_session(docs.sparkSession)
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
