@@ -22,45 +22,48 @@ def pages(spark, rows):
 def captures(spark, df):
     folder = new_dir(spark, "warc")
     names = warc.write_archives(df, folder)
-    return warc.assemble(warc.read_records(spark, folder, names)).select(
+    return warc.resolved(warc.assemble(warc.read_records(spark, folder, names)), F.col("metadata.fields")["page-id"].try_cast("long")).select(
         F.col("metadata.fields")["page-id"].try_cast("long").alias("page_id"), F.col("metadata.fields")["payload-length"].cast("long").alias("n"),
-        "response.*", F.col("request.fields")["request-line"].alias("line"),
+        "response.*", F.col("request.fields")["request-line"].alias("line"), "original",
     )
 
 
 def test_warc_round_trip(spark):
-    big, large = "é" * 600, "b" * 3_000_000
+    big, large, other = "é" * 600, "b" * 3_000_000, "o" * 1000
     rows = [(1, "http://a.example/x?y=1", big), (2, "http://b.example/", big), (3, None, None), (4, "", ""), (5, "http://c.example", "small"), (6, "http://d.example/\r\nX", "small"), (None, "http://e.example/", big), (7, "u", large), (8, "u", "WARC/1.1\r\n\r\n\r\n"), (2, "http://b.example/", big)]
+    rows += [(20, "http://f.example/a\r\nb", other), (21, "v", other), (22, "v", other)]
     got = captures(spark, pages(spark, rows)).collect()
     assert len(got) == len(rows)
     text = {i: t or "" for i, _, t in rows}
+    ids = {r.record_id: r for r in got}
+    assert len(ids) == len(got)
     for r in got:
         raw = text[r.page_id].encode()
         assert (r.n, r.payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
-        revisit = raw == big.encode() and r.page_id != 2
+        keeps = 2 if raw == big.encode() else 22 if raw == other.encode() else None
+        revisit = keeps is not None and r.page_id != keeps
         assert r.kind == ("revisit" if revisit else "response")
-        assert r.refers_to == ("<urn:page:2>" if revisit else None)
+        assert r.original == (keeps if revisit else None)
+        # a record that is named is there; two rows share page 2, so that neither can be named
+        assert (r.refers_to is not None) == (revisit and keeps == 22)
+        assert r.refers_to is None or (ids[r.refers_to].page_id, ids[r.refers_to].kind) == (22, "response")
         assert revisit or bytes(r.payload) == raw
     assert {r.line for r in got if r.page_id == 1} == {"GET /x?y=1 HTTP/1.1"}
+    assert {r.line for r in got if r.page_id == 20} == {"GET /ab HTTP/1.1"}
 
 
 def test_warc_empty(spark):
     assert captures(spark, pages(spark, [])).count() == 0
 
 
-def test_warc_joined_duplicates(spark):
-    """Beyond the broadcast bound payload groups are joined by shuffle."""
-    from weirflow.llm import common
-
-    rows = [(i, "u", f"{i % 7}" * 1500) for i in range(100)]
-    df = pages(spark, rows)
-    old = common.BROADCAST_ROWS
-    try:
-        common.BROADCAST_ROWS = 0
-        kept = {r.page_id: r.keep_id for r in warc.decide(df, "page_id", "html").collect()}
-    finally:
-        common.BROADCAST_ROWS = old
-    assert kept == {i: max(k for k in range(100) if k % 7 == i % 7) for i in range(100)}
+def test_warc_moves_only_payloads_that_stay(spark):
+    """Of repeated payloads just the kept rows, and what the filters take for such, carry their text."""
+    rows = [(i, "u", f"{i % 7}" * 1500) for i in range(700)] + [(1000 + i, "u", f"{i:04d}" * 400) for i in range(50)]
+    got = warc.decide(pages(spark, rows), "page_id", "html").collect()
+    assert len(got) == 750
+    for r in got:
+        keep = max(k for k in range(700) if k % 7 == r.page_id % 7) if r.page_id < 700 else None
+        assert r.keep_id == keep and r.revisit == (keep is not None and keep != r.page_id) and (r.html is None) == r.revisit and r.size in (1500, 1600)
 
 
 DOCS = "doc_id long, text string, start string, part int"

@@ -128,6 +128,19 @@ def test_exact_dedup(spark):
     assert Counter(r.text or "" for r in left.collect()) == Counter(dict.fromkeys({t or "" for _, t, _ in rows}, 1))
 
 
+def test_exact_dedup_in_slices(spark, monkeypatch):
+    """More rows than a filter holds are tested slice by slice; equal rows and ids end alike."""
+    monkeypatch.setattr(exact_dedup, "MAX_BITS", 1 << 12)
+    docs = table(spark, [(i, f"t{i % 700}", "s") for i in range(1000)] + [(3, "t3", "s"), (None, "t5", "s"), (999, "t299", "s")])
+    rows = exact_dedup._hashed(docs, "doc_id", "text")
+    tested, filters = exact_dedup.flagged(rows, 1003)
+    assert len(filters) > 3 and tested.count() == 1003
+    got = exact_dedup.resolve(docs)
+    assert got.where("kept").count() == 700
+    left = exact_dedup.drop_copies(docs)
+    assert sorted(r.text for r in left.collect()) == sorted(f"t{i}" for i in range(700))
+
+
 def test_exact_dedup_hot_and_empty(spark):
     docs = table(spark, [(i, "same" if i % 3 == 0 else f"t{i}", "s") for i in range(6000)])
     got = exact_dedup.resolve(docs)

@@ -58,10 +58,16 @@ def corpus(rng, n_bases=25, copies=8, words=60):
     return rows
 
 
-@pytest.mark.parametrize(("k", "percent", "seed"), [(4, 85, 1), (5, 80, 2), (4, 85, 3)])
-def test_links(spark, k, percent, seed, monkeypatch):
+@pytest.mark.parametrize(("k", "percent", "seed", "rounds", "group"), [(4, 85, 1, 2, 300), (5, 80, 2, 0, 200), (4, 85, 3, 1, 500)])
+def test_links(spark, k, percent, seed, rounds, group, monkeypatch):
+    """Groups of a few classes, and no or one round of them, so that the matrix has links to find."""
     rng = random.Random(seed)
-    monkeypatch.setattr(jaccard_join, "GROUP", 5)  # large groups of near copies are split
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    if not rounds:  # a loop that never runs leaves nothing apart: one round of single classes does
+        monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
+        monkeypatch.setattr(jaccard_join, "GROUP", 1)
+        monkeypatch.setattr(jaccard_join, "LEADERS", 1)
     rows = list(enumerate(corpus(rng)))
     base = " ".join(f"b{i}" for i in range(80)).split()
     for _ in range(60):  # one group far beyond the size of a task's group
@@ -84,6 +90,14 @@ def test_links_with_frequent_shingles(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 4, 85)
 
 
+def test_most_frequent_fits_or_is_left_out(spark):
+    """Many ties at the top level never exceed the room."""
+    counts = spark.createDataFrame([(i, 1 << 20) for i in range(50)] + [(100 + i, 40) for i in range(5)] + [(200, 3)], "h long, n long")
+    for room, want in ((60, 55), (55, 55), (54, 50), (50, 50), (49, 0), (0, 0)):
+        h, n = jaccard_join.most_frequent(counts, room)
+        assert len(h) == len(n) == want and sorted(h.tolist()) == h.tolist()
+
+
 def test_links_empty_and_drop(spark):
     assert jaccard_join.link_documents(table(spark, [])).count() == 0
     text = " ".join(f"t{i}" for i in range(100))
@@ -93,6 +107,16 @@ def test_links_empty_and_drop(spark):
     assert {r.doc_id for r in left.collect()} == {3, 9, None, 7}
 
 
+def test_drop_with_null_and_repeated_ids(spark):
+    """One row of a component stays whatever its ids; a row that only shares its id with a copy stays."""
+    a, b = " ".join(f"t{i}" for i in range(100)), " ".join(f"u{i}" for i in range(100))
+    rows = [(5, a), (None, a + " x"), (None, a), (5, a + " y"), (9, a + " z"), (9, "a lone text"), (5, "another lone text"), (None, b), (None, b + " w"), (4, "same"), (4, "same"), (6, None), (6, None)]
+    left = sorted((r.doc_id or -1, r.text or "") for r in jaccard_join.drop_near_copies(table(spark, rows)).collect())
+    near = [x for x in left if x[1].startswith("t0")]
+    assert len(near) == 1 and near[0][0] == 5 and len([x for x in left if x[1].startswith("u0")]) == 1
+    assert [x for x in left if x[1][:2] not in ("t0", "u0")] == [(4, "same"), (5, "another lone text"), (6, ""), (6, ""), (9, "a lone text")]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000), (7, 150)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
@@ -146,6 +170,17 @@ def test_passages(spark, setting, monkeypatch):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(rows, 200)
 
 
+def test_passages_of_templates(spark, monkeypatch):
+    """Many texts share long passages around a number that always differs, and many rows are equal."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 8)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    before, after = word(195), word(230)
+    rows = [(i, f"{before}{i:07d}{after}{word(30)}") for i in range(60)] + [(100 + i, before[5:] + word(9)) for i in range(20)] + [(500, before + after)] * 40
+    got = suffix_dedup.remove_repeats(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removed(rows, 200)
+
+
 def test_passages_empty(spark):
     assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
 

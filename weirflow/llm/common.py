@@ -73,13 +73,13 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs no recomputation of what came before.
     """
     path = new_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
@@ -125,10 +125,10 @@ def with_ordinal(df: DataFrame, label: str, *order: Column) -> DataFrame:
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of rows with one row per group, safe for groups of any size.
 
-    Groups above a thousandth of `total` rows number fewer than a thousand, so they can be broadcast
-    whatever the input's size; every other group is small enough for one shuffle partition.
+    Groups above `total` / BROADCAST_ROWS rows number fewer than BROADCAST_ROWS, so they can be broadcast
+    whatever the input's size. The others join by a shuffle, which adaptive execution may split further.
     """
-    cut = max(total // 1000, 1000)
+    cut = max(total // BROADCAST_ROWS, 1000)
     large = F.broadcast(groups.filter(F.col(size) > cut))
     rest = groups.filter(F.col(size) <= cut)
     hot = rows.join(large, key)
@@ -136,19 +136,23 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return hot.unionByName(cold)
 
 
-#: Bits of the id filter that `id_filter` broadcasts: 16 MB whatever the input's size.
-FILTER_BITS = 1 << 27
+#: Bits of an id filter: about FILTER_SHARE for each id, and at most so many (128 MB, the size broadcast).
+FILTER_BITS = 1 << 30
+FILTER_SHARE = 16
 _SEGMENT = 1 << 16
 
 
-def _mark(batches):
-    for b in batches:
-        at = np.unique(b.column(0).to_numpy().view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
-        seg = at // _SEGMENT
-        edges = np.flatnonzero(np.diff(seg, prepend=-1, append=-1))
-        names = [int(seg[a]) for a in edges[:-1]]
-        cells = [(at[a:z] % _SEGMENT).astype(np.uint16).tobytes() for a, z in zip(edges[:-1], edges[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(cells, pa.binary())], names=["segment", "at"])
+def _mark(bits: int):
+    def run(batches):
+        for b in batches:
+            at = np.unique(b.column(0).to_numpy().view(np.uint64) % np.uint64(bits)).astype(np.int64)
+            seg = at // _SEGMENT
+            edges = np.flatnonzero(np.diff(seg, prepend=-1, append=-1))
+            names = [int(seg[a]) for a in edges[:-1]]
+            cells = [(at[a:z] % _SEGMENT).astype(np.uint16).tobytes() for a, z in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(cells, pa.binary())], names=["segment", "at"])
+
+    return run
 
 
 def _merge(part: pd.DataFrame) -> pd.DataFrame:
@@ -158,25 +162,61 @@ def _merge(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": [int(part["segment"].iloc[0])], "bits": [np.packbits(on).tobytes()]})
 
 
-def id_filter(ids: DataFrame):
-    """Broadcast bit filter of a one-column table of evenly spread longs.
+def id_filter(ids: DataFrame, rows: int):
+    """Broadcast bit filter of a one-column table of `rows` evenly spread longs.
 
-    `passes(filter.value, ids)` is true for each of them and for few others; as the ids grow in number
-    more others pass, so whoever uses it must drop those by a join.
+    `passes(filter.value, ids)` is true for each of them and for few others: one in FILTER_SHARE, or more as
+    the ids outnumber what the largest filter holds. Whoever uses it must drop those by a join.
     """
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    merged = ids.mapInArrow(_mark, "segment int, at binary").groupBy("segment").applyInPandas(_merge, "segment int, bits binary")
+    bits = _SEGMENT
+    while bits < min(rows * FILTER_SHARE, FILTER_BITS):
+        bits *= 2
+    held = np.zeros(bits // 8, np.uint8)
+    merged = ids.mapInArrow(_mark(bits), "segment int, at binary").groupBy("segment").applyInPandas(_merge, "segment int, bits binary")
     for r in merged.collect():  # at most the filter's own size
         a = r["segment"] * _SEGMENT // 8
-        bits[a : a + _SEGMENT // 8] = np.frombuffer(r["bits"], np.uint8)
-    return ids.sparkSession.sparkContext.broadcast(bits)
+        held[a : a + _SEGMENT // 8] = np.frombuffer(r["bits"], np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(held)
 
 
 def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = ids.view(np.uint64) % np.uint64(FILTER_BITS)
+    at = ids.view(np.uint64) % np.uint64(8 * len(bits))
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
 
+def passing(bits):
+    """The filter as a function of a column of longs."""
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(passes(bits.value, h.to_numpy()))
+
+    return test
+
+
+def drop_marked(docs: DataFrame, doc_id: Column, key: Column, keys: DataFrame, marked: DataFrame) -> DataFrame:
+    """docs without the rows that are marked for dropping, all columns.
+
+    Rows are told by (id, key). `keys` (id, key) has a row for each row of docs; `marked` (id, key, stays) has
+    those that go, and those of which just one of several equal rows stays. Only decisions move: one filter
+    clears rows that are certainly not marked, another tells which of the others may yet stay, and only those
+    few meet the join with their texts. A null id is an id like any other.
+    """
+    marked = staged(marked.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "stays"), "marked")
+    may_go = passing(id_filter(marked.select(F.xxhash64("_id", "_key")), marked.count()))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    near = keys.select("id", "key").filter(may_go(F.xxhash64("id", "key")))
+    stay = staged(near.join(marked.filter("NOT stays"), same, "left_anti").select(F.xxhash64("id", "key").alias("h")).distinct(), "stay")
+    may_stay = passing(id_filter(stay, stay.count()))
+    unstage(stay)
+    rows = docs.select(F.struct("*").alias("row"), doc_id.alias("id"), key.alias("key")).withColumn("h", F.xxhash64("id", "key"))
+    rows = rows.withColumn("maybe", may_go("h"))
+    rest = rows.filter("maybe").filter(may_stay("h")).join(marked, same, "left")
+    one = rest.filter("stays").groupBy("id", "key").agg(F.first("row").alias("row"))
+    out = rows.filter("NOT maybe").select("row.*").unionByName(rest.filter("_key IS NULL").select("row.*")).unionByName(one.select("row.*"))
+    return out
+
+
 def tidy() -> None:
     """Give what a task freed back to the system; Python workers live on and would keep it."""
     pa.default_memory_pool().release_unused()

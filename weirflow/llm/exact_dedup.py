@@ -4,9 +4,10 @@ Pass 1 reads the text hashes and counts, up to two, how often each position of a
 Pass 2 tests each hash: unless all of its positions were hit twice it is certainly unique and its row
 passes straight through. Only possibly repeated rows shuffle, and there they are compared by SHA-256.
 
-The filter has 16 bits a row, at most 2**28 (32 MB, the size broadcast). Beyond 16 million rows it
-fills up and more rows shuffle; the result is exact at any fill. Groups of any size are summed before
-the shuffle, and large ones are joined back by broadcast of fewer than a thousand rows.
+The filter has BITS_PER_ROW bits a row, at most MAX_BITS (128 MB, the size broadcast). Beyond 67 million
+rows the hashes are tested in slices of their range, a filter of that size each, so that no filter fills
+up; each slice reads the column of hashes again. Groups of any size are summed before the shuffle, and
+large ones are joined back by broadcast of a bounded number of rows.
 
 Defined cases: null counts as empty text, so null and '' are equal; of equal texts the largest doc_id
 stays, a null id loses to any other, and of rows that share that id as well just one stays; an empty
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, staged
+from .common import drop_marked, join_groups, staged
 
 BITS_PER_ROW = 16
-MAX_BITS = 1 << 28
+MAX_BITS = 1 << 30
 SEGMENT = 1 << 16
 
 
@@ -58,14 +59,14 @@ def _merge(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": [int(part["segment"].iloc[0])], "twice": [np.packbits(total == 2).tobytes()]})
 
 
-def maybe_repeated(hashes: DataFrame, rows: int):
-    """From a one-column table of longs, a column function that tells which may occur twice."""
+def bloom(hashes: DataFrame, rows: int):
+    """From a one-column table of longs, a column function that tells which may occur twice, and its filter."""
     bits = SEGMENT
     while bits < min(rows * BITS_PER_ROW, MAX_BITS):
         bits *= 2
     hits = hashes.mapInArrow(_hits(bits), "segment int, pos binary, hits binary")
     twice = np.zeros(bits // 8, np.uint8)
-    for r in hits.groupBy("segment").applyInPandas(_merge, "segment int, twice binary").toLocalIterator():
+    for r in hits.groupBy("segment").applyInPandas(_merge, "segment int, twice binary").collect():  # at most the filter
         at = r["segment"] * SEGMENT // 8
         twice[at : at + SEGMENT // 8] = np.frombuffer(r["twice"], np.uint8)
     shared = hashes.sparkSession.sparkContext.broadcast(twice)
@@ -77,7 +78,27 @@ def maybe_repeated(hashes: DataFrame, rows: int):
             both &= (shared.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
         return pd.Series(both)
 
-    return test
+    return test, shared
+
+
+def flagged(rows: DataFrame, total: int) -> tuple[DataFrame, list]:
+    """rows with `maybe`: whether their hash `h` may occur twice; and the filters that tell it."""
+    slices = max(1, -(-total * BITS_PER_ROW // MAX_BITS))
+    if slices == 1:
+        test, held = bloom(rows.select("h"), total)
+        return rows.withColumn("maybe", test("h")), [held]
+    # by the highest bits, as filters take the lowest
+    slice_of = F.shiftrightunsigned("h", 32) % slices
+    parts, filters = [], []
+    for k in range(slices):
+        part = rows.filter(slice_of == k)
+        test, held = bloom(part.select("h"), -(-total // slices))
+        parts.append(part.withColumn("maybe", test("h")))
+        filters.append(held)
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every, filters
 
 
 def _hashed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -93,10 +114,9 @@ def resolve(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per document."""
     rows = staged(_hashed(docs, doc_id, text).withColumn("rid", F.monotonically_increasing_id()), "hashes")
     total = rows.count()
-    test = maybe_repeated(rows.select("h"), total)
-    flagged = rows.withColumn("maybe", test("h"))
-    unique = flagged.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
-    repeated = staged(flagged.filter("maybe").select("doc_id", "sha", "rid"), "repeated")
+    tested, _ = flagged(rows, total)
+    unique = tested.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    repeated = staged(tested.filter("maybe").select("doc_id", "sha", "rid"), "repeated")
     groups = repeated.groupBy("sha").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "rid")).alias("keep"))
     joined = join_groups(repeated, staged(groups, "groups"), "sha", "group_size", total)
     joined = joined.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "sha")
@@ -104,19 +124,13 @@ def resolve(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, all columns; texts that are certainly unique are not shuffled."""
+    """The documents that stay, all columns; texts that go, or are certainly unique, are not shuffled."""
     rows = staged(_hashed(docs, doc_id, text), "hashes")
-    total = rows.count()
-    test = maybe_repeated(rows.select("h"), total)
-    groups = (
-        rows.filter(test("h")).groupBy("sha", "doc_id").agg(F.count("*").alias("same_id"))
-        .groupBy("sha").agg(F.sum("same_id").alias("group_size"), F.max(F.struct("doc_id", "same_id")).alias("keep"))
-    )
-    groups = staged(groups, "groups")
-    whole = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha"))
-    flagged = whole.withColumn("maybe", test(_short("sha")))
-    unique = flagged.filter(~F.col("maybe")).select("row")
-    stays = join_groups(flagged.filter("maybe"), groups, "sha", "group_size", total).filter(F.col("id").eqNullSafe(F.col("keep.doc_id")))
-    alone = stays.filter("keep.same_id = 1").select("row")
-    tied = stays.filter("keep.same_id > 1").groupBy("sha").agg(F.first("row").alias("row")).select("row")
-    return unique.unionByName(alone).unionByName(tied).select("row.*")
+    tested, _ = flagged(rows, rows.count())
+    same = staged(tested.filter("maybe").groupBy("sha", "doc_id").agg(F.count("*").alias("times")), "repeated")
+    groups = same.groupBy("sha").agg(F.sum("times").alias("copies"), F.max(F.struct("doc_id")).alias("keep")).filter("copies > 1").drop("copies")
+    # a group's ids are as many rows here as they are in it: only ids move, and adaptive execution splits the join
+    marked = same.join(groups, "sha").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))).filter("NOT stays OR times > 1")
+    key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    keys = rows.select(F.col("doc_id").alias("id"), F.col("sha").alias("key"))
+    return drop_marked(docs, F.col(doc_id), key, keys, marked.select(F.col("doc_id").alias("id"), F.col("sha").alias("key"), "stays"))

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_filter, join_groups, passes, staged, unstage
+from .common import drop_marked, id_filter, join_groups, passes, passing, staged, unstage
 from .components import components
 from .wordtable import CHUNK_BYTES, words_of_texts
 
@@ -191,7 +191,7 @@ def repeated_shingles(nodes: DataFrame):
     counts = nodes.filter("low IS NOT NULL").select("low").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
     counts = staged(counts, "repeated")
     frequent = most_frequent(counts)
-    bits = id_filter(counts.select("h"))
+    bits = id_filter(counts.select("h"), counts.count())
     unstage(counts)
     return frequent, bits
 
@@ -242,11 +242,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, names: DataFrame, words: int) ->
     A fixed-size filter of ids decides which texts are read; the join drops the others it lets through.
     Rows that share the id come more than once."""
     first = staged(nodes.groupBy("cls").agg(F.min("doc_id").alias("first_id")).join(names, "cls"), "first")
-    bits = id_filter(first.select(F.xxhash64("first_id")))
-
-    @F.pandas_udf("boolean")
-    def wanted(h: pd.Series) -> pd.Series:
-        return pd.Series(passes(bits.value, h.to_numpy()))
+    wanted = passing(id_filter(first.select(F.xxhash64("first_id")), first.count()))
 
     def run(batches):
         for b, start, sets in _rows(batches, words, 1):
@@ -345,29 +341,33 @@ def open_groups(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def groups_of(active: DataFrame, turn: int) -> DataFrame:
+def scored(lists: DataFrame) -> DataFrame:
+    """(cls, score, top) of the classes in lists (h, cls): the number of rows that their shingles have, and
+    the shingle that has most."""
+    sizes = lists.groupBy("h").agg(F.count("*").alias("rows"))
+    return lists.join(sizes, "h").groupBy("cls").agg(F.sum("rows").alias("score"), F.max(F.struct("rows", "h"))["h"].alias("top"))
+
+
+def groups_of(active: DataFrame, lists: DataFrame, turn: int) -> DataFrame:
     """(cls, grp): classes with equal keys of a turn, with about GROUP shingles to a group.
 
     Where a key has several groups, its LEADERS classes with the greatest scores are members of each:
     near copies of one text are often linked to that text only, and it scores highest among them.
     """
-    keyed = active.select("cls", "n", "score", F.col("keys")[turn].alias("key"))
+    keyed = active.select("cls", "n", F.col("keys")[turn].alias("key"))
     sizes = staged(keyed.groupBy("key").agg(F.ceil(F.sum("n") / GROUP).alias("parts")), "parts")
     part = F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("parts"))
     members = keyed.join(sizes, "key").select("cls", F.xxhash64("key", part).alias("grp"))
-    lead = keyed.join(sizes.filter("parts > 1"), "key").groupBy("key", "parts", F.pmod(F.xxhash64("cls", F.lit(-1)), F.lit(LEADERS)).alias("nth"))
+    several = sizes.filter("parts > 1")
+    if several.isEmpty():
+        return members
+    wide = staged(keyed.join(several, "key").select("cls", "key", "parts"), "wide")
+    scores = scored(lists.join(wide.select("cls"), "cls", "left_semi")).drop("top")
+    lead = wide.join(scores, "cls").groupBy("key", "parts", F.pmod(F.xxhash64("cls", F.lit(-1)), F.lit(LEADERS)).alias("nth"))
     lead = lead.agg(F.max(F.struct("score", "cls")).alias("best")).select("key", F.col("best.cls").alias("cls"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     return members.unionByName(lead.select("cls", F.xxhash64("key", "part").alias("grp")))
 
 
-def scored(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """The classes in lists (h, cls), with the number of rows that their shingles have, and the shingle that
-    has most."""
-    sizes = lists.groupBy("h").agg(F.count("*").alias("rows"))
-    best = F.max(F.struct("rows", "h"))["h"].alias("top")
-    return lists.join(sizes, "h").groupBy("cls").agg(F.sum("rows").alias("score"), best).join(classes, "cls")
-
-
 def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (cls, component) after joining components by links (a, b) between classes."""
     ends = links.join(labels.select(F.col("cls").alias("a"), F.col("component").alias("la")), "a").join(labels.select(F.col("cls").alias("b"), F.col("component").alias("lb")), "b")
@@ -381,23 +381,24 @@ def class_components(docs: DataFrame, nodes: DataFrame, words: int, percent: int
     posts = staged(postings(nodes, percent, frequent, repeated), "postings")
     lists = staged(in_several(posts, "cls"), "lists")
     unstage(posts)
-    classes = staged(scored(lists, nodes.groupBy("cls").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))), "classes")
+    per_class = nodes.groupBy("cls").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = staged(per_class.join(lists.select("cls").distinct(), "cls"), "classes")
     sets = sets_of(docs, nodes.select("cls", "doc_id"), classes.select("cls"), words)
     labels = staged(classes.select("cls", F.col("cls").alias("component")), "labels")
     old, active = [lists, sets, classes], classes
     for turn in range(ROUNDS):
-        links = staged(group_links(sets, groups_of(active, turn), percent), "links")
+        links = staged(group_links(sets, groups_of(active, lists, turn), percent), "links")
         labels = staged(joined_by(labels, links), "labels")
         apart = staged(in_several(lists.join(labels, "cls"), "component"), "apart")
         unstage(links, lists)
         lists = apart.select("h", "cls")
-        active = staged(scored(lists, classes.drop("score", "top")), "active")
+        active = staged(classes.join(apart.select("cls").distinct(), "cls"), "active")
         old += [apart, active]
-        if active.limit(1).count() == 0:
+        if active.isEmpty():
             break
     else:
         links = staged(matrix_links(apart, active, sets, percent), "links")
-        if links.limit(1).count():
+        if not links.isEmpty():
             labels = staged(joined_by(labels, links), "labels")
         unstage(links)
     unstage(*old)
@@ -410,7 +411,7 @@ def matrix_links(apart: DataFrame, active: DataFrame, sets: DataFrame, percent:
     Groups are parts of a component, or for classes that are alone parts of those whose most frequent
     shingle is the same, so that many near copies that just miss the threshold make few groups.
     """
-    of = active.select("cls", "n", "top").join(apart.select("cls", "component").distinct(), "cls")
+    of = active.select("cls", "n").join(apart.select("cls", "component").distinct(), "cls").join(scored(apart.select("h", "cls")).select("cls", "top"), "cls")
     alone = of.groupBy("component").agg(F.count("*").alias("peers"))
     named = of.join(alone, "component").withColumn("name", F.when(F.col("peers") > 1, F.xxhash64("component", F.lit(1))).otherwise(F.xxhash64("top", F.lit(0))))
     parts = named.groupBy("name").agg(F.ceil(F.sum("n") / GROUP).alias("parts"))
@@ -456,24 +457,11 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     id and text hash, not by id alone: a row that only shares its id with a copy stays. Only decisions to
     drop are joined, with the rows that a filter of them doesn't clear; documents without a word stay.
     """
-    found = staged(link_documents(docs, doc_id, text, words, percent).filter("class_id IS NOT NULL").select("component", "doc_id", "text_hash"), "found")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    first = found.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("rows")).filter("rows > 1")
-    marked = found.select("component", "doc_id", "text_hash").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("times"))
-    marked = marked.join(first.drop("rows"), "component")
-    stays = (F.col("first.last") == F.col("doc_id").isNull()) & F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))
-    marked = staged(marked.withColumn("stays", stays).filter("NOT stays OR times > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "marked")
-    unstage(found)
-    bits = id_filter(marked.select(F.xxhash64("_id", "_hash")))
-
-    @F.pandas_udf("boolean")
-    def may_go(h: pd.Series) -> pd.Series:
-        return pd.Series(passes(bits.value, h.to_numpy()))
-
-    # rows that the filter clears pass straight through; only the others are joined
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("hash"))
-    rows = rows.withColumn("maybe", may_go(F.xxhash64("id", "hash")))
-    met = rows.filter("maybe").join(marked, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
-    one = met.filter("stays").groupBy("id", "hash").agg(F.first("row").alias("row"))
-    clear = rows.filter("NOT maybe").select("row.*")
-    return clear.unionByName(met.filter("_hash IS NULL").select("row.*")).unionByName(one.select("row.*"))
+    found = staged(link_documents(docs, doc_id, text, words, percent).select("class_id", "component", F.col("doc_id").alias("id"), F.col("text_hash").alias("key")), "found")
+    linked = found.filter("class_id IS NOT NULL")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "key")
+    first = linked.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    marked = linked.groupBy("component", "id", "key").agg(F.count("*").alias("times")).join(first, "component")
+    stays = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.key") == F.col("key"))
+    marked = marked.withColumn("stays", stays).filter("NOT stays OR times > 1").select("id", "key", "stays")
+    return drop_marked(docs, F.col(doc_id).cast("long"), F.xxhash64(text), found, marked)

@@ -236,7 +236,7 @@ class Encoder:
         return self.paths[seg]
 
     def encode(self, texts: list[str]):
-        """Per text: (ids of the best segmentation, losses and swaps of the n best)."""
+        """Per text: (ids of the best segmentation, its score, losses and swaps of the n best, swaps by place in the ids)."""
         if len(self.seen) > CACHE_SEGMENTS:
             self.reset()
         segs = [self.model.segments(t) for t in texts]
@@ -246,7 +246,9 @@ class Encoder:
             lens = self.len[at]
             upto = np.cumsum(lens)
             ids = self.flat[np.repeat(self.start[at] - (upto - lens), lens) + np.arange(int(upto[-1]) if len(upto) else 0)]
-            yield ids, float(self.score[at].sum()), self._next(at)
+            nexts = self._next(at)
+            placed = [[(int(upto[p] - lens[p]), int(upto[p]), self._options(int(at[p]))[o][1]) for p, o in sorted(swaps)] for _, swaps in nexts]
+            yield ids, float(self.score[at].sum()), nexts, placed
 
     def _next(self, at: np.ndarray) -> list[tuple[float, tuple]]:
         """The n best of a text as (loss, ((place, option), ...)), the best first.
@@ -282,40 +284,83 @@ class Encoder:
         return out
 
 
-def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", n_best: int = N_BEST, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, best_score, n_found, losses, round_trip[, ids]).
+_SWAP = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("ids", pa.list_(pa.int32()))])
+_NEXT = pa.struct([("loss", pa.float64()), ("swaps", pa.list_(_SWAP))])
+_COLUMNS = "doc_id long, n_pieces long, ids_crc32 long, best_score double, n_found int, losses array<double>, round_trip boolean, next_crc32 array<long>, model_pieces long, model_crc32 long"
+_IDS = ", ids array<int>, next_best array<struct<loss: double, swaps: array<struct<start: int, stop: int, ids: array<int>>>>>"
+
+
+def spelled(ids: np.ndarray, swaps: list[tuple[int, int, list[int]]]) -> np.ndarray:
+    """The ids of one of the n best: spans of the best ids, in order, give way to others."""
+    parts, at = [], 0
+    for start, stop, other in swaps:
+        parts += [ids[at:start], np.asarray(other, ids.dtype)]
+        at = stop
+    return np.concatenate([*parts, ids[at:]])
+
 
-    `losses`: what each of the n best segmentations scores below the best, in order; `round_trip`:
-    whether decoding the best ids gives the text back.
+def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", n_best: int = N_BEST, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_pieces, ids_crc32, best_score, n_found, losses, round_trip, next_crc32, model_pieces,
+    model_crc32[, ids, next_best]), one row per document.
+
+    The n best segmentations are those of the piece lattice under the model's piece scores. `losses`: what
+    each scores below the best, in order; `next_crc32`: the digests of the ids of all but the best;
+    `next_best`: how they differ from `ids`, to be spelled out by `segmentations`; `round_trip`: whether
+    decoding the best ids gives the text back. A BPE model's own encoding follows its merges instead and is
+    another path of the same lattice: `model_pieces` and `model_crc32` tell it, as the library gives it.
     """
     prepare_session(docs.sparkSession)
-    fields = [("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("best_score", pa.float64()), ("n_found", pa.int32()), ("losses", pa.list_(pa.float64())), ("round_trip", pa.bool_())]
-    schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
+    fields = [
+        ("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("best_score", pa.float64()), ("n_found", pa.int32()), ("losses", pa.list_(pa.float64())), ("round_trip", pa.bool_()),
+        ("next_crc32", pa.list_(pa.int64())), ("model_pieces", pa.int64()), ("model_crc32", pa.int64()),
+    ]
+    schema = pa.schema(fields + [("ids", pa.list_(pa.int32())), ("next_best", pa.list_(_NEXT))] * with_ids)
 
     def run(batches):
-        enc = Encoder(model, n_best)
+        import sentencepiece
 
-        def done(ids: list, texts: list[str]) -> pa.RecordBatch:
-            rows = []
-            for i, t, (best, score, nexts) in zip(ids, texts, enc.encode(texts), strict=True):
-                row = {"doc_id": i, "n_pieces": len(best), "ids_crc32": zlib.crc32(best.astype("<u4")), "best_score": score, "n_found": len(nexts), "losses": [x for x, _ in nexts], "round_trip": enc.model.decode(best.tolist()) == t}
-                rows.append(row | {"ids": best} if with_ids else row)
-            return pa.RecordBatch.from_pylist(rows, schema)
+        enc, library = Encoder(model, n_best), sentencepiece.SentencePieceProcessor(model_file=model)
+        crc = lambda ids: zlib.crc32(ids.astype("<u4"))
 
-        ids, texts, size = [], [], 0
+        def done(keys: list, texts: list[str]) -> pa.RecordBatch:
+            cols: list[list] = [[] for _ in schema]
+            for i, t, (best, score, nexts, swaps), own in zip(keys, texts, enc.encode(texts), library.encode(texts, num_threads=1), strict=True):
+                row = [i, len(best), crc(best), score, len(nexts), [x for x, _ in nexts], enc.model.decode(best.tolist()) == t, [crc(spelled(best, s)) for s in swaps[1:]], len(own), crc(np.array(own, np.int64))]
+                if with_ids:
+                    row += [best.astype(np.int32), [{"loss": x, "swaps": [dict(zip(("start", "stop", "ids"), y, strict=True)) for y in s]} for (x, _), s in zip(nexts[1:], swaps[1:], strict=True)]]
+                for c, v in zip(cols, row, strict=True):
+                    c.append(v)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+        keys, texts, size = [], [], 0
         for b in batches:
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids.append(i)
+                keys.append(i)
                 texts.append(t.as_py() or "")
                 size += len(texts[-1])
                 if size > CHUNK_CHARS:
-                    yield done(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield done(ids, texts)
+                    yield done(keys, texts)
+                    keys, texts, size = [], [], 0
+        if keys:
+            yield done(keys, texts)
+
+    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _COLUMNS + _IDS * with_ids)
+
+
+def segmentations(encoded: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, rank, loss, ids): the n best segmentations of what `encode` gave with ids, the best first."""
 
-    out = "doc_id long, n_pieces long, ids_crc32 long, best_score double, n_found int, losses array<double>, round_trip boolean" + ", ids array<int>" * with_ids
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, out)
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, ids, nexts in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                best = ids.values.to_numpy()
+                rows.append((i, 0, 0.0, best))
+                rows += [(i, k, x["loss"], spelled(best, [(y["start"], y["stop"], y["ids"]) for y in x["swaps"]])) for k, x in enumerate(nexts, 1)]
+            kinds = [pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 4, kinds, strict=True)], names=["doc_id", "rank", "loss", "ids"])
+
+    return encoded.select(F.col(doc_id).cast("long"), "ids", "next_best").mapInArrow(run, "doc_id long, rank int, loss double, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -37,12 +37,11 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_dir(spark, "warc")
     names = warc.write_archives(_table(spark, sf_dir, "pages"), folder)
-    captures = warc.assemble(staged(warc.read_records(spark, folder, names, with_payload=False), "records"))
+    captures = staged(warc.assemble(staged(warc.read_records(spark, folder, names, with_payload=False), "records")), "captures")
     fact = lambda name: F.col("metadata.fields")[name].try_cast("long")
-    return captures.select(
-        fact("page-id").alias("page_id"), fact("payload-length").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
-        F.col("response.kind").alias("record_type"), F.regexp_extract("response.refers_to", r"urn:page:(-?\d+)", 1).try_cast("long").alias("refers_to"),
-        F.col("request.fields")["request-line"].alias("request_line"),
+    return warc.resolved(captures, fact("page-id")).select(
+        fact("page-id").alias("page_id"), F.coalesce("response.payload_bytes", fact("payload-length")).alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.kind").alias("record_type"), F.col("original").alias("refers_to"), F.col("request.fields")["request-line"].alias("request_line"),
     )
 
 

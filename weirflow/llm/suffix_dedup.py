@@ -5,10 +5,10 @@ not sorted over the corpus; work goes where repeats can be:
 
 1. Anchors. Each window of LENGTH bytes has an anchor, the leftmost of its GRAM-byte strings with the
    least hash; neighbouring windows share it. Equal windows have equal anchors at equal places, so a
-   window can only be repeated where its anchor is. A first scan counts anchors; with each occurrence
-   goes the hash of its piece, the bytes of all windows that it serves. Where all pieces of a repeated
-   anchor are equal, all their windows are repeated and no bytes are needed.
-2. Merge. The distinct pieces of each other repeated anchor meet in one task. Those of each shard (input
+   window can only be repeated where its anchor is. A first scan counts anchors; a second one takes the
+   pieces of repeated anchors, a piece being the bytes of all windows that an occurrence serves. Equal
+   pieces are counted, and their bytes sent once per task.
+2. Merge. The distinct pieces of each repeated anchor meet in one task. Those of each shard (input
    partition) get a Burrows-Wheeler transform, over an alphabet of STEP-byte symbols so that LENGTH
    bytes are DEPTH symbols; the shards' transforms are merged by refining their interleave: the merged
    order by h symbols, read as transform symbols and sorted stably, is the order by h + 1. Where a
@@ -19,11 +19,15 @@ not sorted over the corpus; work goes where repeats can be:
 
 An anchor with more than HOT distinct pieces is split: windows are divided by their offset from the
 anchor into blocks, and by the bytes that all windows of a block share, which equal windows have in
-common. Equal parts are counted before they meet, so no task holds a group of unbounded size.
-
-Hashes are 64 bits wide. Broadcast filters are of fixed size. Defined cases: null text is empty; shorter
-texts than LENGTH bytes stay whole; matches never cross documents; repeated rows match each other and
-lose all long enough to match; an empty table gives an empty result; other columns are not read.
+common. Where even that leaves more than HOT distinct parts (long common passages around a part that
+always differs), the parts are split into single windows: those with one occurrence by hash are not
+repeated, and each other distinct one is merged by itself. Equal parts are counted before they meet, so
+no task holds a group of unbounded size.
+
+Hashes are 64 bits wide. Broadcast filters are of bounded size; where one fills up, more occurrences meet
+the join behind it. Defined cases: null text is empty; shorter texts than LENGTH bytes stay whole; matches
+never cross documents; repeated rows match each other and lose all long enough to match; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_filter, passes, staged
+from .common import id_filter, passes, passing, staged, unstage
 
 LENGTH = 200
 GRAM = 64
@@ -127,24 +131,21 @@ def _chunks(batches, id_columns: int):
 
 
 def count_anchors(docs: DataFrame) -> DataFrame:
-    """Staged (anchor, same) of the repeated anchors of (…, binary text); same: all pieces are equal."""
+    """Staged (anchor) of the repeated anchors of (…, binary text)."""
 
     def run(batches):
         for _, raw, ends, _ in _chunks(batches, 2):
-            _, anchor, _, first, last = occurrences(np.frombuffer(raw, np.uint8), ends)
-            view = memoryview(raw)
-            piece = np.fromiter((xxhash.xxh3_64_intdigest(view[a:z]) for a, z in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)), np.uint64, len(first))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(piece.view(np.int64))], names=["anchor", "piece"])
+            u, n = np.unique(occurrences(np.frombuffer(raw, np.uint8), ends)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], names=["anchor", "n"])
 
-    seen = docs.mapInArrow(run, "anchor long, piece long").groupBy("anchor").agg(F.count("*").alias("n"), F.min("piece").alias("lo"), F.max("piece").alias("hi"))
-    return staged(seen.filter("n > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("same")), "anchors")
+    seen = docs.mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return staged(seen.filter("n > 1").select("anchor"), "anchors")
 
 
 def repeated_occurrences(docs: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Staged (doc_id, did, anchor, piece, first, last, place, shard, body, unlike): occurrences of anchors
-    that pass the filter; body, the piece's bytes, where pieces seem unlike, once per task."""
-    every = id_filter(anchors.select("anchor"))
-    mixed = id_filter(anchors.filter(~F.col("same")).select("anchor"))
+    """Staged (doc_id, did, anchor, piece, first, place, shard, body): occurrences of anchors that pass the
+    filter; body, the piece's bytes, once per task."""
+    every = id_filter(anchors, anchors.count())
 
     def run(batches):
         from pyspark import TaskContext
@@ -154,26 +155,25 @@ def repeated_occurrences(docs: DataFrame, anchors: DataFrame) -> DataFrame:
             text, anchor, place, first, last = occurrences(np.frombuffer(raw, np.uint8), ends)
             ok = passes(every.value, anchor)
             text, anchor, place, first, last = (x[ok] for x in (text, anchor, place, first, last))
-            send = passes(mixed.value, anchor).tolist()
             begins = np.concatenate([[0], ends[:-1]])[text]
             view, piece, body = memoryview(raw), [], []
-            for a, z, s in zip(first.tolist(), (last + LENGTH).tolist(), send, strict=True):
+            for a, z in zip(first.tolist(), (last + LENGTH).tolist(), strict=True):
                 piece.append(xxhash.xxh3_64_intdigest(view[a:z]))
-                fresh = s and piece[-1] not in sent
+                fresh = piece[-1] not in sent
                 body.append(raw[a:z] if fresh else None)
-                if fresh and len(sent) < 1_000_000:
+                if fresh and len(sent) < 500_000:
                     sent.add(piece[-1])
             moved = np.array(shift, np.int64)[text] - begins
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[t][0] for t in text.tolist()], pa.int64()), pa.array([ids[t][1] for t in text.tolist()], pa.int64()), pa.array(anchor),
-                    pa.array(np.array(piece, np.uint64).view(np.int64)), pa.array(first + moved), pa.array(last + moved), pa.array(place - first, pa.int64()),
-                    pa.array([shard] * len(text), pa.int32()), pa.array(body, pa.binary()), pa.array(send, pa.bool_()),
+                    pa.array(np.array(piece, np.uint64).view(np.int64)), pa.array(first + moved), pa.array(place - first, pa.int64()),
+                    pa.array([shard] * len(text), pa.int32()), pa.array(body, pa.binary()),
                 ],
-                names=["doc_id", "did", "anchor", "piece", "first", "last", "place", "shard", "body", "unlike"],
+                names=["doc_id", "did", "anchor", "piece", "first", "place", "shard", "body"],
             )
 
-    return staged(docs.mapInArrow(run, "doc_id long, did long, anchor long, piece long, first long, last long, place long, shard int, body binary, unlike boolean"), "occurrences")
+    return staged(docs.mapInArrow(run, "doc_id long, did long, anchor long, piece long, first long, place long, shard int, body binary"), "occurrences", compression="zstd")
 
 
 def merge_transforms(bodies: list[bytes], shards: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -241,16 +241,23 @@ def repeated_windows(bodies: list[bytes], counts: list[int], shards: list[int])
 
 
 _PARTS = "key long, part long, anchor long, piece long, off long, n long, shard int, body binary"
+_WINDOWS = "window long, key long, part long, off long, n long, shard int, body binary"
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _batch(rows: list, kinds: list, schema: str) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
 
 
 def _split(batches):
-    """Pieces to parts: whole under their anchor, or, of hot anchors, one for each block of offsets."""
+    """Pieces of hot anchors to parts, one for each block of offsets."""
     for b in batches:
         rows = []
-        for anchor, piece, n, shard, place, body, hot in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-            if not hot:
-                rows.append((anchor, piece, anchor, piece, 0, n, shard, body))
-                continue
+        for anchor, piece, n, shard, place, body in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
             for low in range(0, LENGTH - GRAM + 1, OFFSETS):  # windows that start low to high bytes before the anchor
                 high = min(low + OFFSETS - 1, LENGTH - GRAM)
                 a, z = max(0, place - high), min(place - low, len(body) - LENGTH)
@@ -260,10 +267,17 @@ def _split(batches):
                 core = body[max(0, place - low) : place - high + LENGTH] if place - low >= 0 else b""
                 key = xxhash.xxh3_64_intdigest(core, seed=(anchor + low) & 0xFFFFFFFFFFFFFFFF)
                 part = body[a : z + LENGTH]
-                rows.append((np.uint64(key).astype(np.int64).item(), np.uint64(xxhash.xxh3_64_intdigest(part)).astype(np.int64).item(), anchor, piece, a, n, shard, part))
-        kinds = [pa.int64()] * 6 + [pa.int32(), pa.binary()]
-        cols = list(zip(*rows, strict=True)) or [()] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "part", "anchor", "piece", "off", "n", "shard", "body"])
+                rows.append((_signed(key), _signed(xxhash.xxh3_64_intdigest(part)), anchor, piece, a, n, shard, part))
+        yield _batch(rows, [pa.int64()] * 6 + [pa.int32(), pa.binary()], _PARTS)
+
+
+def _single(batches):
+    """Parts to their windows."""
+    for b in batches:
+        for key, part, n, shard, body in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            windows = [body[a : a + LENGTH] for a in range(len(body) - LENGTH + 1)]
+            rows = [(_signed(xxhash.xxh3_64_intdigest(w, seed=key & 0xFFFFFFFFFFFFFFFF)), key, part, a, n, shard, w) for a, w in enumerate(windows)]
+            yield _batch(rows, [pa.int64()] * 5 + [pa.int32(), pa.binary()], _WINDOWS)
 
 
 def _merged(batches):
@@ -295,22 +309,32 @@ def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, did, start, stop): repeated byte ranges of (doc_id, did, binary text), which may overlap."""
     anchors = count_anchors(docs)
     found = repeated_occurrences(docs, anchors)
-    same = found.join(anchors.filter("same"), "anchor").select("doc_id", "did", F.col("first").alias("start"), (F.col("last") + LENGTH).alias("stop"))
-    unlike = anchors.filter("NOT same").select("anchor")
     # pieces are counted before they meet at their anchor, so that a frequent anchor's copies are spread
-    pieces = found.filter("unlike").groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min("shard").alias("shard"), F.first("place").alias("place"), F.max("body").alias("body"))
-    pieces = pieces.join(unlike, "anchor")
-    pieces = staged(pieces, "pieces")
-    hot = pieces.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > HOT).select("anchor", F.lit(True).alias("hot"))
-    parts = pieces.join(hot, "anchor", "left").select("anchor", "piece", "n", "shard", "place", "body", F.coalesce("hot", F.lit(False)).alias("hot"))
-    parts = staged(parts.mapInArrow(_split, _PARTS), "parts")
+    pieces = found.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min("shard").alias("shard"), F.min("place").alias("place"), F.max("body").alias("body"))
+    pieces = staged(pieces.join(anchors, "anchor", "left_semi"), "pieces", compression="zstd")
+    unstage(anchors)
+    places = staged(found.select("doc_id", "did", "anchor", "piece", "first"), "places")
+    unstage(found)
+    hot = staged(pieces.groupBy("anchor").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > HOT).select("anchor"), "hot")
+    cold = pieces.join(hot, "anchor", "left_anti").select(F.col("anchor").alias("key"), F.col("piece").alias("part"), "n", "shard", "body")
+    parts = staged(pieces.join(hot, "anchor", "left_semi").select("anchor", "piece", "n", "shard", "place", "body").mapInArrow(_split, _PARTS), "parts", compression="zstd")
     alike = parts.groupBy("key", "part").agg(F.sum("n").alias("n"), F.min("shard").alias("shard"), F.max("body").alias("body"))
-    runs = alike.select("key", "part", "n", "shard", "body").repartition("key").sortWithinPartitions("key").mapInArrow(_merged, "key long, part long, a long, z long")
-    runs = parts.select("key", "part", "anchor", "piece", "off").join(runs, ["key", "part"]).select("anchor", "piece", (F.col("a") + F.col("off")).alias("a"), (F.col("z") + F.col("off")).alias("z"))
-    runs = staged(runs.groupBy("anchor", "piece").agg(F.collect_list(F.struct("a", "z")).alias("runs")), "runs")
-    again = found.filter("unlike").select("doc_id", "did", "anchor", "piece", "first").join(runs, ["anchor", "piece"])
-    again = again.select("doc_id", "did", "first", F.explode("runs").alias("r")).select("doc_id", "did", (F.col("first") + F.col("r.a")).alias("start"), (F.col("first") + F.col("r.z") + LENGTH).alias("stop"))
-    return same.unionByName(again)
+    alike = staged(alike, "alike", compression="zstd")
+    large = staged(alike.groupBy("key").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > HOT).select("key"), "large")
+    windows = staged(alike.join(large, "key", "left_semi").select("key", "part", "n", "shard", "body").mapInArrow(_single, _WINDOWS), "windows", compression="zstd")
+    again = windows.groupBy("window").agg(F.sum("n").alias("n"), F.min("shard").alias("shard"), F.max("body").alias("body")).filter("n > 1")
+    groups = cold.unionByName(alike.join(large, "key", "left_anti")).unionByName(again.select(F.col("window").alias("key"), F.col("window").alias("part"), "n", "shard", "body"))
+    runs = groups.select("key", "part", "n", "shard", "body").repartition("key").sortWithinPartitions("key").mapInArrow(_merged, "key long, part long, a long, z long")
+    runs = staged(runs, "runs")
+    # back from windows to parts, from parts to pieces, and from pieces to places
+    single = windows.select("window", "key", "part", "off").join(runs.select(F.col("key").alias("window"), F.col("part").alias("same")), "window").filter("same = window")
+    of_parts = runs.unionByName(single.select("key", "part", F.col("off").alias("a"), F.col("off").alias("z")))
+    of_hot = parts.select("key", "part", "anchor", "piece", "off").join(of_parts, ["key", "part"]).select("anchor", "piece", (F.col("a") + F.col("off")).alias("a"), (F.col("z") + F.col("off")).alias("z"))
+    of_cold = runs.join(hot, F.col("key") == F.col("anchor"), "left_anti").select(F.col("key").alias("anchor"), F.col("part").alias("piece"), "a", "z")
+    of_pieces = staged(of_cold.unionByName(of_hot).groupBy("anchor", "piece").agg(F.collect_set(F.struct("a", "z")).alias("runs")), "found")
+    unstage(pieces, alike, windows, parts, hot, large, runs)
+    out = places.join(of_pieces, ["anchor", "piece"]).select("doc_id", "did", "first", F.explode("runs").alias("r"))
+    return out.select("doc_id", "did", (F.col("first") + F.col("r.a")).alias("start"), (F.col("first") + F.col("r.z") + LENGTH).alias("stop"))
 
 
 def _cut(raw: bytes, ranges: list) -> tuple[int, int, bytes]:
@@ -333,14 +357,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]), one row per document."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("did"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     ranges = staged(spans(rows), "spans")
-    cuts = ranges.groupBy("did", "doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    touched = id_filter(ranges.select("did").distinct())
-
-    @F.pandas_udf("boolean")
-    def may_have(did):
-        import pandas as pd
-
-        return pd.Series(passes(touched.value, did.to_numpy()))
+    # equal rows have equal ranges, which count once: a text has fewer of them than bytes
+    cuts = staged(ranges.groupBy("did", "doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")), "cuts")
+    unstage(ranges)
+    may_have = passing(id_filter(cuts.select("did"), cuts.count()))
 
     out = [F.col("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256")]
     rows = rows.withColumn("hit", may_have("did"))

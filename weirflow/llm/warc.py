@@ -6,12 +6,16 @@ parses the archives into a table of records and joins request and metadata to th
 identifier into one nested row per capture.
 
 Equal payloads are found by SHA-256 over a table without payloads; of at least MIN_REVISIT bytes, the
-row with the largest page_id holds the payload and the others revisit it. Archives are gzip files with
+row with the largest page_id holds the payload and the others revisit it: they name its record in
+WARC-Refers-To, whose identifier follows from payload and page. Pages whose payload is certainly not
+repeated pass straight to the writers; of the others only those that may hold a payload move with it.
+Archives are gzip files with
 one member per record, one archive per task, written under a temporary name and moved when complete;
 their folder must be shared and open to pyarrow by URI.
 
 Defined cases: null html is an empty payload; a null url is written as an empty target; rows that
-share the largest page_id of a group are all responses; a null page_id loses to any other and reads
+share the largest page_id of a group are all responses, and revisits of them name none of their records
+but share their digest; CR and LF in a url are left out; a null page_id loses to any other and reads
 back as null; an empty table gives an empty result; other columns are not read.
 """
 
@@ -25,10 +29,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_groups, small, staged
+from .common import id_filter, passing, staged
 
 MIN_REVISIT = 1000
 LEVEL = 1
@@ -39,18 +43,26 @@ RECORDS = "kind string, record_id string, concurrent_to string, target_uri strin
 
 
 def decide(pages: DataFrame, page_id: str, html: str) -> DataFrame:
-    """Pages as (page_id, url, html, sha, keep_id); keep_id is null unless the payload is repeated."""
-    sha = F.sha2("html", 256)
+    """Pages as (page_id, url, html, sha, sha1, size, keep_id, keepers, revisit); keep_id is null unless the
+    payload is repeated, html is null for a revisit."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("html"))
-    rows = rows.withColumn("sha", sha)
-    keys = staged(rows.filter(F.octet_length("html") >= MIN_REVISIT).select("page_id", "sha"), "payloads")
-    groups = staged(keys.groupBy("sha").agg(F.count("*").alias("copies"), F.max("page_id").alias("keep_id")).filter("copies > 1"), "repeated")
+    rows = rows.select("page_id", "url", "html", F.sha2("html", 256).alias("sha"), F.sha1("html").alias("sha1"), F.octet_length("html").cast("long").alias("size"))
+    keys = rows.filter(F.col("size") >= MIN_REVISIT).groupBy("sha", "page_id").agg(F.count("*").alias("rows"))
+    groups = keys.groupBy("sha").agg(F.sum("rows").alias("copies"), F.max(F.struct("page_id", "rows")).alias("keep")).filter("copies > 1")
+    groups = staged(groups.select("sha", F.col("keep.page_id").alias("keep_id"), F.col("keep.rows").alias("keepers")), "repeated")
     n = groups.count()
-    if n <= 200_000:
-        return rows.join(small(groups, n), "sha", "left").drop("copies")
-    total = keys.count()
-    again = join_groups(rows, groups, "sha", "copies", total).drop("copies")
-    return rows.join(groups.select("sha"), "sha", "left_anti").withColumn("keep_id", F.lit(None).cast("long")).unionByName(again)
+    may_repeat = passing(id_filter(groups.select(F.xxhash64("sha")), n))
+    may_keep = passing(id_filter(groups.select(F.xxhash64("sha", "keep_id")), n))
+    tested = rows.withColumn("maybe", (F.col("size") >= MIN_REVISIT) & may_repeat(F.xxhash64("sha")))
+    out = ["page_id", "url", "html", "sha", "sha1", "size", "keep_id", "keepers", "revisit"]
+    none = F.lit(None).cast("long")
+    clear = tested.filter("NOT maybe").withColumns({"keep_id": none, "keepers": none, "revisit": F.lit(False)})
+    # a page that can't hold its group's payload moves without it; one that only the filter took for repeated keeps it
+    light = F.when(may_keep(F.xxhash64("sha", "page_id")), F.col("html"))
+    # the text of the few others that the join finds unrepeated comes from the pages again
+    found = tested.filter("maybe").select("page_id", "url", light.alias("html"), F.col("html").isNull().alias("x"), "sha", "sha1", "size").drop("x").join(groups, "sha", "left")
+    found = found.withColumn("revisit", F.col("keep_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep_id")))
+    return clear.select(*out).unionByName(found.withColumn("html", F.when(~F.col("revisit"), F.col("html"))).select(*out))
 
 
 def _record(kind: str, rid: str, url: str, extra: list[tuple[str, str]], body: bytes, content: str) -> bytes:
@@ -64,22 +76,25 @@ def _rid(*parts) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(repr(parts).encode()).digest())}>"
 
 
-def _transaction(part: int, row: int, page_id: int | None, url: str, html: bytes, keep_id: int | None) -> bytes:
-    digest = base64.b32encode(hashlib.sha1(html).digest()).decode()
+def _transaction(part: int, row: int, page_id: int | None, url: str, html: bytes | None, sha: str, sha1: str, size: int, keep_id: int | None, keepers: int | None) -> bytes:
+    """The three records of a page; html is None for a revisit."""
+    digest = base64.b32encode(bytes.fromhex(sha1)).decode()
     ids = [_rid(kind, part, row, page_id) for kind in ("request", "response", "metadata")]
-    host, _, path = url.partition("://")[2].partition("/")
+    kept = _rid("kept", sha, keep_id) if keepers == 1 else None
+    if kept and html is not None:
+        ids[1] = kept
     url = "".join(c for c in url if c not in "\r\n")
+    host, _, path = url.partition("://")[2].partition("/")
     request = f"GET /{path} HTTP/1.1\r\nHost: {host}\r\n\r\n".encode()
-    answer = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(html)
+    answer = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     extra = [("WARC-Payload-Digest", f"sha1:{digest}")]
-    revisit = keep_id is not None and keep_id != page_id
-    if revisit:
-        extra += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{keep_id}>")]
-    facts = f"page-id: {'' if page_id is None else page_id}\r\npayload-length: {len(html)}\r\n".encode()
+    if html is None:
+        extra += [("WARC-Profile", PROFILE)] + [("WARC-Refers-To", kept)] * bool(kept)
+    facts = f"page-id: {'' if page_id is None else page_id}\r\npayload-length: {size}\r\n".encode()
     link = [("WARC-Concurrent-To", ids[1])]
     return (
         _record("request", ids[0], url, link, request, "application/http; msgtype=request")
-        + _record("revisit" if revisit else "response", ids[1], url, extra, answer + (b"" if revisit else html), "application/http; msgtype=response")
+        + _record("revisit" if html is None else "response", ids[1], url, extra, answer + (html or b""), "application/http; msgtype=response")
         + _record("metadata", ids[2], url, link, facts, "application/warc-fields")
     )
 
@@ -92,21 +107,21 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", html
 
         part, row, out = TaskContext.get().partitionId(), 0, None
         for b in batches:
-            for p, u, h, k in zip(*(b.column(i) for i in range(4)), strict=True):
+            for p, u, h, *told in zip(*(b.column(i) for i in range(8)), strict=True):
                 if out is None:
                     fs, where = pafs.FileSystem.from_uri(folder)
                     fs.create_dir(where, recursive=True)
                     name = f"part-{part:06d}.warc.gz"
                     tmp = f"{where}/.{name}.{uuid.uuid4().hex}"
                     out = fs.open_output_stream(tmp, compression=None)
-                out.write(_transaction(part, row, p.as_py(), u.as_py() or "", h.as_py(), k.as_py()))
+                out.write(_transaction(part, row, p.as_py(), u.as_py() or "", h.as_py(), *(x.as_py() for x in told)))
                 row += 1
         if out is not None:
             out.close()
             fs.move(tmp, f"{where}/{name}")
             yield pa.RecordBatch.from_pydict({"name": [name]})
 
-    rows = decide(pages, page_id, html).select("page_id", "url", "html", "keep_id")
+    rows = decide(pages, page_id, html).select("page_id", "url", "html", "sha", "sha1", "size", "keep_id", "keepers")
     return sorted(r["name"] for r in rows.mapInArrow(run, "name string").collect())
 
 
@@ -195,3 +210,17 @@ def assemble(records: DataFrame) -> DataFrame:
         part = records.filter(F.col("kind") == kind).select(F.col("concurrent_to").alias("id"), F.struct("record_id", "target_uri", "fields").alias(kind))
         response = response.join(part, "id", "left")
     return response.drop("id")
+
+
+def resolved(captures: DataFrame, key: Column) -> DataFrame:
+    """Captures with `original`: for a revisit the key of the response that holds its payload, else null.
+
+    It is found by the record that the revisit names, or, where it names none, by the digest. `captures` is
+    read three times and should be staged; a named record is one row, a digest's responses are summed first.
+    """
+    held = captures.filter("response.kind = 'response'").select(F.col("response.record_id").alias("_id"), F.col("response.payload_digest").alias("_digest"), key.alias("_key"))
+    by_digest = held.groupBy("_digest").agg(F.max("_key").alias("_by_digest"))
+    named = F.col("response.refers_to") == F.col("_id")
+    out = captures.join(held.select("_id", F.col("_key").alias("_by_id")), named, "left")
+    unnamed = (F.col("response.kind") == "revisit") & F.col("_id").isNull() & (F.col("response.payload_digest") == F.col("_digest"))
+    return out.join(by_digest, unnamed, "left").withColumn("original", F.coalesce("_by_id", "_by_digest")).drop("_id", "_by_id", "_digest", "_by_digest")
