@@ -2,8 +2,8 @@
 
 quality: failing lines go, documents that the rules reject go; exact: of equal texts the largest id
 stays; near: of documents linked by shingles of five words at 0.8 the least id of each group stays;
-mix: documents are taken, and repeated, to the sources' target weights; pieces: SentencePiece encoding
-of what is left, with the n best segmentations, one row per document of the mix.
+mix: documents are taken, and repeated, to the sources' target weights; pieces: SentencePiece ids of what
+is left, and how the other n best segmentations differ from them, one row per document of the mix.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact), ("ngram_jaccard", near), ("mix_sources", mix), ("sentencepiece", encode)]
