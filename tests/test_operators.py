@@ -1,12 +1,17 @@
 """Merge, streaming, policies, sources, digests and the audit on small data."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from weirflow.operators import audit, benchmarks, cdc, digest, policy
+from weirflow.plans.analysis import classify_query
+from weirflow.plans.execute import Control, Engine, TableWarehouse
+from weirflow.plans.router import Config
 from weirflow.session import Session
-from weirflow.sources import history, rowset
-from weirflow.sources.lake import LakeTable
+from weirflow.sources import history, remote, rowset
+from weirflow.sources.lake import LakeTable, WriteConflict
 from weirflow.streaming import sync
 
 
@@ -53,6 +58,70 @@ def test_stream_of_files(spark, tmp_path):
     assert rows(sync.current(table)) == [("a", 5), ("b", 7)]
 
 
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("step", ["_rename", "_forget", "vacuum"])
+def test_lake_writer_killed(spark, tmp_path, monkeypatch, step):
+    """Whatever step a writer dies at, the table holds a whole version, and a batch that runs again comes right."""
+    event = lambda *data: spark.createDataFrame(data, EVENT)
+    table = LakeTable(spark, str(tmp_path / "lake"))
+    sync.merge_batch(table, event(("INSERT", "a", 1, 1), ("INSERT", "b", 2, 1)), 0, 4)
+
+    def dies(*_, **__):
+        raise Killed
+
+    monkeypatch.setattr(table, step, dies)
+    second = event(("DELETE", "a", 1, 2), ("INSERT", "c", 3, 2))
+    with pytest.raises(Killed):
+        sync.merge_batch(table, second, 1, 4)
+    again = LakeTable(spark, str(tmp_path / "lake"))
+    before, after = [("a", 1), ("b", 2)], [("b", 2), ("c", 3)]
+    assert rows(sync.current(again)) == (before if step == "_rename" else after)
+    assert sync.merge_batch(again, second, 1, 4) == (step == "_rename")
+    assert rows(sync.current(again)) == after
+    again.vacuum(0)
+    assert rows(sync.current(again)) == after and rows(again.read(number=0).where("NOT __gone").select("__row_id", "v")) == before
+
+
+def test_lake_writers_meet(spark, tmp_path):
+    """Of two writers that read one version, the second to publish fails, and its rows are not there."""
+    one, two = (LakeTable(spark, str(tmp_path / "lake")) for _ in range(2))
+    one.write(spark.range(3))
+    read = two.state()
+    one.write(spark.range(4))
+    two.state = lambda number=None: read
+    with pytest.raises(WriteConflict):
+        two.write(spark.range(9))
+    assert one.read().count() == 4 and one.pointers() == [0, 1]
+
+
+def test_small_batch_rewrites_few_parts(spark, tmp_path):
+    table = LakeTable(spark, str(tmp_path / "lake"))
+    sync.merge_batch(table, spark.range(200).selectExpr("'INSERT' AS __action", "CAST(id AS STRING) AS __row_id", "CAST(id AS INT) AS v", "1L AS __commit"), 0, 8)
+    old = table.state()["parts"]
+    sync.merge_batch(table, spark.createDataFrame([("DELETE", "7", 7, 2)], EVENT), 1, 8)
+    new = table.state()["parts"]
+    assert len(old) == 8 and sum(old[k] != new[k] for k in old) == 1
+    assert sync.current(table).count() == 199 and table.read().count() == 200
+    sync.compact(table, 3, 8)
+    assert sync.current(table).count() == 199 and table.read().count() == 199 and table.last_batch == 1
+
+
+def test_poll_backs_off():
+    slept, left = [], iter([True, "conflict", "conflict", True, False])
+
+    def step():
+        got = next(left)
+        if got == "conflict":
+            raise WriteConflict
+        return got
+
+    assert sync.poll(step, sync.Pace(10), sleep=slept.append) == 2
+    assert slept == [10, 20, 40, 10]
+
+
 def test_policies(spark):
     df = spark.createDataFrame([("eu", 1, None), ("us", 2, "x"), (None, 3, "y")], "region string, v int, s string")
     who = Session(role="ANALYST", user="ana", roles=("EU",))
@@ -94,6 +163,50 @@ def test_digest(spark):
     assert not digest.same_results(df, df.fillna("\x01"))
     assert [len(p) for p in digest.pages(df, 2)] == [2, 1]
     assert digest.digest(df.limit(0)).first()[0] == 0
+    assert digest.same_results(df.limit(0), df.where("i > 5")) and not digest.same_results(df.limit(0), df)
+
+
+TEXTS = [
+    "SELECT a FROM d.s.t WHERE b = 'x, 5' AND c IN (1, 2.5, 'it''s')", "SELECT a FROM d.s.t WHERE b = 'FLATTEN(' ", "SELECT a1, 7 FROM d.s.t2 WHERE c >= 10", "SELECT \"a 5\" FROM d.s.t WHERE x = 5",
+    "SELECT 'odd FROM d.s.t", "SELECT a FROM d.s.t -- = 5", "SELECT $$ = 5 $$ FROM d.s.t", "SELECT a FROM d.s.t WHERE b LIKE '%, 3, %' LIMIT 10", "DELETE FROM d.s.t WHERE k = 3", "SELECT * FROM TABLE(GENERATOR(ROWCOUNT => 5))", "", "SELEC 1", "SELECT a FROM d.s.t AT(OFFSET => -60)", "SELECT x'00' FROM d.s.t, (SELECT 1, 2) q",
+]
+
+
+def test_shapes_are_analysed_like_their_texts(spark):
+    df = spark.createDataFrame([(t,) for t in TEXTS] + [("SELECT a FROM d.s.t WHERE b = 'other' AND c IN (9, 1.5, '')",)], "t string")
+    shapes = {r.t: r.shape for r in df.select("t", audit.shape_of(F.col("t")).alias("shape")).collect()}
+    for text, shape in shapes.items():
+        assert classify_query(shape) == classify_query(text), text
+    assert shapes[TEXTS[0]] == shapes["SELECT a FROM d.s.t WHERE b = 'other' AND c IN (9, 1.5, '')"]
+
+
+def test_engine_keeps_policies_apart(spark):
+    """Two sessions run one statement at a time: each sees what its own role may."""
+    lake = {"t": spark.createDataFrame([(1, "eu"), (2, "us"), (3, "us")], "k int, region string")}
+    source = lambda ref: lake[ref.name.lower()]
+    stats = spark.createDataFrame([("D", "S", "t", 10, 3, "active", "include", None)], "database string, schema string, name string, bytes long, rows_count long, sync_state string, source string, view_strategy string")
+    deps = spark.createDataFrame([], "parent_db string, parent_schema string, parent_name string, dep_db string, dep_schema string, dep_name string")
+    marks = spark.createDataFrame([("D", "S", "t", "p", "UPPER(region) = CURRENT_ROLE()")], "database string, schema string, name string, policy_name string, body string")
+    engine = Engine(spark, source, TableWarehouse(spark, source), Control(stats, deps, marks), Config(policy_mode="enforce"))
+    got = {role: engine.execute("SELECT k FROM t ORDER BY k", Session(role=role, database="D", schema="S")) for role in ("EU", "US", "XX")}
+    assert {role: [r.k for r in g.df.collect()] for role, g in got.items()} == {"EU": [1], "US": [2, 3], "XX": []}
+    assert {g.outcome.route for g in got.values()} == {"lake"}
+    written = engine.decide("DELETE FROM t WHERE k = 1", Session(database="D", schema="S"))
+    assert (written.route, written.reason) == ("warehouse", "write_statement")
+
+
+def test_remote_reads_every_partition(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id % 7 AS k", "CAST(id AS STRING) AS s").repartition(5).write.parquet(str(tmp_path / "far"))
+    far = remote.read_folder(spark, str(tmp_path / "far"))
+    assert far.rdd.getNumPartitions() == 5 and far.count() == 1000
+    assert sorted(r.id for r in far.where("k = 3 AND id < 50 AND s LIKE '%1'").collect()) == [31]
+    # a reader that stops early is found out: the rows must add up to what was declared
+    options = {"transport": "weirflow.sources.remote:FolderTransport", "with": json.dumps({"path": str(tmp_path / "far")})}
+    reader = remote._Reader(far.schema, options)
+    part = reader.partitions()[0]
+    assert sum(b.num_rows for b in reader.read(part)) == part.rows
+    with pytest.raises(remote.ShortRead):
+        list(reader.read(remote.Part(part.name, part.rows + 1)))
 
 
 def test_audit_report(spark):

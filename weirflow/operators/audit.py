@@ -29,22 +29,39 @@ def credits(ms: Column, size: Column) -> Column:
     return ms / F.lit(3_600_000.0) * credits_per_hour(size)
 
 
+#: Literals whose value the analysis doesn't look at: strings, and numbers after an operator, comma or bracket.
+_STRING = r"'(?:[^']|'')*'"
+_NUMBER = r"(?<=[=<>(,]|[=<>(,] )\d+(?:\.\d+)?(?=$|[ ,)])"
+#: Where one of these is in a text, a quote may not be what it seems: comments, dollar quotes, escapes, names.
+_DOUBT = r'''--|/\*|//|[$\\"]'''
+
+
+def shape_of(text: Column) -> Column:
+    """Text with literals replaced by '0' and 0, so that texts which differ in them only are equal.
+
+    The analysis of the shape is that of the text: it sees a literal either way, and redaction turns either
+    into one mark. Texts in doubt, or with an odd number of quotes, are left as they are.
+    """
+    masked = F.regexp_replace(F.regexp_replace(text, _STRING, "'0'"), _NUMBER, "0")
+    odd = F.length(F.regexp_replace(text, "[^']", "")) % 2 == 1
+    return F.when(odd | text.rlike(_DOUBT), text).otherwise(masked)
+
+
 @F.pandas_udf(ANALYSIS)
 def _classify(texts: pd.Series) -> pd.DataFrame:
-    seen: dict = {}
-    rows = []
-    for t in texts:
-        if t not in seen:
-            a = classify_query(t or "")
-            seen[t] = (a.bucket, a.reason, [x.fqn for x in a.tables], a.redacted)
-        rows.append(seen[t])
-    return pd.DataFrame(rows, columns=["bucket", "reason", "tables", "redacted"])
+    found = [classify_query(t or "") for t in texts]
+    return pd.DataFrame([(a.bucket, a.reason, [x.fqn for x in a.tables], a.redacted) for a in found], columns=["bucket", "reason", "tables", "redacted"])
 
 
 def classified(history: DataFrame, price: float = PRICE) -> DataFrame:
-    """History with bucket, reason, tables, redacted text and dollars. Each text is parsed once a batch."""
-    h = history.withColumn("a", _classify("query_text"))
-    return h.select(*history.columns, "a.*", (credits(F.col("execution_time"), F.col("warehouse_size")) * price).alias("dollars"))
+    """History with bucket, reason, tables, redacted text and dollars.
+
+    Only distinct shapes of texts are parsed, in Python; the shapes are found and joined back in the JVM.
+    """
+    h = history.withColumn("_shape", shape_of(F.coalesce("query_text", F.lit(""))))
+    known = h.select(F.col("_shape").alias("_text")).distinct().select("_text", _classify("_text").alias("a"))
+    joined = h.join(known, h["_shape"] == known["_text"])
+    return joined.select(*[h[c] for c in history.columns], "a.*", (credits(F.col("execution_time"), F.col("warehouse_size")) * price).alias("dollars"))
 
 
 def totals(c: DataFrame) -> DataFrame:
@@ -68,11 +85,9 @@ def top_tables(c: DataFrame, n: int = TOP_N) -> DataFrame:
 
 
 def conservative(c: DataFrame, n: int = TOP_N) -> DataFrame:
-    """Routable queries whose tables are all among the top n."""
-    top = F.broadcast(top_tables(c, n).select("table_fqn"))
-    rows = c.where("bucket = 'routable'").withColumn("qid", F.monotonically_increasing_id())
-    outside = rows.select("qid", F.explode("tables").alias("table_fqn")).join(top, "table_fqn", "left_anti").select("qid").distinct()
-    return rows.join(outside, "qid", "left_anti").drop("qid")
+    """Routable queries whose primary table, the first they name, is among the top n by spend."""
+    top = F.broadcast(top_tables(c, n).select(F.col("table_fqn").alias("_top")))
+    return c.where("bucket = 'routable'").join(top, F.col("tables")[0] == F.col("_top"), "left_semi")
 
 
 def summary(total: int, dollars: float, routable: int, saved: float, days: int = WINDOW_DAYS) -> dict:

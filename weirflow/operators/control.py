@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 KEY = ["database", "schema", "name"]
 
 
@@ -71,8 +73,7 @@ def closure(spark, edges: str, roots: str, max_depth: int | None = 4, beyond: st
     DepGraphTooDeep is raised; beyond="stop" asks for the levels down to it only. Without `max_depth` all are walked.
     """
     # each level is cut from its plan, which would double with every level
-    kept = spark.sparkContext.getCheckpointDir() is not None
-    cut = lambda x: x.checkpoint() if kept else x.localCheckpoint()
+    cut = lambda x: staged(x, "closure")
     e = cut(spark.table(edges).select("parent", F.col("dep").alias("next")).distinct())
     step = spark.table(roots).select("root", F.col("root").alias("dep")).distinct()
     found, depth = step.limit(0).withColumn("depth", F.lit(0)), 0

@@ -11,13 +11,13 @@ from pyspark.sql import types as T
 
 from .. import functions as W
 from ..operators import audit, benchmarks, cdc, control, digest, policy
-from ..session import Session, TableRef, read_table
+from ..session import Session, TableRef, read_table, staged
 from ..sources import history as hist
 from ..sources import rowset
 from ..streaming import sync
 from . import cost
 from .analysis import classify_query, classify_view, extract_tables, redact
-from .catalogue import QUERIES, SQL, query
+from .registry import QUERIES, SQL, query
 from .hints import parse_hints
 from .hybrid import build_plan, executed
 from .router import Config, Facts, Matcher, route
@@ -91,9 +91,15 @@ def _cdc_counters(spark, d):
     return n.select(*[F.col(c).cast("long").alias(c) for c in n.columns])
 
 
-@query("infer_action", "SELECT 'DELETE' AS action")
+@query("infer_action", """WITH a AS (SELECT o_orderstatus, CASE WHEN o_custkey % 3 = 0 OR o_orderstatus = 'P' THEN 'delete' WHEN o_custkey % 3 = 1 THEN 'UPDATE_BEFORE' ELSE 'INSERT' END AS act FROM orders WHERE o_orderstatus <> 'F' OR o_custkey % 3 = 2),
+n AS (SELECT o_orderstatus, count(*) FILTER (WHERE act = 'INSERT') AS i, count(*) FILTER (WHERE act = 'delete') AS d, count(*) FILTER (WHERE act = 'UPDATE_BEFORE') AS u FROM a GROUP BY o_orderstatus)
+SELECT o_orderstatus AS part, CASE WHEN d >= i AND d >= u THEN 'DELETE' WHEN u >= i THEN 'UPDATE' ELSE 'INSERT' END AS action FROM n UNION ALL SELECT 'tie', 'DELETE'""")
 def _infer(spark, d):
-    return cdc.infer_action(spark.createDataFrame([("INSERT",), ("DELETE",)], "__action string"))
+    act = F.when((F.col("o_custkey") % 3 == 0) | (F.col("o_orderstatus") == "P"), "delete").when(F.col("o_custkey") % 3 == 1, "UPDATE_BEFORE").otherwise("INSERT")
+    rows = read_table(spark, d, "orders").where("o_orderstatus <> 'F' OR o_custkey % 3 = 2").select("o_orderstatus", act.alias("__action"))
+    parts = [(s, rows.where(F.col("o_orderstatus") == s)) for s in ("O", "F", "P")] + [("tie", spark.createDataFrame([("INSERT",), ("DELETE",)], "__action string"))]
+    found = [cdc.infer_action(part).select(F.lit(name).alias("part"), "action") for name, part in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
 
 
 @query("kafka_envelope", "SELECT id, note FROM (SELECT CAST(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 4 = 1 THEN 'new' ELSE 'old' END AS note, o_orderkey AS k FROM orders) WHERE k % 4 <> 2")
@@ -221,22 +227,10 @@ def _idle(spark, d):
 
 
 @query("view_closure", """WITH RECURSIVE walk(root, dep, depth) AS (
-SELECT n_nationkey, x, 1 FROM nation, (VALUES (1), (3)) v(o), LATERAL (SELECT (n_nationkey + o) % 25 AS x) WHERE n_nationkey < 5
-UNION ALL SELECT root, (dep + o) % 25, depth + 1 FROM walk, (VALUES (1), (3)) v(o) WHERE depth < 4)
-SELECT root, dep, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY root, dep""")
-def _closure(spark, d):
-    n = read_table(spark, d, "nation")
-    edges = n.select(F.col("n_nationkey").alias("parent"), F.explode(F.array((F.col("n_nationkey") + 1) % 25, (F.col("n_nationkey") + 3) % 25)).alias("dep"))
-    edges.createOrReplaceTempView("view_edges")
-    n.where("n_nationkey < 5").select(F.col("n_nationkey").alias("root")).createOrReplaceTempView("view_roots")
-    return control.closure(spark, "view_edges", "view_roots", beyond="stop")
-
-
-@query("view_closure_all", """WITH RECURSIVE walk(root, dep, depth) AS (
 SELECT n_nationkey, (n_nationkey + o) % 25, 1 FROM nation, (VALUES (1), (3)) v(o)
 UNION SELECT root, (dep + o) % 25, depth + 1 FROM walk, (VALUES (1), (3)) v(o) WHERE depth < 25)
 SELECT root, dep, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY root, dep""")
-def _closure_all(spark, d):
+def _closure(spark, d):
     n = read_table(spark, d, "nation")
     edges = n.select(F.col("n_nationkey").alias("parent"), F.explode(F.array((F.col("n_nationkey") + 1) % 25, (F.col("n_nationkey") + 3) % 25)).alias("dep"))
     edges.createOrReplaceTempView("view_edges")
@@ -303,15 +297,7 @@ def _run_split(spark, d, sql: str, **cfg):
     if out.route != "hybrid":
         raise AssertionError(f"{out.route}: {out.reason} {out.detail}")
     source = lambda ref: read_table(spark, d, ref.name.lower())
-    stage = lambda df, name: df.checkpoint()
-    if spark.sparkContext.getCheckpointDir() is None:
-        place = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not place:
-            import tempfile
-
-            place = tempfile.mkdtemp(prefix="weirflow-")
-        spark.sparkContext.setCheckpointDir(place)
-    with executed(spark, out.plan, _REMOTE, source, source, stage) as df:
+    with executed(spark, out.plan, _REMOTE, source, source, staged) as df:
         return df
 
 
@@ -448,9 +434,10 @@ def _text(spark, d):
 @query("result_digest", "SELECT count(*) AS n_rows, true AS order_free, true AS sees_change, true AS sees_repeats FROM orders")
 def _digest(spark, d):
     o = read_table(spark, d, "orders").drop("o_orderdate")
-    one = digest.digest(o)
-    checks = (digest.same_results(o, o.orderBy(F.desc("o_totalprice")).repartition(3)), not digest.same_results(o, o.withColumn("o_custkey", F.col("o_custkey") + (F.col("o_orderkey") == 1).cast("long"))), not digest.same_results(o, o.unionAll(o)))
-    return one.select("n_rows", *[F.lit(c).alias(n) for c, n in zip(checks, ("order_free", "sees_change", "sees_repeats"), strict=True)])
+    other = {"dealt": o.repartition(3), "changed": o.withColumn("o_custkey", F.col("o_custkey") + (F.col("o_orderkey") == 1).cast("long")), "twice": o.unionAll(o)}
+    found = {r[0]: tuple(r)[1:] for r in digest.digests({"base": o} | other).collect()}
+    same = {name: found[name] == found["base"] for name in other}
+    return spark.createDataFrame([(found["base"][0], same["dealt"], not same["changed"], not same["twice"])], "n_rows long, order_free boolean, sees_change boolean, sees_repeats boolean")
 
 
 @query("compare_exceptall", "SELECT 'left' AS side, n_nationkey FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 'right', n_nationkey FROM nation WHERE n_nationkey > 20")
@@ -480,6 +467,7 @@ def _functions(spark, d):
 
 _HIST = """SELECT CAST(o_orderkey AS STRING) AS query_id, CASE o_orderkey % 8
 WHEN 0 THEN 'INSERT INTO analytics.public.t VALUES (' || CAST(o_custkey AS STRING) || ')' WHEN 1 THEN 'SELECT * FROM TABLE(FLATTEN(x))' WHEN 2 THEN 'SELECT 1' WHEN 3 THEN 'SELEC'
+WHEN 4 THEN 'SELECT id FROM analytics.public.t' || CAST(o_custkey % 7 AS STRING) || ' JOIN analytics.public.u' || CAST(o_orderkey % 5 AS STRING) || ' ON true WHERE id = ' || CAST(o_orderkey AS STRING)
 ELSE 'SELECT id FROM analytics.public.t' || CAST(o_custkey % 7 AS STRING) || ' WHERE id = ' || CAST(o_orderkey AS STRING) END AS query_text,
 o_orderdate AS start_time, CAST(o_orderkey % 1000 * 100 AS BIGINT) AS execution_time,
 CASE o_orderkey % 5 WHEN 0 THEN 'X-Small' WHEN 1 THEN 'small' WHEN 2 THEN '2X_Large' WHEN 3 THEN NULL ELSE 'odd' END AS warehouse_size, CAST(0 AS BIGINT) AS bytes_scanned FROM orders"""
@@ -509,7 +497,8 @@ def _audit_conservative(spark, d):
     return audit.conservative(_history(spark, d), 3).agg(F.count("*").alias("n"))
 
 
-@query("audit_top_patterns", f"{_AUDIT} SELECT table_fqn, 'SELECT id FROM ' || table_fqn || ' WHERE id = ?' AS pattern, count(*) AS freq, CAST(sum(execution_time) // count(*) AS BIGINT) AS avg_ms, round(sum(dollars), 2) AS est_dollars, CAST(row_number() OVER (ORDER BY count(*) DESC, round(sum(dollars), 2) DESC, table_fqn) AS INT) AS rank FROM c WHERE bucket = 'routable' GROUP BY table_fqn")
+@query("audit_top_patterns", f"""{_AUDIT}, p AS (SELECT table_fqn, regexp_replace(query_text, 'id = \\d+$', 'id = ?') AS pattern, count(*) AS freq, CAST(sum(execution_time) // count(*) AS BIGINT) AS avg_ms, round(sum(dollars), 2) AS est_dollars FROM c WHERE bucket = 'routable' GROUP BY 1, 2)
+SELECT *, CAST(row_number() OVER (ORDER BY freq DESC, est_dollars DESC, table_fqn, pattern) AS INT) AS rank FROM p ORDER BY rank LIMIT 10""")
 def _audit_patterns(spark, d):
     return audit.patterns(_history(spark, d))
 
@@ -547,25 +536,7 @@ def _latency(spark, d):
     return x.select((F.abs(F.col("p50") / 90 - 1) < 0.03).alias("median_close"), (F.abs(F.col("p95") / 320 - 1) < 0.05).alias("tail_close"))
 
 
-#: Agent workload: templates by kind with their weights in 200 queries.
-AGENT_MIX = {"filter": 140, "aggregate": 40, "join": 20}
-AGENT = {
-    "filter": "SELECT event_id, value FROM analytics.public.events WHERE user_id = {k} AND value > 5",
-    "aggregate": "SELECT event_type, COUNT(*) AS n FROM analytics.public.events WHERE user_id < {k} GROUP BY event_type",
-    "join": "SELECT c.c_mktsegment, COUNT(*) AS n FROM analytics.public.events e JOIN analytics.public.customer c ON e.user_id = c.c_custkey WHERE e.user_id = {k} GROUP BY c.c_mktsegment",
-}
-
-
-@query("agent_workload", "SELECT 'lake' AS route, 200 AS n")
-def _agent(spark, d):
-    rng = random.Random(7)
-    kinds = [k for k, n in AGENT_MIX.items() for _ in range(n)]
-    rng.shuffle(kinds)
-    got = [(route(AGENT[k].format(k=rng.randrange(150))).route,) for k in kinds]
-    return spark.createDataFrame(got, "route string").groupBy("route").agg(F.count("*").cast("int").alias("n"))
-
-
-#: The reference's agent workload: shape, weight within it, expected route and statement by template.
+#: Agent workload: shape, weight within it, expected route and statement by template. Fixed values.
 AGENT_SHAPES = {"small_filter": 140, "small_agg": 40, "multi_join": 20}
 _SINCE = "ts > DATEADD(day, -{days}, CURRENT_TIMESTAMP())"
 AGENT_TEMPLATES = {
@@ -587,7 +558,7 @@ AGENT_BYTES = {"all": 400 << 30, "filtered": 2 << 30}
 
 
 def agent_statements(seed: int = 7) -> list[tuple[str, str]]:
-    """(template, statement) of the 200 queries, drawn as the reference's demo.py draws them."""
+    """(template, statement) of the 200 queries: per shape a weighted draw of templates, then all shuffled."""
     rng = random.Random(seed)
     regions, kinds = ("us-east-1", "us-west-2", "eu-west-1", "ap-northeast-1"), ("click", "view", "purchase", "signup", "search")
     found = []
@@ -606,10 +577,10 @@ def agent_route(sql: str):
     return route(sql, matcher=AGENT_REMOTE, facts=Facts(bytes={t: scan for t in tables if t.name.lower() == "events"}))
 
 
-@query("agent_workload_all", """SELECT * FROM (VALUES
+@query("agent_workload", """SELECT * FROM (VALUES
 ('filter_by_user', 'lake', 'under_threshold', 47), ('filter_by_session', 'lake', 'under_threshold', 49), ('filter_by_event', 'lake', 'under_threshold', 35), ('filter_information_schema', 'warehouse', 'uses_warehouse_feature', 9),
 ('count_by_day', 'lake', 'under_threshold', 17), ('sum_value_by_user', 'lake', 'under_threshold', 15), ('agg_remote_billing', 'warehouse', 'table_missing', 8),
 ('join_user_region', 'lake', 'under_threshold', 11), ('join_session_event', 'lake', 'under_threshold', 3), ('join_full_history', 'warehouse', 'above_threshold', 6)) t(template, route, reason, n)""")
-def _agent_all(spark, d):
+def _agent(spark, d):
     got = [(name, out.route, out.reason) for name, sql in agent_statements() for out in [agent_route(sql)]]
     return spark.createDataFrame(got, "template string, route string, reason string").groupBy("template", "route", "reason").agg(F.count("*").cast("int").alias("n"))

@@ -36,5 +36,5 @@ def swap(sql: str, names: dict[TableRef, str], session: Session) -> str:
     return text(swap_names(items, rename))
 
 
-def swap_views(sql: str, views: dict[TableRef, str], session: Session | None = None) -> str:
-    return swap(sql, views, session or Session())
+def swap_views(sql: str, views: dict[TableRef, str], session: Session) -> str:
+    return swap(sql, views, session)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Settings the engine's semantics rely on.
 SETTINGS = {
@@ -25,6 +29,36 @@ def make_session(name: str = "weirflow", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """Folder that the driver and all executors share: spark.checkpoint.dir. Only a local master does without."""
+    sc = spark.sparkContext
+    place = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not place:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="weirflow-")
+        sc.setCheckpointDir(place)
+    return place
+
+
+def new_dir(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, deleted when the driver's JVM exits."""
+    path = f"{shared_dir(spark)}/weirflow/{label}-{uuid.uuid4().hex}"
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(jpath.getParent())
+    fs.deleteOnExit(jpath)
+    return path
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read back: its plan is cut, a lost executor costs only
+    its tasks, and filters and columns still reach the scan."""
+    path = new_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class TableRef:
     """database.schema.name; equality is case-sensitive."""
@@ -62,8 +96,22 @@ class Session:
         return parse_dotted(text, self.database, self.schema)
 
 
+#: Schemas of tables read before, by path, time of change and length: Spark would read a footer, in a job of its
+#: own, each time a table is named.
+_schemas: dict[tuple, StructType] = {}
+_SCHEMAS = 1000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(str(PurePosixPath(sf_dir) / f"{name}.parquet") if "://" not in sf_dir else f"{sf_dir}/{name}.parquet")
+    path = str(PurePosixPath(sf_dir) / f"{name}.parquet") if "://" not in sf_dir else f"{sf_dir}/{name}.parquet"
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    status = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(jpath)
+    key = (path, status.getModificationTime(), status.getLen())
+    if key not in _schemas:
+        if len(_schemas) >= _SCHEMAS:
+            _schemas.clear()
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def register(spark: SparkSession, sf_dir: str, *names: str) -> None:

@@ -2,21 +2,28 @@
 
 A micro-batch may hold half of an update pair, so changes carry the commit they belong to, and each
 target row the last commit that touched it: an older event that arrives late is ignored. A batch that
-runs again after a crash finds its number in the table's pointer and does nothing.
+runs again after a crash finds its number in the table's pointer and does nothing. Tables are divided by
+row id, and a batch rewrites only the parts that it touches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.cdc import ACTION, ROW_ID, latest
-from ..sources.lake import LakeTable
+from ..operators.cdc import ACTION, ROW_ID, backoff, latest
+from ..sources.lake import LakeTable, WriteConflict
 
 COMMIT = "__commit"
 GONE = "__gone"
+PART = "__part"
+#: Parts that a merged table is divided into by row id.
+PARTS = 32
 
 
 def apply_batch(base: DataFrame | None, batch: DataFrame) -> DataFrame:
@@ -35,21 +42,70 @@ def apply_batch(base: DataFrame | None, batch: DataFrame) -> DataFrame:
     return base.join(fresh.select(ROW_ID).distinct(), ROW_ID, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+def bucket(parts: int) -> Column:
+    return F.pmod(F.xxhash64(ROW_ID), F.lit(parts)).cast("int")
+
+
 def current(table: LakeTable) -> DataFrame:
     return table.read().where(~F.col(GONE)).drop(GONE, COMMIT)
 
 
-def start(spark: SparkSession, source: str, schema: T.StructType, table: LakeTable, checkpoint: str, fmt: str = "parquet", once: bool = True, interval: str = "30 seconds", files_per_batch: int = 100) -> StreamingQuery:
-    """Run what is there and stop, or keep polling."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(source)
+def merge_batch(table: LakeTable, batch: DataFrame, number: int, parts: int = PARTS) -> bool:
+    """Merge a batch into the parts of the table that its ids fall in; False if it had been merged before.
+
+    Only those parts are read and rewritten. `parts` must stay the same over a table's life.
+    """
+    if number <= table.last_batch:
+        return False
+    keyed = batch.withColumn(PART, bucket(parts))
+    touched = [r[0] for r in keyed.select(PART).distinct().collect()]  # at most `parts` numbers
+    base = table.read(touched) if table.exists() else None
+    table.write_parts(apply_batch(base, batch).withColumn(PART, bucket(parts)), PART, touched, number)
+    return True
+
+
+def compact(table: LakeTable, before: int, parts: int = PARTS) -> None:
+    """Drop tombstones of commits before the given one, which no event may still come for."""
+    state = table.state()
+    if state:
+        held = [int(p) for p in state["parts"]]
+        rows = table.read().where(~F.col(GONE) | (F.col(COMMIT) >= before))
+        table.write_parts(rows.withColumn(PART, bucket(parts)), PART, held, state["batch"])
 
-    def merge(batch: DataFrame, number: int) -> None:
-        if number <= table.last_batch:
-            return
-        base = table.read() if table.exists() else None
-        table.write(apply_batch(base, batch), number)
 
-    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+class Pace:
+    """Pauses between polls: doubled while the writer waits too long for its turn, back to the interval after."""
+
+    def __init__(self, interval: float, limit: float = 5.0, most: int = 8):
+        self.interval, self.limit, self.most, self.now = interval, limit, most, interval
+
+    def after(self, waited: float) -> float:
+        self.now = backoff(self.interval, waited, self.now, self.limit, self.most)
+        return self.now
+
+
+def poll(step: Callable[[], bool], pace: Pace, rounds: int | None = None, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> int:
+    """Run `step` until it says that nothing is left or so many rounds are over; a conflict counts as waiting
+    beyond the limit, and the step runs again. Returns the number of steps that merged something."""
+    done = n = 0
+    while rounds is None or n < rounds:
+        n += 1
+        began = clock()
+        try:
+            if not step():
+                return done
+            done += 1
+            waited = clock() - began
+        except WriteConflict:
+            waited = pace.limit + 1
+        sleep(pace.after(waited))
+    return done
+
+
+def start(spark: SparkSession, source: str, schema: T.StructType, table: LakeTable, checkpoint: str, fmt: str = "parquet", once: bool = True, interval: str = "30 seconds", files_per_batch: int = 100, parts: int = PARTS) -> StreamingQuery:
+    """Run what is there and stop, or keep polling."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(source)
+    writer = stream.writeStream.foreachBatch(lambda batch, number: merge_batch(table, batch, number, parts) and None).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 
