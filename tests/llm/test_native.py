@@ -1,6 +1,8 @@
 """Quality rules, mixing, exact dedup and licences on small cases, against plain Python."""
 
 import hashlib
+import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -50,6 +52,16 @@ def test_quality_lines(spark):
     assert only.doc_id == 1 and only.text == f"{PROSE}\nShort title" and only.n_chars == len(only.text) and only["kept"] == "k"
 
 
+def test_quality_keeps_wrapped_prose_and_drops_furniture(spark):
+    """Prose that is wrapped at a column has lines without a mark; in any language furniture goes."""
+    words = " ".join(f"word{i} and{i}" + ("." if i % 40 == 39 else "") for i in range(120))
+    wrapped = "\n".join(textwrap.wrap(words, 78))
+    assert sum("." not in x for x in wrapped.split("\n")) > 15
+    lines = ["Alle Rechte vorbehalten.", "Lea nuestra POLÍTICA DE PRIVACIDAD aquí.", "Tous droits réservés.", "Please read more."]
+    (got,) = quality.clean_documents(table(spark, [(1, "\n".join([wrapped, *lines]), "s")])).collect()
+    assert got.text == wrapped
+
+
 def test_quality_empty(spark):
     assert quality.judge(table(spark, [])).count() == 0
     assert quality.clean_documents(table(spark, [])).count() == 0
@@ -166,6 +178,18 @@ def test_licenses(spark):
     assert licenses.scan(table(spark, [])).count() == 0
 
 
+def test_licenses_of_both_cuts_and_other_tables(spark):
+    """One-line references beside a wrapped text are all found; a table of one's own has its own hint."""
+    mit = licenses.STANDARD["mit-text"][0]
+    rows = [(1, "Released under the MIT License.\nLicensed under CC BY 4.0.\n\n" + mit, "s"), (2, "Bees may be kept by anyone.\nDrones, too.", "s")]
+    got = {r.doc_id: r.rules for r in licenses.scan(table(spark, rows)).collect()}
+    assert got == {1: "cc-by-4.0-reference,mit-reference,mit-text"}
+    own = licenses.scan(table(spark, rows), sentences={"bees": "bees may be kept by anyone", "drones": "drones too"}, rules={"hive": ("BEE-1", ["bees", "drones"])}, standard={})
+    assert [(r.doc_id, r.rules, r.licenses) for r in own.collect()] == [(2, "hive", "BEE-1")]
+    known = list(licenses.table_of())
+    assert all(re.search(licenses.hint(known), s) for s in known)
+
+
 def test_licenses_standard_texts(spark):
     """Literal texts, as files carry them: wrapped, one paragraph a line, or indented."""
     texts = {k: t for k, (t, _) in licenses.STANDARD.items()}

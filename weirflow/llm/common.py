@@ -23,8 +23,10 @@ BROADCAST_ROWS = 200_000
 
 
 #: Rows that Spark sends to a Python worker at a time. Its default of 10,000 is meant for short rows:
-#: with texts of several kB, buffers on both sides would take hundreds of MB.
+#: with texts of several kB, buffers on both sides would take hundreds of MB. A second bound is in bytes, for
+#: long texts.
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 #: Session settings that the operators count on. Shuffle files go once the statement that wrote them has
@@ -37,6 +39,10 @@ def prepare_session(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, "0")
+    if not (held.isdigit() and 0 < int(held) <= BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
     if spark.conf.get(_FREE_SHUFFLES, None) != "true":
         spark.conf.set(_FREE_SHUFFLES, "true")
 

@@ -40,6 +40,12 @@ SENTENCES = {
     "cc-by-nc4-ref": "licensed under cc by nc 4 0",
     "cc-by4-ref": "licensed under cc by 4 0",
     "cc0-ref": "this work is dedicated to the public domain under cc0 1 0",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-disclaim": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "unlicense-free": "this is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
 }
 
 #: Licence rules: ordered identifiers. Fixed values.
@@ -55,6 +61,12 @@ RULES = {
     "cc-by-nc-4.0-reference": ("CC-BY-NC-4.0", ["cc-by-nc4-ref"]),
     "cc-by-4.0-reference": ("CC-BY-4.0", ["cc-by4-ref"]),
     "cc0-1.0-reference": ("CC0-1.0", ["cc0-ref"]),
+    "isc-text": ("ISC", ["isc-grant", "isc-disclaim"]),
+    "unlicense-text": ("Unlicense", ["unlicense-free", "unlicense-anyone"]),
+    "zlib-text": ("Zlib", ["zlib-as-is", "zlib-grant"]),
+    "mpl-2.0-notice": ("MPL-2.0", ["mpl2-form", "mpl2-copy"]),
+    "lgpl-2.1-notice": ("LGPL-2.1", ["lgpl-free", "lgpl-terms", "lgpl-version"]),
+    "agpl-3.0-notice": ("AGPL-3.0", ["gpl-free-software", "agpl-terms"]),
 }
 
 #: Standard texts by rule, and the identifiers of what they are cut into, in order; None: not part of the rule.
@@ -87,6 +99,29 @@ GNU General Public License for more details.
 """,
         ["gpl-free-software", "gpl-free-terms", "gpl-hope-useful", "gpl-hope-implied", None],
     ),
+    "mpl-2.0-notice": (
+        """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
+""",
+        ["mpl2-form", None, "mpl2-copy"],
+    ),
+    "lgpl-2.1-notice": (
+        """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+""",
+        ["lgpl-free", "lgpl-terms", "lgpl-version"],
+    ),
+    "agpl-3.0-notice": (
+        """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as
+published by the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version.
+""",
+        ["gpl-free-software", "agpl-terms"],
+    ),
     "mit-text": (
         """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
@@ -130,10 +165,9 @@ modification, are permitted provided that the following conditions are met:
 #: A sentence ends at a line break or at a mark followed by white space; licence texts are often
 #: wrapped, so a single line break inside a sentence is handled by looking at both cuts.
 LINE = "\n"
-PARAGRAPH = r"\n\s*\n"
-STOP = r"[.!?;:]+\s+"
-#: Words that each known sentence has one of: a cheap test before a text is cut up.
-HINT = r"(?i)licen[sc]e|permission|redistribut|warrant|public domain|copyright holder"
+PARAGRAPH = r"\n[\x20\x09-\x0D]*\n"
+STOP = r"[.!?;:]+[\x20\x09-\x0D]+"
+CUT = PARAGRAPH + "|" + STOP
 
 
 def _normal(x: Column) -> Column:
@@ -144,34 +178,61 @@ def spellings(standard: dict = STANDARD) -> dict[str, str]:
     """Identifiers by the sentences of the standard texts, cut and normalised as `scan` does."""
     found = {}
     for text, ids in standard.values():
-        cut = [re.sub(r"[^a-z0-9]+", " ", x.lower()).strip(" ") for x in re.split(PARAGRAPH + "|" + STOP, text)]
+        cut = [re.sub(r"[^a-z0-9]+", " ", x.lower()).strip(" ") for x in re.split(CUT, text)]
         found |= {x: k for x, k in zip(filter(None, cut), ids, strict=True) if k}
     return found
 
 
+def table_of(sentences: dict = SENTENCES, standard: dict = STANDARD) -> dict[str, str]:
+    """Identifiers by normalised sentence."""
+    return {v: k for k, v in sentences.items()} | spellings(standard)
+
+
+def hint(known: list[str]) -> str:
+    """Words one of which each known sentence has: a text without them, in lower case, has no known sentence."""
+    left, words = [set(s.split()) for s in known], []
+    while left:
+        count: dict[str, int] = {}
+        for s in left:
+            for w in s:
+                count[w] = count.get(w, 0) + 1
+        # rare words tell more: of those that many sentences share, the longest
+        best = max(count, key=lambda w: (min(count[w], 4), len(w), w))
+        words.append(best)
+        left = [s for s in left if best not in s]
+    return "|".join(sorted(words))
+
+
+def patterns(rules: dict = RULES, standard: dict = STANDARD) -> dict[str, str]:
+    """By rule, the expression that its sequence, or its standard text's, matches among identifiers between bars."""
+    found = {}
+    for name, (_, ids) in rules.items():
+        forms = {"".join(f"|{i}|" for i in form if i) for form in (ids, standard.get(name, ("", ids))[1])}
+        found[name] = "|".join(re.escape(x) for x in sorted(forms, key=len, reverse=True))
+    return found
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: dict = SENTENCES, rules: dict = RULES, standard: dict = STANDARD) -> DataFrame:
     """(doc_id, sentence_ids, rules, licenses, n_matches) for documents in which a rule is found."""
-    names = {v: k for k, v in sentences.items()} | spellings(standard)
+    names = table_of(sentences, standard)
     known = list(names)
-    d = docs.filter(F.col(text).rlike(HINT)).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
+    d = docs.filter(F.lower(F.col(text)).rlike(hint(known))).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
 
     # one line break is a blank within wrapped text; what is no known sentence so is looked up line by line, in its place
     def places(x: Column) -> Column:
         lines = F.filter(F.transform(F.split(x, LINE), _normal), lambda s: s.isin(known))
         return F.when(_normal(x).isin(known), F.array(_normal(x))).when(x.contains(LINE), lines).otherwise(F.array().cast("array<string>"))
 
-    d = d.select("doc_id", F.flatten(F.transform(F.split("t", PARAGRAPH + "|" + STOP), places)).alias("found")).filter(F.size("found") > 0)
+    d = d.select("doc_id", F.flatten(F.transform(F.split("t", CUT), places)).alias("found")).filter(F.size("found") > 0)
     to_id = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     d = d.select("doc_id", F.transform("found", lambda s: to_id[s]).alias("sentence_ids"))
     # identifiers between bars: a rule matches where its own sequence, or its standard text's, stands in the document's
     seq = F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|"))
     d = d.withColumn("seq", seq)
     hits = []
-    for name, (licence, ids) in rules.items():
-        forms = {"".join(f"|{i}|" for i in form if i) for form in (ids, standard.get(name, ("", ids))[1])}
-        pattern = "|".join(re.escape(x) for x in sorted(forms, key=len, reverse=True))
+    for name, pattern in patterns(rules, standard).items():
         n = F.regexp_count("seq", F.lit(pattern)).cast("long")
-        hits.append(F.struct(F.lit(name).alias("rule"), F.lit(licence).alias("license"), n.alias("n")))
+        hits.append(F.struct(F.lit(name).alias("rule"), F.lit(rules[name][0]).alias("license"), n.alias("n")))
     d = d.withColumn("hits", F.filter(F.array(*hits), lambda h: h.n > 0)).filter(F.size("hits") > 0)
     return d.select(
         "doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"),

@@ -31,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare_session
+from .common import prepare_session, tidy
 
 N_BEST = 3
 SPACE = "▁"
 #: How far below the worst piece a character without a piece is scored.
 UNKNOWN_PENALTY = 10.0
-CACHE_SEGMENTS = 400_000
-CHUNK_CHARS = 2_000_000
+CACHE_SEGMENTS = 200_000
+CHUNK_CHARS = 1_500_000
 LONG = 64
 _MUL = np.uint64(0x100000001B3)
 
@@ -324,8 +324,9 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
 
         def done(keys: list, texts: list[str]) -> pa.RecordBatch:
             cols: list[list] = [[] for _ in schema]
-            for i, t, (best, score, nexts, swaps), own in zip(keys, texts, enc.encode(texts), library.encode(texts, num_threads=1), strict=True):
-                row = [i, len(best), crc(best), score, len(nexts), [x for x, _ in nexts], enc.model.decode(best.tolist()) == t, [crc(spelled(best, s)) for s in swaps[1:]], len(own), crc(np.array(own, np.int64))]
+            for i, t, (best, score, nexts, swaps) in zip(keys, texts, enc.encode(texts), strict=True):
+                own = library.encode(t)
+                row = [i, len(best), crc(best), score, len(nexts), [x for x, _ in nexts], enc.model.decode(best.tolist()) == t, [crc(spelled(best, s)) for s in swaps[1:]], len(own), crc(np.array(own, np.uint32))]
                 if with_ids:
                     row += [best.astype(np.int32), [{"loss": x, "swaps": [dict(zip(("start", "stop", "ids"), y, strict=True)) for y in s]} for (x, _), s in zip(nexts[1:], swaps[1:], strict=True)]]
                 for c, v in zip(cols, row, strict=True):
@@ -341,8 +342,11 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
                 if size > CHUNK_CHARS:
                     yield done(keys, texts)
                     keys, texts, size = [], [], 0
+                    tidy()
         if keys:
             yield done(keys, texts)
+        enc.reset()
+        tidy()
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _COLUMNS + _IDS * with_ids)
 

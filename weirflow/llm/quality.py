@@ -3,9 +3,10 @@
 Rules per line (lines without a word neither fail nor count):
 
 * punctuation: a tenth or more of its characters are marks of `#*$%&|<>!`, or a line of 60 or more
-  characters has no sentence mark `.!?:;…` at all;
+  characters has no sentence mark `.!?:;…` at all, unless the next line goes on in lower case, as in
+  prose that is wrapped;
 * navigation: three or more menu separators `|»›>`, at least one in 40 characters;
-* boilerplate: a line of up to 300 characters that holds a page-furniture phrase.
+* boilerplate: a line of up to 300 characters that holds a page-furniture phrase, of four languages.
 
 A document is kept if its base counts pass (50 words, at most half of them in repeated three-word
 windows) and the surviving lines hold at least half of the characters of its lines.
@@ -26,13 +27,17 @@ SYMBOLS = r"[#*$%&|<>]"
 MARKS = r"[#*$%&|<>!]"
 ENDS = r"[.!?:;…]"
 MENU = r"[|»›>]"
+GOES_ON = r"^[\x20\x09-\x0D]*\p{Ll}"
 WORD = r"[^\x20\x09-\x0D]"
-#: Phrases of page furniture, matched without regard to case.
+#: Phrases of page furniture as patterns, matched without regard to case.
 PHRASES = (
     "accept cookies", "all rights reserved", "back to top", "click here", "cookie policy",
     "enable javascript", "forgot your password", "lorem ipsum", "privacy policy", "read more",
     "share on facebook", "share on twitter", "sign up for our newsletter", "skip to content",
     "subscribe to our newsletter", "terms of service", "terms of use", "we use cookies",
+    "alle rechte vorbehalten", "cookies akzeptieren", "datenschutzerkl[äÄ]rung", "newsletter abonnieren", "passwort vergessen", "zum inhalt springen",
+    "aceptar cookies", "ir al contenido", "pol[íÍ]tica de cookies", "pol[íÍ]tica de privacidad", "suscr[íÍ]bete", "todos los derechos reservados",
+    "accepter les cookies", "aller au contenu", "conditions d.utilisation", "mot de passe oubli[éÉ]", "politique de confidentialit[éÉ]", "tous droits r[éÉ]serv[éÉ]s",
 )
 FURNITURE = "(?i)" + "|".join(PHRASES)
 MIN_WORDS = 50
@@ -40,9 +45,9 @@ REPEAT_PCT = 50
 KEEP_PCT = 50
 
 
-def _punctuation(x: Column) -> Column:
+def _punctuation(x: Column, after: Column) -> Column:
     n = F.length(x)
-    return (F.regexp_count(x, F.lit(MARKS)) * 10 >= n) | ((n >= 60) & ~x.rlike(ENDS))
+    return (F.regexp_count(x, F.lit(MARKS)) * 10 >= n) | ((n >= 60) & ~x.rlike(ENDS) & ~F.coalesce(after.rlike(GOES_ON), F.lit(False)))
 
 
 def _navigation(x: Column) -> Column:
@@ -54,8 +59,8 @@ def _boilerplate(x: Column) -> Column:
     return (F.length(x) <= 300) & x.rlike(FURNITURE)
 
 
-def _fails(x: Column) -> Column:
-    return _punctuation(x) | _navigation(x) | _boilerplate(x)
+def _fails(x: Column, after: Column) -> Column:
+    return _punctuation(x, after) | _navigation(x) | _boilerplate(x)
 
 
 def judge(docs: DataFrame, text: str = "text", keep_pct: int = KEEP_PCT) -> DataFrame:
@@ -78,7 +83,7 @@ def judge(docs: DataFrame, text: str = "text", keep_pct: int = KEEP_PCT) -> Data
         "*",
         # positions of windows equal to a neighbour in hash order
         F.expr("transform(filter(s, (x, i) -> x.h = get(s, i - 1).h OR x.h = get(s, i + 1).h), x -> x.p)").alias("p"),
-        F.filter("lines", lambda x: ~_fails(x)).alias("good"),
+        F.filter("lines", lambda x, i: ~_fails(x, F.get("lines", i + 1))).alias("good"),
         F.aggregate("lines", F.lit(0), lambda a, x: a + F.length(x)).alias("line_chars"),
     )
     # each repeated window covers three words, fewer where the next one starts sooner

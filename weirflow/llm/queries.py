@@ -92,14 +92,15 @@ w AS (SELECT doc_id, t, regexp_extract_all(t, '{_GAPLESS}+') AS ws, string_split
 pos AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) > 2),
 tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM pos),
 rep AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM tri, (VALUES (0), (1), (2)) AS v(o) WHERE n > 1 GROUP BY doc_id),
-lines AS (SELECT doc_id, unnest(ls) AS x FROM w),
+lines AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM w),
+worded AS (SELECT doc_id, x, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM lines WHERE regexp_matches(x, '{_GAPLESS}')),
 judged AS (
   SELECT doc_id, x,
     (len(regexp_extract_all(x, '{quality.MARKS}')) * 10 >= length(x))
-    OR (length(x) >= 60 AND NOT regexp_matches(x, '{quality.ENDS}'))
+    OR (length(x) >= 60 AND NOT regexp_matches(x, '{quality.ENDS}') AND NOT coalesce(regexp_matches(y, '{quality.GOES_ON}'), false))
     OR (len(regexp_extract_all(x, '{quality.MENU}')) >= 3 AND len(regexp_extract_all(x, '{quality.MENU}')) * 40 >= length(x))
     OR (length(x) <= 300 AND regexp_matches(x, '{quality.FURNITURE}')) AS fails
-  FROM lines WHERE regexp_matches(x, '{_GAPLESS}')),
+  FROM worded),
 l AS (
   SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines, count(*) FILTER (fails) AS n_failed_lines,
     sum(length(x)) AS line_chars, coalesce(sum(length(x)) FILTER (NOT fails), 0) AS clean_chars
@@ -156,22 +157,22 @@ FROM documents
 
 def _op7_sql() -> str:
     q = lambda s: s.replace("'", "''")
-    sentences = ", ".join(f"('{k}', '{q(v)}')" for k, v in licenses.SENTENCES.items())
-    rules = ", ".join(f"('{k}', '{lic}', '{''.join(f'|{i}|' for i in ids)}')" for k, (lic, ids) in licenses.RULES.items())
-    cut = r"regexp_split_to_array(text, '{}|[.!?;:]+[\x20\x09-\x0D]+')"
+    known = ", ".join(f"('{q(s)}', '{k}')" for s, k in licenses.table_of().items())
+    rules = ", ".join(f"('{k}', '{licenses.RULES[k][0]}', '{q(p)}')" for k, p in licenses.patterns().items())
+    norm = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
     return rf"""
-WITH known(id, s) AS (VALUES {sentences}), rules(rule, license, pattern) AS (VALUES {rules}),
-d AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '{licenses.HINT}')),
-cuts AS (SELECT doc_id, 1 AS way, {cut.format(chr(92) + 'n')} AS c FROM d
-  UNION ALL SELECT doc_id, 2, {cut.format(chr(92) + 'n[\x20\x09-\x0D]*' + chr(92) + 'n')} FROM d),
-one AS (SELECT doc_id, way, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM cuts),
-ids AS (SELECT doc_id, way, list(id ORDER BY i) AS l FROM one JOIN known ON trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')) = s GROUP BY doc_id, way),
-best AS (SELECT doc_id, arg_max(l, (len(l), -way)) AS l FROM ids GROUP BY doc_id),
-seqs AS (SELECT doc_id, array_to_string(l, ',') AS sentence_ids, '|' || array_to_string(l, '||') || '|' AS seq FROM best),
-hits AS (SELECT doc_id, sentence_ids, rule, license, (length(seq) - length(replace(seq, pattern, ''))) // length(pattern) AS n FROM seqs, rules)
-SELECT doc_id, any_value(sentence_ids) AS sentence_ids, string_agg(rule, ',' ORDER BY rule) AS rules,
+WITH known(s, id) AS (VALUES {known}), rules(rule, license, pattern) AS (VALUES {rules}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(text, '{licenses.CUT}') AS c FROM documents WHERE regexp_matches(lower(text), '{licenses.hint(list(licenses.table_of()))}')),
+one AS (SELECT r, doc_id, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM d),
+whole AS (SELECT one.*, id FROM one LEFT JOIN known ON {norm("x")} = s),
+cut AS (SELECT r, doc_id, i, string_split(x, chr(10)) AS l FROM whole WHERE id IS NULL AND contains(x, chr(10))),
+lines AS (SELECT r, doc_id, i, unnest(l) AS y, generate_subscripts(l, 1) AS j FROM cut),
+ids AS (SELECT r, doc_id, i, 0 AS j, id FROM whole WHERE id IS NOT NULL UNION ALL SELECT r, doc_id, i, j, known.id FROM lines JOIN known ON {norm("y")} = s),
+seqs AS (SELECT r, any_value(doc_id) AS doc_id, list(id ORDER BY i, j) AS l FROM ids GROUP BY r),
+hits AS (SELECT r, doc_id, array_to_string(l, ',') AS sentence_ids, rule, license, len(regexp_extract_all('|' || array_to_string(l, '||') || '|', pattern)) AS n FROM seqs, rules)
+SELECT any_value(doc_id) AS doc_id, any_value(sentence_ids) AS sentence_ids, string_agg(rule, ',' ORDER BY rule) AS rules,
   array_to_string(list_sort(list(DISTINCT license)), ',') AS licenses, CAST(sum(n) AS BIGINT) AS n_matches
-FROM hits WHERE n > 0 GROUP BY doc_id
+FROM hits WHERE n > 0 GROUP BY r
 """
 
 
