@@ -40,8 +40,8 @@ def prepare_session(spark: SparkSession) -> None:
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(key, "0")
-    if not (held.isdigit() and 0 < int(held) <= BATCH_BYTES):
+    held = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if not (held and int(held[1]) <= BATCH_BYTES):
         spark.conf.set(key, str(BATCH_BYTES))
     if spark.conf.get(_FREE_SHUFFLES, None) != "true":
         spark.conf.set(_FREE_SHUFFLES, "true")
