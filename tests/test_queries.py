@@ -40,9 +40,9 @@ def test_query(spark, duck, name):
     assert got == canonical(rel.fetchall(), rel.columns)
 
 
-@pytest.mark.parametrize("name", ["datediff_boundaries_all", "flatten_all"])
+@pytest.mark.parametrize("name", ["datediff_boundaries", "flatten"])
 def test_all_events(spark, name):
-    """On tables with more events than the id ranges of the shorter queries, every event is in the result."""
+    """Every event is in the result."""
     d = SF.replace("0.001", "0.01")
     con = duckdb.connect()
     con.sql("SET TimeZone = 'UTC'")
@@ -55,7 +55,7 @@ def test_all_events(spark, name):
 
 
 def test_agent_templates():
-    """All ten templates of the reference in its mix, each routed as it expects; not all go to the lake."""
+    """All ten templates in their mix, each routed as expected; not all go to the lake."""
     from weirflow.plans import engine_queries as e
 
     got = e.agent_statements()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Headers that a history file must have. Fixed values.
 COLUMNS = ("QUERY_ID", "QUERY_TEXT", "START_TIME", "EXECUTION_TIME", "WAREHOUSE_SIZE", "BYTES_SCANNED")
 
 
