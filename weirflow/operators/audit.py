@@ -53,6 +53,10 @@ def _classify(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(a.bucket, a.reason, [x.fqn for x in a.tables], a.redacted) for a in found], columns=["bucket", "reason", "tables", "redacted"])
 
 
+# Else a filter on its result would be carried over the join by shape, to every row of the history.
+_classify = _classify.asNondeterministic()
+
+
 def classified(history: DataFrame, price: float = PRICE) -> DataFrame:
     """History with bucket, reason, tables, redacted text and dollars.
 
