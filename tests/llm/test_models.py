@@ -196,7 +196,7 @@ def test_text_n_best(model):
 def test_encode_table(spark):
     texts = [None, "", " ", "  two  blanks ", "line\nbreak\ttab", "été 日本 😀́", "▁", "w" * 300, "word " * 20_000]
     rows = list(enumerate(texts)) + [(3, texts[3]), (None, "null id")]
-    got = pieces.encode(table(spark, rows), PATH, with_ids=True)
+    got = pieces.encode(table(spark, rows), PATH, with_ids=True, with_model=True)
     out = got.collect()
     assert len(out) == len(rows)
     for r in out:

@@ -37,7 +37,7 @@ N_BEST = 3
 SPACE = "▁"
 #: How far below the worst piece a character without a piece is scored.
 UNKNOWN_PENALTY = 10.0
-CACHE_SEGMENTS = 200_000
+CACHE_SEGMENTS = 300_000
 CHUNK_CHARS = 1_500_000
 LONG = 64
 _MUL = np.uint64(0x100000001B3)
@@ -286,7 +286,8 @@ class Encoder:
 
 _SWAP = pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("ids", pa.list_(pa.int32()))])
 _NEXT = pa.struct([("loss", pa.float64()), ("swaps", pa.list_(_SWAP))])
-_COLUMNS = "doc_id long, n_pieces long, ids_crc32 long, best_score double, n_found int, losses array<double>, round_trip boolean, next_crc32 array<long>, model_pieces long, model_crc32 long"
+_COLUMNS = "doc_id long, n_pieces long, ids_crc32 long, best_score double, n_found int, losses array<double>, round_trip boolean, next_crc32 array<long>"
+_MODEL = ", model_pieces long, model_crc32 long"
 _IDS = ", ids array<int>, next_best array<struct<loss: double, swaps: array<struct<start: int, stop: int, ids: array<int>>>>>"
 
 
@@ -299,34 +300,38 @@ def spelled(ids: np.ndarray, swaps: list[tuple[int, int, list[int]]]) -> np.ndar
     return np.concatenate([*parts, ids[at:]])
 
 
-def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", n_best: int = N_BEST, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_pieces, ids_crc32, best_score, n_found, losses, round_trip, next_crc32, model_pieces,
-    model_crc32[, ids, next_best]), one row per document.
+def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text", n_best: int = N_BEST, with_ids: bool = False, with_model: bool = False) -> DataFrame:
+    """(doc_id, n_pieces, ids_crc32, best_score, n_found, losses, round_trip, next_crc32[, model_pieces,
+    model_crc32][, ids, next_best]), one row per document.
 
     The n best segmentations are those of the piece lattice under the model's piece scores. `losses`: what
     each scores below the best, in order; `next_crc32`: the digests of the ids of all but the best;
     `next_best`: how they differ from `ids`, to be spelled out by `segmentations`; `round_trip`: whether
     decoding the best ids gives the text back. A BPE model's own encoding follows its merges instead and is
-    another path of the same lattice: `model_pieces` and `model_crc32` tell it, as the library gives it.
+    another path of the same lattice: with_model adds its length and digest, as the library gives it.
     """
     prepare_session(docs.sparkSession)
     fields = [
         ("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("best_score", pa.float64()), ("n_found", pa.int32()), ("losses", pa.list_(pa.float64())), ("round_trip", pa.bool_()),
-        ("next_crc32", pa.list_(pa.int64())), ("model_pieces", pa.int64()), ("model_crc32", pa.int64()),
+        ("next_crc32", pa.list_(pa.int64())),
     ]
-    schema = pa.schema(fields + [("ids", pa.list_(pa.int32())), ("next_best", pa.list_(_NEXT))] * with_ids)
+    schema = pa.schema(fields + [("model_pieces", pa.int64()), ("model_crc32", pa.int64())] * with_model + [("ids", pa.list_(pa.int32())), ("next_best", pa.list_(_NEXT))] * with_ids)
 
     def run(batches):
-        import sentencepiece
+        enc, library = Encoder(model, n_best), None
+        if with_model:
+            import sentencepiece
 
-        enc, library = Encoder(model, n_best), sentencepiece.SentencePieceProcessor(model_file=model)
+            library = sentencepiece.SentencePieceProcessor(model_file=model)
         crc = lambda ids: zlib.crc32(ids.astype("<u4"))
 
         def done(keys: list, texts: list[str]) -> pa.RecordBatch:
             cols: list[list] = [[] for _ in schema]
             for i, t, (best, score, nexts, swaps) in zip(keys, texts, enc.encode(texts), strict=True):
-                own = library.encode(t)
-                row = [i, len(best), crc(best), score, len(nexts), [x for x, _ in nexts], enc.model.decode(best.tolist()) == t, [crc(spelled(best, s)) for s in swaps[1:]], len(own), crc(np.array(own, np.uint32))]
+                row = [i, len(best), crc(best), score, len(nexts), [x for x, _ in nexts], enc.model.decode(best.tolist()) == t, [crc(spelled(best, s)) for s in swaps[1:]]]
+                if with_model:
+                    own = np.array(library.encode(t), np.uint32)
+                    row += [len(own), crc(own)]
                 if with_ids:
                     row += [best.astype(np.int32), [{"loss": x, "swaps": [dict(zip(("start", "stop", "ids"), y, strict=True)) for y in s]} for (x, _), s in zip(nexts[1:], swaps[1:], strict=True)]]
                 for c, v in zip(cols, row, strict=True):
@@ -342,13 +347,12 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
                 if size > CHUNK_CHARS:
                     yield done(keys, texts)
                     keys, texts, size = [], [], 0
-                    tidy()
         if keys:
             yield done(keys, texts)
         enc.reset()
         tidy()
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _COLUMNS + _IDS * with_ids)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _COLUMNS + _MODEL * with_model + _IDS * with_ids)
 
 
 def segmentations(encoded: DataFrame, doc_id: str = "doc_id") -> DataFrame:
