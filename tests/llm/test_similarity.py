@@ -90,6 +90,30 @@ def test_links_with_frequent_shingles(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 4, 85)
 
 
+@pytest.mark.parametrize("bits", [1 << 30, 16])
+def test_links_move_sets_to_groups_only(spark, bits, monkeypatch):
+    """Sets reach their table without a shuffle while the filters hold the classes (16: they don't), and each
+    round's groups and the matrix's with one exchange for the sets; links stay whole either way."""
+    from weirflow.llm import common
+
+    plans = {}
+
+    def seen(df, label, *more, real=jaccard_join.staged):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().sparkPlan().toString())
+        return real(df, label, *more)
+
+    monkeypatch.setattr(jaccard_join, "staged", seen)
+    monkeypatch.setattr(jaccard_join, "GROUP", 500)
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    rows = list(enumerate(corpus(random.Random(4))))
+    rows += [(None, rows[0][1]), (len(rows), rows[0][1])]
+    got = jaccard_join.link_documents(table(spark, rows), words=4, percent=85).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 4, 85)
+    assert ("Join" in plans["sets"][0]) == (bits == 16)
+    for plan in plans["links"]:
+        assert "SortMergeJoin" not in plan or "MapInArrow" in plan  # the matrix joins sets with where they go, once
+
+
 def test_most_frequent_fits_or_is_left_out(spark):
     """Many ties at the top level never exceed the room."""
     counts = spark.createDataFrame([(i, 1 << 20) for i in range(50)] + [(100 + i, 40) for i in range(5)] + [(200, 3)], "h long, n long")

@@ -42,10 +42,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_marked, id_filter, join_groups, passes, passing, staged, unstage
+from .common import drop_marked, filter_room, id_filter, join_groups, passes, passing, small, staged, unstage
 from .components import components
 from .wordtable import CHUNK_BYTES, words_of_texts
 
@@ -109,6 +109,11 @@ def digest(s: np.ndarray) -> int:
         return int(_mix(np.array([_mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def keys_of(s: np.ndarray) -> list[int]:
+    """For each round the least shingle of a set under its seeded hash."""
+    return [int(np.min(_mix(s ^ np.uint64(r))).view(np.int64)) if len(s) else 0 for r in range(1, ROUNDS + 1)]
+
+
 def needed(n, percent: int):
     """Least overlap with any set that a set of size n can be linked to: ceil(t n)."""
     return -(-n * percent // 100)
@@ -122,7 +127,7 @@ def nodes_of(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(rid, doc_id, text_hash, n, cls, keys, low) of (rid, doc_id, text_hash, binary text).
 
     low: the counted shingles, by hash, and no fewer than a prefix may need; null for a class that the
-    task has met before. keys: for each round the least shingle under its seeded hash.
+    task has met before.
     """
     limit = counted_limit()
 
@@ -138,7 +143,7 @@ def nodes_of(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     met.add(names[-1])
                 size = max(int(np.searchsorted(s, limit)), len(s) - needed(len(s), percent) + 1)
                 low.append(s[:size].tobytes() if new else None)
-                keys.append([int(np.min(_mix(s ^ np.uint64(r))).view(np.int64)) if len(s) else 0 for r in range(1, ROUNDS + 1)])
+                keys.append(keys_of(s))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())],
                 names=["rid", "doc_id", "text_hash", "n", "cls", "keys", "low"],
@@ -237,20 +242,44 @@ def in_several(lists: DataFrame, label: str) -> DataFrame:
     return lists.join(several, "h", "left_semi")
 
 
+def _pairs(ids: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    return _mix(ids.view(np.uint64) ^ _mix(cls.view(np.uint64))).view(np.int64)
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, names: DataFrame, words: int) -> DataFrame:
-    """(cls, n, shingles) of the classes in `names` (cls), from the document with the least id of each.
-    A fixed-size filter of ids decides which texts are read; the join drops the others it lets through.
-    Rows that share the id come more than once."""
+    """(cls, keys, shingles) of the classes in `names` (cls), from the document with the least id of each.
+
+    A fixed-size filter of ids decides which texts are read, and one of ids and classes which of their sets
+    are kept, so that no set moves. What both let through by chance are true sets: of a class that links with
+    nothing, or once more of one that is there, once for a task at most. A join drops unwanted classes where
+    there are more than the filters hold.
+    """
     first = staged(nodes.groupBy("cls").agg(F.min("doc_id").alias("first_id")).join(names, "cls"), "first")
-    wanted = passing(id_filter(first.select(F.xxhash64("first_id")), first.count()))
+    rows = first.count()
+    wanted = passing(id_filter(first.select(F.xxhash64("first_id")), rows))
+
+    def pairs(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_pairs(b.column(0).to_numpy(), b.column(1).to_numpy()))], names=["h"])
+
+    right = id_filter(first.select(F.coalesce("first_id", F.lit(0)).alias("id"), "cls").mapInArrow(pairs, "h long"), rows)
 
     def run(batches):
+        met: set[int] = set()  # bounded; repeated sets cost time only
         for b, start, sets in _rows(batches, words, 1):
-            ids = b.column(0).slice(start, len(sets))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "cls", "n", "shingles"])
-
-    found = docs.filter(wanted(F.xxhash64("doc_id"))).select("doc_id", "text").mapInArrow(run, "doc_id long, cls long, n long, shingles binary")
-    out = staged(found.join(first, "cls").filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "n", "shingles"), "sets")
+            cls = np.array([digest(s) for s in sets], np.int64)
+            kept = []
+            for k in np.flatnonzero(passes(right.value, _pairs(b.column(0).slice(start, len(sets)).to_numpy(), cls))).tolist():
+                if int(cls[k]) not in met:
+                    kept.append(k)
+                    if len(met) < 1_000_000:
+                        met.add(int(cls[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[kept]), pa.array([keys_of(sets[k]) for k in kept], pa.list_(pa.int64())), pa.array([sets[k].tobytes() for k in kept], pa.binary())], names=["cls", "keys", "shingles"])
+
+    found = docs.filter(wanted(F.xxhash64("doc_id"))).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text").mapInArrow(run, "cls long, keys array<long>, shingles binary")
+    if rows > filter_room():
+        found = found.join(first, "cls", "left_semi")
+    out = staged(found, "sets")
     unstage(first)
     return out
 
@@ -295,29 +324,43 @@ def cluster_group(part: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": group.cls[moved], "b": group.cls[label[moved]]})
 
 
-def group_links(sets: DataFrame, names: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that make the clusters within each group of `names` (cls, grp)."""
+def group_links(sets: DataFrame, names: DataFrame, large: DataFrame, lead: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Links (a, b) that make the clusters within each group of a turn, from what `groups_of` gave.
+
+    Sets move once, to their groups. A filter of classes and groups tells those that are in a group with
+    others; what it lets through by chance adds true links or none.
+    """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return cluster_group(part, percent)
 
     several = names.groupBy("grp").agg(F.count("*").alias("size")).filter("size > 1").select("grp")
-    return sets.join(names.join(several, "grp", "left_semi"), "cls").select("cls", "grp", "shingles").groupBy("grp").applyInPandas(run, "a long, b long")
+    wanted = staged(names.join(several, "grp", "left_semi").select(F.xxhash64("cls", "grp").alias("h")), "wanted")
+    member = passing(id_filter(wanted, wanted.count()))
+    unstage(wanted)
+    keyed = sets.select("cls", "shingles", F.col("keys")[turn].alias("key")).join(small(large, large.count()), "key", "left")
+    own = keyed.select("cls", _grp(F.col("key"), _part(turn, F.coalesce("parts", F.lit(1).cast("long")))).alias("grp"), "shingles")
+    more = sets.join(small(lead, lead.count()), "cls").select("cls", "grp", "shingles")
+    return own.unionByName(more).filter(member(F.xxhash64("cls", "grp"))).groupBy("grp").applyInPandas(run, "a long, b long")
 
 
-def open_groups(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between query classes and members of groups, from pairs (cls, grp).
+def open_groups(pairs: DataFrame, grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between query classes and members of groups, from pairs (cls, grp) and members (cls, grp).
 
     A group's sets are sent once for each 4,096 of its queries, so that a group with many queries is dealt
-    over many tasks; a task holds one group at a time.
+    over many tasks; a task holds one group at a time. Where sets go is settled before they move.
     """
     slices = F.pmod(F.xxhash64("cls"), F.greatest(F.lit(1), F.ceil(F.col("queries") / 4096)))
     counts = staged(pairs.groupBy("grp").agg(F.count("*").alias("queries")), "queries")
-    asked = pairs.join(counts, "grp").withColumn("slice", slices)
-    asked = asked.join(sets.select("cls", "shingles"), "cls").select("grp", "slice", F.lit(1).alias("kind"), "cls", "shingles")
+    asked = pairs.join(counts, "grp").select("cls", "grp", slices.alias("slice"), F.lit(1).alias("kind"))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(1), F.ceil(F.col("queries") / 4096)).cast("long") - 1))
-    members = sets.join(counts.select("grp", each.alias("slice")), "grp").select("grp", "slice", F.lit(0).alias("kind"), "cls", "shingles")
-    both = members.unionByName(asked).repartition("grp", "slice").sortWithinPartitions("grp", "slice", "kind", "cls")
+    members = grouped.join(counts.select("grp", each.alias("slice")), "grp").select("cls", "grp", "slice", F.lit(0).alias("kind"))
+    ways = staged(members.unionByName(asked), "ways")
+    goes = staged(ways.select("cls").distinct(), "goes")
+    wanted = passing(id_filter(goes, goes.count()))
+    unstage(goes, counts)
+    both = sets.filter(wanted("cls")).join(ways, "cls").select("grp", "slice", "kind", "cls", "shingles")
+    both = both.repartition("grp", "slice").sortWithinPartitions("grp", "slice", "kind", "cls")
 
     def run(batches):
         at, members, group = None, [], None
@@ -348,24 +391,35 @@ def scored(lists: DataFrame) -> DataFrame:
     return lists.join(sizes, "h").groupBy("cls").agg(F.sum("rows").alias("score"), F.max(F.struct("rows", "h"))["h"].alias("top"))
 
 
-def groups_of(active: DataFrame, lists: DataFrame, turn: int) -> DataFrame:
-    """(cls, grp): classes with equal keys of a turn, with about GROUP shingles to a group.
+def _part(turn: int, parts: Column) -> Column:
+    return F.pmod(F.xxhash64("cls", F.lit(turn)), parts)
+
+
+def _grp(key: Column, part: Column) -> Column:
+    return F.xxhash64(key, part)
+
+
+def groups_of(active: DataFrame, lists: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members (cls, grp), large (key, parts), lead (cls, grp)): classes with equal keys of a turn, with about
+    GROUP shingles to a group; the keys with several groups, and the leaders that are in each of them.
 
-    Where a key has several groups, its LEADERS classes with the greatest scores are members of each:
-    near copies of one text are often linked to that text only, and it scores highest among them.
+    The LEADERS classes with the greatest scores of a large key are members of all its groups: near copies of
+    one text are often linked to that text only, and it scores highest among them. Large keys number no more
+    than the corpus has times GROUP shingles.
     """
     keyed = active.select("cls", "n", F.col("keys")[turn].alias("key"))
     sizes = staged(keyed.groupBy("key").agg(F.ceil(F.sum("n") / GROUP).alias("parts")), "parts")
-    part = F.pmod(F.xxhash64("cls", F.lit(turn)), F.col("parts"))
-    members = keyed.join(sizes, "key").select("cls", F.xxhash64("key", part).alias("grp"))
-    several = sizes.filter("parts > 1")
-    if several.isEmpty():
-        return members
-    wide = staged(keyed.join(several, "key").select("cls", "key", "parts"), "wide")
+    members = keyed.join(sizes, "key").select("cls", _grp(F.col("key"), _part(turn, F.col("parts"))).alias("grp"))
+    large = staged(sizes.filter("parts > 1"), "large")
+    if large.isEmpty():
+        return members, large, members.limit(0)
+    wide = staged(keyed.join(large, "key").select("cls", "key", "parts"), "wide")
     scores = scored(lists.join(wide.select("cls"), "cls", "left_semi")).drop("top")
     lead = wide.join(scores, "cls").groupBy("key", "parts", F.pmod(F.xxhash64("cls", F.lit(-1)), F.lit(LEADERS)).alias("nth"))
-    lead = lead.agg(F.max(F.struct("score", "cls")).alias("best")).select("key", F.col("best.cls").alias("cls"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    return members.unionByName(lead.select("cls", F.xxhash64("key", "part").alias("grp")))
+    lead = lead.agg(F.max(F.struct("score", "cls")).alias("best")).select("key", "parts", F.col("best.cls").alias("cls"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    # a leader is in one of the groups as a member
+    lead = staged(lead.filter(F.col("part") != _part(turn, F.col("parts"))).select("cls", _grp(F.col("key"), F.col("part")).alias("grp")), "lead")
+    return members.unionByName(lead), large, lead
 
 
 def joined_by(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -387,7 +441,7 @@ def class_components(docs: DataFrame, nodes: DataFrame, words: int, percent: int
     labels = staged(classes.select("cls", F.col("cls").alias("component")), "labels")
     old, active = [lists, sets, classes], classes
     for turn in range(ROUNDS):
-        links = staged(group_links(sets, groups_of(active, lists, turn), percent), "links")
+        links = staged(group_links(sets, *groups_of(active, lists, turn), turn, percent), "links")
         labels = staged(joined_by(labels, links), "labels")
         apart = staged(in_several(lists.join(labels, "cls"), "component"), "apart")
         unstage(links, lists)
@@ -422,7 +476,7 @@ def matrix_links(apart: DataFrame, active: DataFrame, sets: DataFrame, percent:
     # of two components the greater asks; a member's size must lie within what a link allows
     fits = (F.col("n_lo") * percent <= F.col("n") * 100) & (F.col("n_hi") * 100 >= F.col("n") * percent)
     pairs = asks.join(matrix, "h").filter((F.col("lo") < F.col("component")) & fits).select("cls", "grp").distinct()
-    return open_groups(staged(pairs, "asked"), sets.join(grouped.select("cls", "grp"), "cls"), percent)
+    return open_groups(staged(pairs, "asked"), grouped.select("cls", "grp"), sets, percent)
 
 
 def _numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
