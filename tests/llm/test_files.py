@@ -101,3 +101,27 @@ def test_token_files_empty(spark):
     folder = new_dir(spark, "tokens")
     parts = token_files.write_files(spark.createDataFrame([], DOCS), folder, public_tokenizers.path("word_bpe_49k.json"))
     assert token_files.read_documents(spark, folder, parts).count() == 0
+
+
+def test_words_of_letters_together():
+    """Joined words get the ids that each has alone, in far fewer texts for the library."""
+    import random
+
+    rng = random.Random(1)
+    odd = ["".join(rng.choices("ab ΣσİßǅﬁéÉ漢字\n  zq1|'s ́ẞ\U0001f600٣ªm", k=rng.randint(0, 60))).encode() for _ in range(500)] + [b"", "ΟΔΟΣ İstanbul ﬁn don't <|endoftext|>x".encode()]
+    plain_words = [" ".join("".join(rng.choices("abcdefghijké", k=rng.randint(1, 9))) for _ in range(5000)).encode()]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, whole, seen = token_files.Encoder(path), token_files.Encoder(path, whole=True), []
+    real = enc.tok
+
+    class Tok:
+        def encode_batch_fast(self, words, **more):
+            seen.extend(words)
+            return real.encode_batch_fast(words, **more)
+
+    enc.tok = Tok()
+    for texts in (plain_words, odd, odd + plain_words):
+        for got, want in zip(enc.encode(texts), whole.encode(texts), strict=True):
+            assert got.tolist() == want.tolist()
+        if texts is plain_words:
+            assert len(seen) * 20 < len(enc.number)

@@ -39,6 +39,8 @@ SEQS_PER_BATCH = 256
 END_ID = 2
 CACHE_WORDS = 400_000
 ENCODE_AT_ONCE = 4096
+#: Words of letters that are joined to one text for the tokenizers library, which takes long over each text.
+JOINED_WORDS = 64
 
 
 class Encoder:
@@ -50,8 +52,42 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.end, self.whole = Tokenizer.from_file(path), end_id, whole
+        self.closes = self._closing()
         self.reset()
 
+    def _closing(self) -> np.ndarray | None:
+        """Which ids end a word, for a model that marks each word's last piece; None for others."""
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        if not suffix or not all(c + suffix in vocab for c in vocab if len(c) == 1):
+            return None
+        closes = np.zeros(self.tok.get_vocab_size(), bool)
+        closes[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
+        return closes
+
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids per word)."""
+        got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        lens = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(lens.sum())), lens
+
+    def _ids_of_letters(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(words in another order, all ids, ids per word) of words of letters, many to a call. Each has one
+        last piece at least; where there are no more of these than words, they tell the words apart, and the
+        words of other calls are encoded one by one."""
+        if not words:
+            return [], np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        groups = [words[a : a + JOINED_WORDS] for a in range(0, len(words), JOINED_WORDS)]
+        ids, lens = self._ids_of([" ".join(g) for g in groups])
+        closes = self.closes[ids]
+        owner = np.repeat(np.arange(len(groups)), lens)
+        clear = np.bincount(owner[closes], minlength=len(groups)) == [len(g) for g in groups]
+        kept = clear[owner]
+        ids, closes = ids[kept], closes[kept]
+        odd = [w for g, ok in zip(groups, clear, strict=True) if not ok for w in g]
+        more, more_lens = self._ids_of(odd)
+        return [w for g, ok in zip(groups, clear, strict=True) if ok for w in g] + odd, np.concatenate([ids, more]), np.concatenate([np.diff(np.flatnonzero(closes), prepend=-1), more_lens])
+
     def reset(self) -> None:
         self.number: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
@@ -60,9 +96,12 @@ class Encoder:
 
     def _learn(self, words: list[bytes]) -> None:
         for a in range(0, len(words), ENCODE_AT_ONCE):
-            some = words[a : a + ENCODE_AT_ONCE]
-            got = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
-            lens = np.fromiter(map(len, got), np.int64, len(got))
+            texts = [w.decode() for w in words[a : a + ENCODE_AT_ONCE]]
+            letters = [t for t in texts if t.isalpha()] if self.closes is not None else []
+            rest = [t for t in texts if not t.isalpha()] if self.closes is not None else texts
+            (letters, ids, lens), (more, more_lens) = self._ids_of_letters(letters), self._ids_of(rest)
+            ids, lens = np.concatenate([ids, more]), np.concatenate([lens, more_lens])
+            some = [t.encode() for t in letters + rest]
             n, m = len(self.number), int(lens.sum())
             while self.used + m > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -70,7 +109,7 @@ class Encoder:
                 self.start, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.len))
             self.start[n : n + len(some)] = self.used + np.cumsum(lens) - lens
             self.len[n : n + len(some)] = lens
-            self.flat[self.used : self.used + m] = np.fromiter(itertools.chain.from_iterable(got), np.uint32, m)
+            self.flat[self.used : self.used + m] = ids
             self.used += m
             self.number.update(zip(some, range(n, n + len(some)), strict=True))
 
