@@ -179,6 +179,22 @@ def test_lattice(model, s):
     assert loss == (pytest.approx(want[0][0] - want[1][0]) if len(want) > 1 else np.inf)
 
 
+def test_best_of_many(model, monkeypatch):
+    """Segments of all lengths at once, some with characters without a piece, against the search one by one;
+    windows that are no piece are told without a search for nearly all."""
+    rng = random.Random(7)
+    words = ["▁" + "".join(rng.choices("etaoinshrdlué日😀\x01", weights=[9] * 13 + [1] * 3, k=rng.randint(0, 20))) for _ in range(2000)]
+    asked, real = [], np.searchsorted
+    monkeypatch.setattr(pieces.np, "searchsorted", lambda a, v, *more: (asked.append(np.size(v)), real(a, v, *more))[1])
+    got = model.best_batch(words)
+    windows = sum(len(w) * (len(w) + 1) // 2 for w in words)
+    assert sum(asked) * 3 < windows
+    for w, (best, ids, loss) in zip(words[:300], got[:300], strict=True):
+        two = model.n_best(w, 2)
+        assert best == pytest.approx(two[0][0]) and model.decode(ids) == model.decode(two[0][1])
+        assert loss == (pytest.approx(two[0][0] - two[1][0]) if len(two) > 1 else np.inf)
+
+
 def test_text_n_best(model):
     enc = pieces.Encoder(PATH, 5)
     for text in ("the cat", "in in in", "a\nb", "été réa", "x"):

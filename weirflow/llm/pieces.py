@@ -40,7 +40,11 @@ UNKNOWN_PENALTY = 10.0
 CACHE_SEGMENTS = 300_000
 CHUNK_CHARS = 1_500_000
 LONG = 64
+#: Edges that are scored at a time.
+CELLS = 1 << 19
 _MUL = np.uint64(0x100000001B3)
+_HIGH = np.uint64(64 - 22)
+_NO_STEP = np.iinfo(np.int64).min
 
 
 class Model:
@@ -72,6 +76,9 @@ class Model:
         self.keys, self.key_id = keys[order], np.array([self.id[p] for p in self.score], np.int64)[order]
         self.key_score = np.array(list(self.score.values()))[order]
         assert len(np.unique(keys)) == len(keys)
+        # most windows of a text are no piece: their hashes' upper bits tell so without a search
+        self.seen_bits = np.zeros(1 << 22, bool)
+        self.seen_bits[(keys >> _HIGH).astype(np.int64)] = True
 
     @staticmethod
     def _hash(s: str) -> np.uint64:
@@ -121,9 +128,21 @@ class Model:
                 made += 1
         return found
 
-    def best_batch(self, words: list[str]) -> list[tuple[float, list[int], float]]:
-        """(best score, its ids, what the second-best path loses) per segment, segments of a length at once."""
-        out: list = [None] * len(words)
+    def best_arrays(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(best scores, what the second-best paths lose, starts and lengths of the best paths' ids, all ids),
+        segments of a length at once."""
+        score, loss = np.zeros(len(words)), np.zeros(len(words))
+        start, length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        flat: list[np.ndarray] = []
+        used = 0
+
+        def put(which, scores, losses, lengths, ids):
+            nonlocal used
+            score[which], loss[which], length[which] = scores, losses, lengths
+            start[which] = used + np.cumsum(lengths) - lengths
+            flat.append(ids)
+            used += len(ids)
+
         by_len: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             by_len.setdefault(len(w), []).append(k)
@@ -131,62 +150,84 @@ class Model:
             if size > LONG:
                 for k in which:
                     two = self.n_best(words[k], 2)
-                    out[k] = (*two[0], two[0][0] - two[1][0] if len(two) > 1 else np.inf)
+                    put([k], [two[0][0]], [two[0][0] - two[1][0] if len(two) > 1 else np.inf], np.array([len(two[0][1])]), np.array(two[0][1], np.uint32))
                 continue
-            for a in range(0, len(which), 20_000):
-                some = which[a : a + 20_000]
-                for k, r in zip(some, self._same_length([words[k] for k in some], size), strict=True):
-                    out[k] = r
-        return out
+            step = max(1, CELLS // (size * min(size, self.longest)))
+            for a in range(0, len(which), step):
+                some = which[a : a + step]
+                put(some, *self._same_length([words[k] for k in some], size))
+        return score, loss, start, length, np.concatenate([*flat, np.zeros(0, np.uint32)])
 
-    def _same_length(self, words: list[str], size: int):
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), size).astype(np.uint64)
+    def best_batch(self, words: list[str]) -> list[tuple[float, list[int], float]]:
+        """(best score, its ids, what the second-best path loses) per segment."""
+        score, loss, start, length, flat = self.best_arrays(words)
+        return [(float(x), flat[a : a + m].tolist(), float(y)) for x, y, a, m in zip(score, loss, start.tolist(), length.tolist(), strict=True)]
+
+    def _same_length(self, words: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, losses, lengths, ids) of segments of one length. A row of each array is a place in the
+        segments, a column a segment, so that every step runs over adjacent cells."""
+        chars = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), size).T).astype(np.uint64)
         n, longest = len(words), min(size, self.longest)
-        score, ids = [None], [None]
-        h = np.full((n, size), np.uint64(14695981039346656037))
-        for length in range(1, longest + 1):  # score[length][:, a]: of the edge from a to a + length
-            h = (h[:, : size - length + 1] ^ chars[:, length - 1 :]) * _MUL
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[at] == h
-            score.append(np.where(hit, self.key_score[at], self.unknown if length == 1 else -np.inf))
-            ids.append(np.where(hit, self.key_id[at], -1))
-        ahead = np.full((n, size + 1), -np.inf)
-        ahead[:, 0] = 0
-        back = np.zeros((n, size + 1), np.int64)
+        score: list = [None]
+        key: list = [None]  # number of the piece among keys, -1 for none
+        h = np.full((size, n), np.uint64(14695981039346656037))
+        for length in range(1, longest + 1):  # score[length][a]: of the edges from a to a + length
+            h = (h[: size - length + 1] ^ chars[length - 1 :]) * _MUL
+            flat = h.ravel()
+            may = np.flatnonzero(self.seen_bits[(flat >> _HIGH).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.keys, flat[may]), len(self.keys) - 1)
+            right = self.keys[at] == flat[may]
+            may, at = may[right], at[right]
+            x, k = np.full(h.shape, self.unknown if length == 1 else -np.inf), np.full(h.shape, -1, np.int32)
+            x.ravel()[may], k.ravel()[may] = self.key_score[at], at
+            score.append(x)
+            key.append(k)
+        ahead = np.full((size + 1, n), -np.inf)
+        ahead[0] = 0
+        back = np.zeros((size + 1, n), np.int64)
         for end in range(1, size + 1):
             for length in range(min(end, longest), 0, -1):  # the longest piece wins ties
-                x = ahead[:, end - length] + score[length][:, end - length]
-                better = x > ahead[:, end]
-                ahead[better, end] = x[better]
-                back[better, end] = length
-        rest = np.full((n, size + 1), -np.inf)
-        rest[:, size] = 0
+                x = ahead[end - length] + score[length][end - length]
+                better = x > ahead[end]
+                np.copyto(ahead[end], x, where=better)
+                back[end][better] = length
+        rest = np.full((size + 1, n), -np.inf)
+        rest[size] = 0
         for a in range(size - 1, -1, -1):
             for length in range(1, min(size - a, longest) + 1):
-                np.maximum(rest[:, a], score[length][:, a] + rest[:, a + length], out=rest[:, a])
+                np.maximum(rest[a], score[length][a] + rest[a + length], out=rest[a])
         # walk the best paths back; what is left of the edges belongs to other paths
         node, rows, steps = np.full(n, size), np.arange(n), []
-        through = [None] + [ahead[:, : size - length + 1] + score[length] + rest[:, length:] for length in range(1, longest + 1)]
         while (live := node > 0).any():
-            length = np.where(live, back[rows, node], 0)
+            length = np.where(live, back[node, rows], 0)
             start = node - length
-            got = np.full(n, -2, np.int64)
+            got = np.full(n, _NO_STEP, np.int64)
             for v in range(1, longest + 1):
                 if len(m := np.flatnonzero(length == v)):
-                    got[m] = ids[v][m, start[m]]
-                    through[v][m, start[m]] = -np.inf
-            steps.append(np.where(live, np.where(got == -1, -1 - start - 1, got), np.iinfo(np.int64).min))
+                    k = key[v][start[m], m]
+                    got[m] = np.where(k >= 0, self.key_id[k], -1 - start[m])  # a character without a piece, by its place
+                    score[v][start[m], m] = -np.inf
+            steps.append(got)
             node = start
-        second = np.max([t.max(axis=1) for t in through[1:]], axis=0)
-        loss = np.where(np.isfinite(second), ahead[:, size] - second, np.inf)
-        for k, path in enumerate(np.stack(steps, 1)[:, ::-1].tolist()):
-            flat: list[int] = []
-            for i in path:
-                if i >= 0:
-                    flat.append(i)
-                elif i > np.iinfo(np.int64).min:  # a character without a piece, by its place
-                    flat += self._unknown_ids(words[k][-2 - i])
-            yield float(ahead[k, size]), flat, max(0.0, float(loss[k]))
+        second = np.full(n, -np.inf)
+        for v in range(1, longest + 1):
+            np.maximum(second, (ahead[: size - v + 1] + score[v] + rest[v:]).max(axis=0), out=second)
+        best = ahead[size]
+        loss = np.where(np.isfinite(second), np.maximum(0.0, best - second), np.inf)
+        path = np.stack(steps[::-1], 1)
+        real = path != _NO_STEP
+        lengths, ids = real.sum(axis=1), path[real]
+        if len(odd := np.flatnonzero(ids < 0)):  # spelled as bytes
+            spell = np.ones(len(ids), np.int64)
+            owner = np.repeat(rows, lengths)
+            more = [self._unknown_ids(words[owner[i]][-1 - ids[i]]) for i in odd.tolist()]
+            spell[odd] = [len(x) for x in more]
+            lengths = np.bincount(owner, spell, minlength=n).astype(np.int64)
+            first = np.cumsum(spell) - spell
+            ids = np.repeat(ids, spell)
+            for i, x in zip(odd.tolist(), more, strict=True):
+                ids[first[i] : first[i] + len(x)] = x
+        return best, loss, lengths, ids.astype(np.uint32)
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.surface.__getitem__, ids))
@@ -219,14 +260,12 @@ class Encoder:
     def _learn(self) -> None:
         if not self.seen.todo:
             return
-        got = self.model.best_batch(self.seen.todo)
+        score, loss, start, lens, flat = self.model.best_arrays(self.seen.todo)
         self.names += self.seen.todo
         self.seen.todo = []
-        lens = np.array([len(g[1]) for g in got], np.int64)
-        starts = len(self.flat) + np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
-        self.flat = np.concatenate([self.flat, np.array([i for g in got for i in g[1]], np.uint32)])
-        self.start, self.len = np.concatenate([self.start, starts]), np.concatenate([self.len, lens])
-        self.score, self.loss = np.concatenate([self.score, [g[0] for g in got]]), np.concatenate([self.loss, [g[2] for g in got]])
+        self.start, self.len = np.concatenate([self.start, len(self.flat) + start]), np.concatenate([self.len, lens])
+        self.flat = np.concatenate([self.flat, flat])
+        self.score, self.loss = np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
 
     def _options(self, seg: int) -> list[tuple[float, list[int]]]:
         """(loss against the best, ids) of a segment's next-best paths."""
