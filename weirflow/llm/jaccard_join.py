@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_marked, filter_room, id_filter, join_groups, passes, passing, small, staged, unstage
+from .common import drop_marked, filter_room, id_filter, join_groups, passes, passing, small, staged, tidy, unstage
 from .components import components
 from .wordtable import CHUNK_BYTES, words_of_texts
 
@@ -148,6 +148,7 @@ def nodes_of(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 [part.column(0), part.column(1), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary())],
                 names=["rid", "doc_id", "text_hash", "n", "cls", "keys", "low"],
             )
+        tidy()
 
     return docs.mapInArrow(run, "rid long, doc_id long, text_hash long, n long, cls long, keys array<long>, low binary")
 
@@ -192,6 +193,8 @@ def repeated_shingles(nodes: DataFrame):
                 held, size = [], 0
         if held:
             yield flush()
+        held.clear()
+        tidy()
 
     counts = nodes.filter("low IS NOT NULL").select("low").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
     counts = staged(counts, "repeated")
@@ -249,14 +252,14 @@ def _pairs(ids: np.ndarray, cls: np.ndarray) -> np.ndarray:
 def sets_of(docs: DataFrame, nodes: DataFrame, names: DataFrame, words: int) -> DataFrame:
     """(cls, keys, shingles) of the classes in `names` (cls), from the document with the least id of each.
 
-    A fixed-size filter of ids decides which texts are read, and one of ids and classes which of their sets
+    A fixed-size filter of ids decides which texts are cut, and one of ids and classes which of their sets
     are kept, so that no set moves. What both let through by chance are true sets: of a class that links with
     nothing, or once more of one that is there, once for a task at most. A join drops unwanted classes where
     there are more than the filters hold.
     """
     first = staged(nodes.groupBy("cls").agg(F.min("doc_id").alias("first_id")).join(names, "cls"), "first")
     rows = first.count()
-    wanted = passing(id_filter(first.select(F.xxhash64("first_id")), rows))
+    wanted = id_filter(first.select(F.xxhash64("first_id")), rows)
 
     def pairs(batches):
         for b in batches:
@@ -266,7 +269,8 @@ def sets_of(docs: DataFrame, nodes: DataFrame, names: DataFrame, words: int) ->
 
     def run(batches):
         met: set[int] = set()  # bounded; repeated sets cost time only
-        for b, start, sets in _rows(batches, words, 1):
+        read = (b.filter(pa.array(passes(wanted.value, b.column(2).to_numpy()))) for b in batches)
+        for b, start, sets in _rows(read, words, 1):
             cls = np.array([digest(s) for s in sets], np.int64)
             kept = []
             for k in np.flatnonzero(passes(right.value, _pairs(b.column(0).slice(start, len(sets)).to_numpy(), cls))).tolist():
@@ -275,8 +279,9 @@ def sets_of(docs: DataFrame, nodes: DataFrame, names: DataFrame, words: int) ->
                     if len(met) < 1_000_000:
                         met.add(int(cls[k]))
             yield pa.RecordBatch.from_arrays([pa.array(cls[kept]), pa.array([keys_of(sets[k]) for k in kept], pa.list_(pa.int64())), pa.array([sets[k].tobytes() for k in kept], pa.binary())], names=["cls", "keys", "shingles"])
+        tidy()
 
-    found = docs.filter(wanted(F.xxhash64("doc_id"))).select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text").mapInArrow(run, "cls long, keys array<long>, shingles binary")
+    found = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text", F.xxhash64("doc_id")).mapInArrow(run, "cls long, keys array<long>, shingles binary")
     if rows > filter_room():
         found = found.join(first, "cls", "left_semi")
     out = staged(found, "sets")
