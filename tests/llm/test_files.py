@@ -66,6 +66,15 @@ def test_warc_moves_only_payloads_that_stay(spark):
         assert r.keep_id == keep and r.revisit == (keep is not None and keep != r.page_id) and (r.html is None) == r.revisit and r.size in (1500, 1600)
 
 
+def test_warc_keeps_unrepeated_payloads_that_a_filter_takes_for_repeated(spark):
+    rows = [(i, "u", f"{i // 2:06d}" * 170) for i in range(6000)] + [(10_000 + i, "u", f"x{i:05d}" * 170) for i in range(1000)]
+    got = captures(spark, pages(spark, rows)).select("page_id", "kind", "original").collect()
+    assert len(got) == 7000
+    for r in got:
+        keep = r.page_id | 1 if r.page_id < 6000 else r.page_id
+        assert (r.kind, r.original) == (("response", None) if r.page_id == keep else ("revisit", keep)), r
+
+
 DOCS = "doc_id long, text string, start string, part int"
 
 

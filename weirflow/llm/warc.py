@@ -8,7 +8,8 @@ identifier into one nested row per capture.
 Equal payloads are found by SHA-256 over a table without payloads; of at least MIN_REVISIT bytes, the
 row with the largest page_id holds the payload and the others revisit it: they name its record in
 WARC-Refers-To, whose identifier follows from payload and page. Pages whose payload is certainly not
-repeated pass straight to the writers; of the others only those that may hold a payload move with it.
+repeated pass straight to the writers; of the others only those that may hold a payload, or may be
+unrepeated after all, move with it.
 Archives are gzip files with
 one member per record, one archive per task, written under a temporary name and moved when complete;
 their folder must be shared and open to pyarrow by URI.
@@ -48,19 +49,19 @@ def decide(pages: DataFrame, page_id: str, html: str) -> DataFrame:
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("html"))
     rows = rows.select("page_id", "url", "html", F.sha2("html", 256).alias("sha"), F.sha1("html").alias("sha1"), F.octet_length("html").cast("long").alias("size"))
     keys = rows.filter(F.col("size") >= MIN_REVISIT).groupBy("sha", "page_id").agg(F.count("*").alias("rows"))
-    groups = keys.groupBy("sha").agg(F.sum("rows").alias("copies"), F.max(F.struct("page_id", "rows")).alias("keep")).filter("copies > 1")
-    groups = staged(groups.select("sha", F.col("keep.page_id").alias("keep_id"), F.col("keep.rows").alias("keepers")), "repeated")
-    n = groups.count()
-    may_repeat = passing(id_filter(groups.select(F.xxhash64("sha")), n))
-    may_keep = passing(id_filter(groups.select(F.xxhash64("sha", "keep_id")), n))
+    payloads = keys.groupBy("sha").agg(F.sum("rows").alias("copies"), F.max(F.struct("page_id", "rows")).alias("keep"))
+    payloads = staged(payloads.select("sha", F.col("keep.page_id").alias("keep_id"), F.col("keep.rows").alias("keepers"), "copies"), "payloads")
+    groups = payloads.filter("copies > 1").drop("copies")
+    may_repeat = passing(id_filter(groups.select(F.xxhash64("sha")), groups.count()))
+    # rows that move with their payload: those that hold a group's, and the unrepeated that the filter takes for repeated
+    carried = staged(payloads.filter((F.col("copies") > 1) | may_repeat(F.xxhash64("sha"))).select(F.xxhash64("sha", "keep_id").alias("h")), "carried")
+    may_carry = passing(id_filter(carried, carried.count()))
     tested = rows.withColumn("maybe", (F.col("size") >= MIN_REVISIT) & may_repeat(F.xxhash64("sha")))
     out = ["page_id", "url", "html", "sha", "sha1", "size", "keep_id", "keepers", "revisit"]
     none = F.lit(None).cast("long")
     clear = tested.filter("NOT maybe").withColumns({"keep_id": none, "keepers": none, "revisit": F.lit(False)})
-    # a page that can't hold its group's payload moves without it; one that only the filter took for repeated keeps it
-    light = F.when(may_keep(F.xxhash64("sha", "page_id")), F.col("html"))
-    # the text of the few others that the join finds unrepeated comes from the pages again
-    found = tested.filter("maybe").select("page_id", "url", light.alias("html"), F.col("html").isNull().alias("x"), "sha", "sha1", "size").drop("x").join(groups, "sha", "left")
+    light = F.when(may_carry(F.xxhash64("sha", "page_id")), F.col("html"))
+    found = tested.filter("maybe").select("page_id", "url", light.alias("html"), "sha", "sha1", "size").join(groups, "sha", "left")
     found = found.withColumn("revisit", F.col("keep_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep_id")))
     return clear.select(*out).unionByName(found.withColumn("html", F.when(~F.col("revisit"), F.col("html"))).select(*out))
 
