@@ -166,6 +166,21 @@ def test_digest(spark):
     assert digest.same_results(df.limit(0), df.where("i > 5")) and not digest.same_results(df.limit(0), df)
 
 
+def test_pages_stay_off_the_driver(spark, monkeypatch):
+    """Pages in the result's order over several tasks, while only counts are collected."""
+    df = spark.range(0, 1003, 1, 7).where("id % 5 <> 0").orderBy(F.desc("id"))
+    want = [p for p in digest.pages(df, 100)]
+    seen, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: seen.append(got := collect(self)) or got)
+    monkeypatch.setattr(type(df), "toLocalIterator", lambda *a, **k: pytest.fail("the rows went to the driver"))
+    paged = digest.paged(df, 100)
+    assert sum(map(len, seen)) <= 16
+    monkeypatch.undo()
+    for k, page in enumerate(want):
+        assert [r.id for r in paged.where(F.col("_page") == k).orderBy("_row").collect()] == [r.id for r in page]
+    assert paged.count() == 802 and digest.paged(df.limit(0)).count() == 0
+
+
 TEXTS = [
     "SELECT a FROM d.s.t WHERE b = 'x, 5' AND c IN (1, 2.5, 'it''s')", "SELECT a FROM d.s.t WHERE b = 'FLATTEN(' ", "SELECT a1, 7 FROM d.s.t2 WHERE c >= 10", "SELECT \"a 5\" FROM d.s.t WHERE x = 5",
     "SELECT 'odd FROM d.s.t", "SELECT a FROM d.s.t -- = 5", "SELECT $$ = 5 $$ FROM d.s.t", "SELECT a FROM d.s.t WHERE b LIKE '%, 3, %' LIMIT 10", "DELETE FROM d.s.t WHERE k = 3", "SELECT * FROM TABLE(GENERATOR(ROWCOUNT => 5))", "", "SELEC 1", "SELECT a FROM d.s.t AT(OFFSET => -60)", "SELECT x'00' FROM d.s.t, (SELECT 1, 2) q",

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import staged
+
 
 def cell_text(df: DataFrame, name: str) -> Column:
     """A value as the wire shows it; types without a text form show as <unsupported>."""
@@ -103,8 +105,24 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
+def paged(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The result staged with its page, from 0, in the result's order. Pages stay where the tasks wrote them; only a
+    number of rows for each task reaches the driver. One page is read by a filter on `_page`, ordered by `_row`."""
+    at = F.monotonically_increasing_id()  # a task's number, then the row's place in the task
+    held = staged(df.withColumn("_row", at), "pages")
+    part = F.shiftright("_row", 33)
+    shift, before = [], 0
+    for r in sorted(held.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        shift.append((r["part"], before - (r["part"] << 33)))
+        before += r["n"]
+    shifts = F.broadcast(df.sparkSession.createDataFrame(shift, "_part long, _shift long"))
+    numbered = held.withColumn("_part", part).join(shifts, "_part").withColumn("_row", F.col("_row") + F.col("_shift"))
+    return numbered.select(F.expr(f"_row div {int(rows)}").alias("_page"), "_row", *[F.col(f"`{c}`") for c in df.columns])
+
+
 def pages(df: DataFrame, rows: int = 1000) -> Iterator[list]:
-    """Sequential pages of the result; one page is in memory at a time."""
+    """Sequential pages of a result that goes through the driver, which holds a page and two partitions at a time.
+    For large results see `paged`."""
     page: list = []
     for r in df.toLocalIterator(prefetchPartitions=True):
         page.append(r)
