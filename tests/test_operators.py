@@ -109,6 +109,35 @@ def test_small_batch_rewrites_few_parts(spark, tmp_path):
     assert sync.current(table).count() == 199 and table.read().count() == 199 and table.last_batch == 1
 
 
+def test_batches_read_state_and_events_once(spark):
+    """Random batches against a plain model; the plan of several batches reads each input once."""
+    import random
+
+    def model(state, batch):
+        out = dict(state)
+        for key in {k for _, k, _, _ in batch}:
+            last = max(c for _, k, _, c in batch if k == key)
+            new = [(v, last, False) for a, k, v, c in batch if (k, c, a) == (key, last, "INSERT")]
+            old = state.get(key, [])
+            held = max((c for _, c, _ in old), default=None)
+            half = not new and any((c, gone) == (last, False) for _, c, gone in old)
+            if (held is None or last >= held) and not half:
+                out[key] = new or [(None, last, True)]
+        return out
+
+    rng = random.Random(3)
+    state, want, reads = None, {}, 0
+    for _ in range(4):
+        batch = [(rng.choice(("INSERT", "DELETE", "UPDATE")), rng.choice("abcdefghijklmnopqrst"), rng.randint(0, 9), rng.randint(1, 4)) for _ in range(14)]
+        state, want, reads = sync.apply_batch(state, spark.createDataFrame(batch, EVENT)), model(want, batch), reads + 1
+        got = {}
+        for r in state.collect():
+            got.setdefault(r["__row_id"], []).append((r["v"], r["__commit"], r["__gone"]))
+        assert {k: sorted(v, key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in want.items()}
+        plan = state._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+        assert plan <= reads
+
+
 def test_poll_backs_off():
     slept, left = [], iter([True, "conflict", "conflict", True, False])
 

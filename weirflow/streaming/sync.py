@@ -13,10 +13,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.cdc import ACTION, ROW_ID, backoff, latest
+from ..operators.cdc import ACTION, ROW_ID, backoff
 from ..sources.lake import LakeTable, WriteConflict
 
 COMMIT = "__commit"
@@ -27,19 +28,33 @@ PARTS = 32
 
 
 def apply_batch(base: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """State after a batch: rows with their last commit; a deleted id leaves a tombstone that outdates late events."""
-    events = latest(batch, ROW_ID, COMMIT)
-    inserts = events.where(F.col(ACTION) == "INSERT").drop(ACTION).withColumn(GONE, F.lit(False))
-    removed = events.select(ROW_ID, COMMIT).distinct().join(inserts.select(ROW_ID).distinct(), ROW_ID, "left_anti").withColumn(GONE, F.lit(True))
-    new = inserts.unionByName(removed, allowMissingColumns=True)
-    if base is None:
-        return new
-    held = base.groupBy(ROW_ID).agg(F.max(COMMIT).alias("_held"))
-    fresh = new.join(held, ROW_ID, "left").where(F.col("_held").isNull() | (F.col(COMMIT) >= F.col("_held"))).drop("_held")
-    # an insert that meets the tombstone of its own commit is the other half of a split pair
-    halves = base.where(~F.col(GONE)).select(ROW_ID, COMMIT).distinct()
-    fresh = fresh.join(halves.withColumn("_live", F.lit(True)), [ROW_ID, COMMIT], "left").where(~(F.col(GONE) & F.coalesce("_live", F.lit(False)))).drop("_live")
-    return base.join(fresh.select(ROW_ID).distinct(), ROW_ID, "left_anti").unionByName(fresh, allowMissingColumns=True)
+    """State after a batch: rows with their last commit; a deleted id leaves a tombstone that outdates late events.
+
+    State and events are sorted by id once and judged together, each read once. A null id is an id like any other.
+    """
+    own = [f"`{c}`" for c in batch.columns if c != ACTION]
+    insert = F.coalesce(F.col(ACTION) == "INSERT", F.lit(False))
+    rows = batch.select(*own, F.lit(False).alias(GONE), F.lit(True).alias("_new"), insert.alias("_insert"))
+    if base is not None:
+        rows = base.withColumns({"_new": F.lit(False), "_insert": F.lit(False)}).unionByName(rows, allowMissingColumns=True)
+    # an id's events come first, the last commit's before the others
+    one = Window.partitionBy(ROW_ID).orderBy(F.desc("_new"), F.col(COMMIT).desc_nulls_last(), F.desc("_insert"))
+    whole = one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({
+        "_event": F.max(F.when(F.col("_new"), F.struct(F.col(COMMIT).alias("at"), F.col("_insert").alias("insert")))).over(whole),
+        "_held": F.max(F.when(~F.col("_new"), F.struct(F.col(COMMIT).alias("at"), (~F.col(GONE)).alias("live")))).over(whole),
+        "_place": F.row_number().over(one),
+    })
+    event, held = F.col("_event.at"), F.col("_held.at")
+    # a delete that meets the live rows of its own commit is the other half of a split pair
+    half = ~F.col("_event.insert") & (event == held) & F.col("_held.live")
+    taken = F.coalesce(event.isNotNull() & (held.isNull() | (event >= held)) & ~F.coalesce(half, F.lit(False)), F.lit(False))
+    stays = F.when(~F.col("_new"), ~taken).when(F.col("_event.insert"), taken & F.col("_insert") & (F.col(COMMIT) == event)).otherwise(taken & (F.col("_place") == 1))
+    grave = F.col("_new") & ~F.col("_insert")
+    kept = rows.where(F.coalesce(stays, F.lit(False)))
+    names = [c for c in rows.columns if c not in ("_new", "_insert", "_event", "_held", "_place")]
+    shown = lambda c: F.col(c) if c in (ROW_ID, COMMIT) else F.col(c) | grave if c == GONE else F.when(~grave, F.col(f"`{c}`"))
+    return kept.select(*[shown(c).alias(c) for c in names])
 
 
 def bucket(parts: int) -> Column:
