@@ -253,6 +253,27 @@ def test_remote_reads_every_partition(spark, tmp_path):
         list(reader.read(remote.Part(part.name, part.rows + 1)))
 
 
+def test_remote_holds_little_of_a_row_group(tmp_path):
+    """A partition is decoded as it is asked for, however many rows its row group has; filters still hold."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "far.parquet")
+    n, rng = 3_000_000, np.random.default_rng(1)
+    pq.write_table(pa.table({"k": np.arange(n), "x": rng.random(n), "y": rng.random(n)}), path, row_group_size=n, use_dictionary=False)
+    far = remote.FolderTransport(path)
+    [(name, rows)] = far.partitions()
+    before, most, seen = pa.total_allocated_bytes(), 0, 0
+    for b in far.fetch(name, ["k", "x", "y"], []):
+        seen += b.num_rows
+        most = max(most, pa.total_allocated_bytes() - before)
+    assert seen == rows == n and most < 24_000_000  # the row group has 72 MB
+    got = [b for b in far.fetch(name, ["x"], [("k", ">=", 17), ("k", "<", 20), ("x", "not null", None)])]
+    assert [b.schema.names for b in got] == [["x"]] and sum(b.num_rows for b in got) == 3
+    assert list(far.fetch(name, ["x"], [("k", ">", n)])) == [] == list(far.fetch(name, ["x"], [("x", "in", [5.0])]))
+
+
 def test_audit_report(spark):
     data = [("q1", "SELECT a FROM d.s.t WHERE b = 1", 3_600_000, "Small"), ("q2", "SELECT a FROM d.s.t WHERE b = 2", 0, "Small"), ("q3", "DELETE FROM d.s.t", 0, None), ("q4", "", 0, None), ("q5", "SELECT a FROM d.s.u, d.s.t", 1, "odd")]
     h = spark.createDataFrame([(i, q, "2026-01-01", ms, s) for i, q, ms, s in data], "query_id string, query_text string, start_time string, execution_time long, warehouse_size string")
